@@ -7,9 +7,14 @@ matter how many checks run.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import severity as sev
@@ -42,7 +47,6 @@ UNKNOWN_OWNER = "human_only"
 
 OUTLIER_SIGMA = 5.0
 REDUNDANT_R = 0.99
-PAIRS_PER_AGGREGATE = 200
 
 DEFECTS = T.StructType([
     T.StructField("ordinal", T.IntegerType()),
@@ -73,14 +77,17 @@ def require_rows(df: DataFrame) -> None:
 def moment_facts(df: DataFrame) -> DataFrame:
     """One row per column: rows, nulls, number statistics, negatives, infinities. One scan."""
     df = nan_to_null(df)
+    # Number views first, in a projection, so that each text is read as a number once and not per statistic.
+    d = df.select(*[as_number(f).alias(f"x{i}") for i, f in enumerate(df.schema)],
+                  *[col(f.name).isNull().alias(f"z{i}") for i, f in enumerate(df.schema)])
     aggs = [F.count(F.lit(1)).alias("rows")]
     entries = []
     for i, f in enumerate(df.schema):
-        x = as_number(f)
+        x = F.col(f"x{i}")
         numeric = isinstance(f.dataType, (T.NumericType, T.BooleanType))
         floating = isinstance(f.dataType, (T.FloatType, T.DoubleType))
         aggs += [
-            F.count_if(col(f.name).isNull()).alias(f"nulls{i}"),
+            F.count_if(f"z{i}").alias(f"nulls{i}"),
             F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
         ]
@@ -102,7 +109,7 @@ def moment_facts(df: DataFrame) -> DataFrame:
             F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
             negative.alias("negatives"), infinite.alias("infinites"),
         ))
-    return df.agg(*aggs).select(long_rows(entries))
+    return d.agg(*aggs).select(long_rows(entries))
 
 
 def distinct_facts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -310,34 +317,57 @@ def non_unique_id(facts: DataFrame) -> DataFrame:
         F.format_string("id column '%s' repeats %d values", "column", repeats)))
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Aggregate: Pearson r over rows where both are present; null when one side is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
-    # A constant column can show a rounding-size spread; min = max is the exact test.
-    varies = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y)))
-    return F.when(varies, F.try_divide(F.covar_pop(x, y), sx * sy))
-
-
 def pair_correlations(df: DataFrame, columns: list[str] | None = None, booleans: bool = False) -> DataFrame:
-    """(a, b, r, n) for every column pair a before b. Batches of pairs share one scan each."""
+    """(a, b, r, n) for every column pair a before b, over the rows where both are present; r is null when a side is constant.
+
+    All pairs come from one scan: each task adds up the cross products of its rows as
+    small matrices, columns centred beforehand, and sends one row per pair.
+    Generated pair expressions would outgrow the code generator at about 30 pairs.
+    """
     df = nan_to_null(df)
     columns = numeric_columns(df, booleans) if columns is None else columns
+    spark = df.sparkSession
+    if len(columns) < 2:
+        return spark.createDataFrame([], "a string, b string, r double, n long")
     fields = {f.name: f for f in df.schema}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        aggs, entries = [], []
-        for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_AGGREGATE]):
-            x, y = as_number(fields[a]), as_number(fields[b])
-            aggs += [pearson(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-            entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                    F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("r"),
-                                    F.col(f"n{i}").alias("n")))
-        parts.append(df.agg(*aggs).select(long_rows(entries)))
-    return reduce(DataFrame.unionAll, parts)
+    d = df.select([as_number(fields[c]).alias(f"x{i}") for i, c in enumerate(columns)])
+    stats = d.agg(*[f(F.col(f"x{i}")).alias(f"{n}{i}") for i in range(len(columns))
+                    for f, n in ((F.avg, "m"), (F.min, "lo"), (F.max, "hi"), (F.var_pop, "v"))]).first()
+    centre = np.array([m if (m := stats[f"m{i}"]) is not None and math.isfinite(m) else 0.0 for i in range(len(columns))])
+    left, right = np.triu_indices(len(columns), 1)
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - centre
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            with np.errstate(invalid="ignore", over="ignore"):
+                part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            n, s, q, p = total
+            yield pd.DataFrame({
+                "i": left.astype("int32"), "j": right.astype("int32"), "n": n[left, right], "sx": s[left, right],
+                "sy": s[right, left], "qx": q[left, right], "qy": q[right, left], "p": p[left, right]})
+
+    sums = d.mapInPandas(cross, "i int, j int, n double, sx double, sy double, qx double, qy double, p double").groupBy(
+        "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "p")])
+    names = F.array(*map(F.lit, columns))
+    constant = [i for i in range(len(columns)) if stats[f"lo{i}"] is None or stats[f"lo{i}"] == stats[f"hi{i}"]]
+    spread = F.array(*[F.lit(v) if (v := stats[f"v{i}"]) is not None else F.lit(0.0) for i in range(len(columns))])
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    vx = F.try_divide("qx", "n") - mean("sx") * mean("sx")
+    vy = F.try_divide("qy", "n") - mean("sy") * mean("sy")
+    cov = F.try_divide("p", "n") - mean("sx") * mean("sy")
+    # A side can also be constant on the shared rows only; rounding leaves a trace far below its variance.
+    flat = (vx <= F.get(spread, F.col("i")) * 1e-18) | (vy <= F.get(spread, F.col("j")) * 1e-18)
+    if constant:
+        flat = flat | F.col("i").isin(constant) | F.col("j").isin(constant)
+    r = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    return sums.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"),
+                       F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+                       F.col("n").cast("long").alias("n"))
 
 
 def duplicate_measurement(pairs: DataFrame, rows: Column) -> DataFrame:
