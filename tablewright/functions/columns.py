@@ -101,3 +101,12 @@ def percent(part: Column, whole: Column) -> Column:
 def finite(c: Column) -> Column:
     """NaN and infinities become null, as in report fields."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    A plain projection would be copied into every later filter and expression that
+    uses the column; a one-element explode is not.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))

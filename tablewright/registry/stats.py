@@ -297,8 +297,8 @@ _scen = lambda s, d: table(s, d, "part").select(
     "p_partkey", F.col("p_retailprice").alias("cost"), (F.col("p_retailprice") * (F.col("p_size") + 70) / 100).alias("benefit"),
     F.when(F.col("p_partkey") % 4 != 0, (F.col("p_partkey") % 10) / 10.0).alias("probability"))
 QUERIES["tm_scenarios"] = lambda s, d: rounded(fc.score_scenarios(_scen(s, d)).select(
-    "p_partkey", "roi", "expected_value", "recommendation"), 3)
-SQL["tm_scenarios"] = f"""SELECT p_partkey, {r("roi", 3)} AS roi, {r("(b - c) * CASE WHEN p IS NULL OR p = 0 THEN 1 ELSE p END", 3)} AS expected_value,
+    "p_partkey", "roi", "expected_value", "recommendation"), 6)
+SQL["tm_scenarios"] = f"""SELECT p_partkey, {r("roi", 6)} AS roi, {r("(b - c) * CASE WHEN p IS NULL OR p = 0 THEN 1 ELSE p END", 6)} AS expected_value,
     CASE WHEN roi >= 50 THEN 'Highly Recommended' WHEN roi >= 20 THEN 'Recommended' WHEN roi >= 0 THEN 'Consider' ELSE 'Avoid' END
     AS recommendation FROM (SELECT *, (b - c) / c * 100 AS roi FROM (SELECT p_partkey, p_retailprice AS c,
     p_retailprice * (p_size + 70) / 100 AS b, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 10) / 10.0::DOUBLE END AS p FROM part) t) u"""

@@ -145,22 +145,25 @@ def _truthy_text(v: Column) -> Column:
 
 def read_json(spark: SparkSession, path) -> DataFrame:
     """SRC-5: array of objects (columns of the first object), array of scalars (Index, Value) or object (Key, Value)."""
-    whole = _load(spark.read.option("wholetext", True).text, path)
-    d = whole.select(F.col("value").alias("t"), F.try_parse_json("value").alias("v"))
-    head = d.select(
-        F.schema_of_variant("v").alias("s"), F.schema_of_variant(F.try_variant_get("v", "$[0]", "variant")).alias("s0"),
-        F.json_object_keys(F.get_json_object("t", "$[0]")).alias("k")).limit(1).first()
+    return json_rows(_load(spark.read.option("wholetext", True).text, path), "value")
+
+
+def json_rows(docs: DataFrame, text: str) -> DataFrame:
+    """The rows of a column of JSON documents; the first document decides the shape and the columns."""
+    d = docs.select(col(text).alias("t"), F.try_parse_json(col(text)).alias("v"))
+    head = d.select(F.schema_of_variant("v").alias("s"),
+                    F.json_object_keys(F.get_json_object("t", "$[0]")).alias("k")).limit(1).first()
     if head is None or head["s"] is None:
-        raise SourceError(f"{path} is not valid JSON")
+        raise SourceError("the document is not valid JSON")
     if head["s"].startswith("ARRAY"):
         items = d.selectExpr("posexplode(cast(v as array<variant>)) as (pos, value)")
         if head["k"] is not None:
-            quote = lambda k: "$[\"" + k.replace("\\", "\\\\").replace('"', '\\"') + "\"]"
+            quote = lambda k: '$["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]'
             return items.select([_truthy_text(F.try_variant_get("value", quote(k), "variant")).alias(k)
                                  for k in head["k"]])
         return items.select(F.col("pos").cast("long").alias("Index"), F.to_json("value").alias("Value"))
     if not head["s"].startswith("OBJECT"):
-        raise SourceError(f"{path} holds neither an array nor an object")
+        raise SourceError("the document holds neither an array nor an object")
     entries = d.select(F.explode(F.map_entries(F.expr("cast(v as map<string,variant>)"))).alias("e"))
     return entries.select(F.col("e.key").alias("Key"), _variant_text(F.col("e.value")).alias("Value"))
 
@@ -207,18 +210,25 @@ def read_xml(spark: SparkSession, path) -> DataFrame:
     """SRC-6: (file, fields map<path, text>), one row per document."""
     docs = _load(spark.read.option("wholetext", True).text, path).select(
         F.col("_metadata.file_path").alias("file"), "value")
+    return flatten_documents(docs, "file", "value")
+
+
+def flatten_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, fields map<path, text>) of a column of XML documents."""
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"file": pdf["file"], "fields": [flatten_xml(t) for t in pdf["value"]]})
+            yield pd.DataFrame({key: pdf[key], "fields": [flatten_xml(t) for t in pdf["_text"]]})
 
-    return docs.mapInPandas(flat, "file string, fields map<string,string>")
+    schema = T.StructType([docs.schema[key], T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
+    return docs.select(col(key), col(text).alias("_text")).mapInPandas(flat, schema)
 
 
 def xml_columns(docs: DataFrame) -> DataFrame:
     """The flattened documents as one column per path (paths of all documents, sorted)."""
     paths = sorted(r["p"] for r in docs.select(F.explode(F.map_keys("fields")).alias("p")).distinct().collect())
-    return docs.select("file", *[F.try_element_at("fields", F.lit(p)).alias(p) for p in paths])
+    keys = [col(c) for c in docs.columns if c != "fields"]
+    return docs.select(*keys, *[F.try_element_at("fields", F.lit(p)).alias(p) for p in paths])
 
 
 # ---------------------------------------------------------------- cell grids

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, once
 from ..functions.dates import parse_date
 
 # Fixed values.
@@ -25,16 +25,19 @@ ERRORS = {
 NOT_JSON = "body is not a JSON object"
 
 
-def _field(v: Column, name: str) -> tuple[Column, Column, Column]:
-    """Value as variant, its type and whether it counts as given (not null, false, 0 or '')."""
+def _field(v: Column, name: str) -> Column:
+    """One payload field as (text, kind, given); kind is text, number, boolean, nested or none.
+
+    A field is given when it is not null, false, 0 or ''.
+    """
     x = F.try_variant_get(v, f"$.{name}", "variant")
-    kind = F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
-    text = F.try_variant_get(v, f"$.{name}", "string")
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    number = ~(nested | kind.isin("STRING", "BOOLEAN", "VOID"))
-    given = (F.when(kind == "VOID", False).when(nested, True).when(kind == "STRING", text != "")
-             .when(kind == "BOOLEAN", text == "true").when(number, text.try_cast("double") != 0).otherwise(True))
-    return text, kind, F.coalesce(given, F.lit(False))
+    t = F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    kind = (F.when(t == "VOID", "none").when(t == "STRING", "text").when(t == "BOOLEAN", "boolean")
+            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), "nested").otherwise("number"))
+    text = F.when(kind != "nested", F.try_variant_get(v, f"$.{name}", "string"))
+    given = (F.when(kind == "none", False).when(kind == "nested", True).when(kind == "text", text != "")
+             .when(kind == "boolean", text == "true").otherwise(text.try_cast("double") != 0))
+    return F.struct(text.alias("text"), kind.alias("kind"), F.coalesce(given, F.lit(False)).alias("given"))
 
 
 def event_time(text: Column) -> Column:
@@ -43,28 +46,26 @@ def event_time(text: Column) -> Column:
     return F.coalesce(ms, F.try_to_timestamp(text), parse_date(text))
 
 
-def payload_errors(body: Column) -> Column:
-    """SS-1: list of errors of a JSON payload, empty when it is valid."""
-    v = F.try_parse_json(body)
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    time, time_kind, has_time = _field(v, "timestamp")
-    source, source_kind, has_source = _field(v, "source")
-    _, metrics_kind, has_metrics = _field(v, "metrics")
-    nested = metrics_kind.startswith("OBJECT") | metrics_kind.startswith("ARRAY")
+def validate(df: DataFrame, body: str = "body") -> DataFrame:
+    """SS-1: add errors (empty when the JSON payload is valid) and valid. The payload is parsed once."""
+    d = once(df, "_v", F.try_parse_json(col(body)))
+    v = F.col("_v")
+    # Compact JSON is never longer than the body, so only long bodies are written out again.
+    size = F.when(F.char_length(col(body)) > MAX_PAYLOAD, F.char_length(F.to_json(v))).otherwise(F.lit(0))
+    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    d = once(d, "_f", F.struct(*[_field(v, n).alias(n) for n in ("timestamp", "source", "metrics")],
+                               size.alias("size"), is_object.alias("is_object")))
+    time, source, metrics = F.col("_f.timestamp"), F.col("_f.source"), F.col("_f.metrics")
     checks = [
-        (~has_time, "timestamp"), (~has_source, "source"), (~has_metrics, "metrics"),
-        (has_time & event_time(time).isNull(), "time"),
-        (has_source & ((source_kind != "STRING") | (F.char_length(source) > MAX_SOURCE)), "text"),
-        (has_metrics & ~nested, "object"),
-        (F.char_length(F.to_json(v)) > MAX_PAYLOAD, "size"),
+        (~time["given"], "timestamp"), (~source["given"], "source"), (~metrics["given"], "metrics"),
+        (time["given"] & event_time(time["text"]).isNull(), "time"),
+        (source["given"] & ((source["kind"] != "text") | (F.char_length(source["text"]) > MAX_SOURCE)), "text"),
+        (metrics["given"] & (metrics["kind"] != "nested"), "object"),
+        (F.col("_f.size") > MAX_PAYLOAD, "size"),
     ]
     found = F.array_compact(F.array(*[F.when(c, F.lit(ERRORS[k])) for c, k in checks]))
-    return F.when(is_object, found).otherwise(F.array(F.lit(NOT_JSON)))
-
-
-def validate(df: DataFrame, body: str = "body") -> DataFrame:
-    """SS-1: add errors and valid."""
-    return df.withColumn("errors", payload_errors(col(body))).withColumn("valid", F.size("errors") == 0)
+    errors = F.when(F.col("_f.is_object"), found).otherwise(F.array(F.lit(NOT_JSON)))
+    return d.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_v", "_f")
 
 
 def sanitize_source(source: Column) -> Column:
@@ -95,8 +96,8 @@ def last_used(df: DataFrame, key: str = "key_hash", time: str = "ts") -> DataFra
 
 def event_rows(df: DataFrame, body: str = "body") -> DataFrame:
     """SS-7: rows of the live table from validated requests that carry a user_id."""
-    v = F.try_parse_json(col(body))
-    return df.select(
+    v = F.col("_v")
+    return once(df, "_v", F.try_parse_json(col(body))).select(
         event_time(F.try_variant_get(v, "$.timestamp", "string")).alias("timestamp"),
         sanitize_source(F.try_variant_get(v, "$.source", "string")).alias("source"),
         F.to_json(F.try_variant_get(v, "$.metrics", "variant")).alias("metrics"),

@@ -18,70 +18,76 @@ from ..functions.stage import staged
 # Fixed values.
 LIMIT, WINDOW_MS = 100, 60_000
 BLOCK_MS = 3_600_000
-
-
-def _next_openers(ms: np.ndarray, window: int) -> np.ndarray:
-    """For a request that opens a window, the index of the request that opens the next."""
-    return np.searchsorted(ms, ms + window, side="right")
+WHOLE_KEY = 2_000_000  # distinct milliseconds a key may have to be handled in one group
 
 
 def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, window_ms: int = WINDOW_MS,
-                block_ms: int = BLOCK_MS) -> DataFrame:
+                block_ms: int = BLOCK_MS, whole_key: int = WHOLE_KEY) -> DataFrame:
     """SS-4 in batch: add window_start (ms) and accepted.
 
     Which request opens a window depends on all before it, yet a busy key must not
-    go through one task. Time is cut into blocks. Requests are first reduced to the
-    distinct milliseconds of a (key, block), at most BLOCK_MS of them. Each block
-    tells, for every request that could open its first window, which one opens its
-    last (ranges with the same outcome are merged). Chaining these short tables
-    gives the window each block starts in; then all blocks list their openers
-    independently, at most BLOCK_MS / WINDOW_MS of them, and rows are numbered
-    inside their window.
+    go through one task. Requests are reduced to the distinct milliseconds of each
+    key. A key with at most `whole_key` of them is one group; a busier key is cut into
+    time blocks, which hold at most BLOCK_MS each. Every group tells, for each request that
+    could open its first window, which one opens its last (ranges with the same
+    outcome are merged). Chaining these short tables gives the window each group
+    starts in; then all groups list their openers independently, and rows are
+    numbered inside their window.
     """
     key_type = df.schema[key].dataType.simpleString()
     ms = F.unix_millis(col(time).cast("timestamp"))
     d = df.withColumn("_ms", ms).withColumn("_block", F.floor(F.col("_ms") / block_ms).cast("long"))
-    seen = staged(d.select(col(key).alias("key"), "_block", "_ms").filter("key is not null and _ms is not null").distinct())
+    seen = staged(d.select(col(key).alias("key"), "_ms").filter("key is not null and _ms is not null").distinct())
+    # At most rows / whole_key keys are busy, so this table stays small.
+    busy = seen.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole_key).select(
+        F.col("key").alias("_bk"))
+    part = F.when(F.col("_bk").isNotNull(), F.floor(F.col("_ms") / block_ms).cast("long")).otherwise(F.lit(-1))
+    seen = seen.join(F.broadcast(busy), F.col("key") == F.col("_bk"), "left").select("key", "_ms", part.alias("part"))
 
     def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.sort(pdf["_ms"].to_numpy())
-        last = _follow(_next_openers(m, window_ms), len(m))
-        start = pdf["_block"].iloc[0] * block_ms
-        first = np.flatnonzero(m <= start - 1 + window_ms)
-        upto = min(len(m), (first[-1] + 1 if len(first) else 0) + 1)
+        last = _follow(np.searchsorted(m, m + window_ms, side="right"), len(m))
+        start = pdf["part"].iloc[0] * block_ms
+        # An earlier window ends less than window_ms into the block: only these can open its first one.
+        upto = min(len(m), int(np.searchsorted(m, start - 1 + window_ms, side="right")) + 1)
         ends = m[last[:upto]]
         cut = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "_block": pdf["_block"].iloc[0], "upto": m[cut], "last": ends[cut]})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "part": pdf["part"].iloc[0], "upto": m[cut], "last": ends[cut]})
 
-    table = seen.groupBy("key", "_block").applyInPandas(outcomes, f"key {key_type}, _block long, upto long, last long")
+    table = seen.filter("part >= 0").groupBy("key", "part").applyInPandas(
+        outcomes, f"key {key_type}, part long, upto long, last long")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_block", "upto"])
-        out, carry = [], None
-        for block, part in pdf.groupby("_block", sort=True):
-            out.append((part["key"].iloc[0], block, carry))
-            upto, last = part["upto"].to_numpy(), part["last"].to_numpy()
-            i = 0 if carry is None else int(np.searchsorted(upto, carry + window_ms, side="right"))
+        out, carry = [], -1
+        for block, rows in pdf.sort_values(["part", "upto"]).groupby("part", sort=True):
+            out.append((rows["key"].iloc[0], block, carry))
+            upto, last = rows["upto"].to_numpy(), rows["last"].to_numpy()
+            i = 0 if carry < 0 else int(np.searchsorted(upto, carry + window_ms, side="right"))
             if i < len(upto):
                 carry = int(last[i])
-        return pd.DataFrame(out, columns=["key", "_block", "carry"]).astype({"carry": "Int64"})
+        return pd.DataFrame(out, columns=["key", "part", "carry"])
 
-    carries = table.groupBy("key").applyInPandas(chain, f"key {key_type}, _block long, carry long")
+    carries = table.groupBy("key").applyInPandas(chain, f"key {key_type}, part long, carry long")
 
-    def openers(ids, have: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        m = np.sort(have["_ms"].to_numpy())
-        carry = before["carry"].iloc[0] if len(before) else None
-        found = [] if carry is None or pd.isna(carry) else [int(carry)]
-        i = int(np.searchsorted(m, found[0] + window_ms, side="right")) if found else 0
+    def openers(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.sort(pdf["_ms"].to_numpy())
+        carry = int(pdf["carry"].iloc[0])
+        found = [] if carry < 0 else [carry]
+        i = int(np.searchsorted(m, carry + window_ms, side="right")) if found else 0
         while i < len(m):
             found.append(int(m[i]))
             i = int(np.searchsorted(m, m[i] + window_ms, side="right"))
-        return pd.DataFrame({"key": [ids[0]], "_block": [ids[1]], "openers": [found]})
-
-    starts = seen.groupBy("key", "_block").cogroup(carries.groupBy("key", "_block")).applyInPandas(
-        openers, f"key {key_type}, _block long, openers array<bigint>").withColumnRenamed("_block", "_b")
-    joined = d.join(starts, (col(key) == F.col("key")) & (F.col("_block") == F.col("_b")), "left") if key != "key" else \
-        d.join(starts.withColumnRenamed("key", "_k"), (col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
+        o = np.array(found)
+        blocks = np.unique(m // block_ms)
+        lists = [o[max(int(np.searchsorted(o, b * block_ms, side="right")) - 1, 0):
+                   int(np.searchsorted(o, (b + 1) * block_ms))] for b in blocks]
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "block": blocks, "openers": lists})
+
+    start = F.coalesce("carry", F.lit(-1).cast("long")).alias("carry")
+    starts = seen.join(carries, ["key", "part"], "left").select("key", "part", "_ms", start).groupBy(
+        "key", "part").applyInPandas(openers, f"key {key_type}, block long, openers array<bigint>").select(
+        F.col("key").alias("_k"), F.col("block").alias("_b"), "openers")
+    joined = d.join(starts, (col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
     opened = F.array_max(F.filter("openers", lambda o: o <= F.col("_ms")))
     rank = F.row_number().over(Window.partitionBy(col(key), "window_start").orderBy("_ms", col(time), col(tie)))
     return joined.withColumn("window_start", opened).withColumn("accepted", rank <= limit).select(
