@@ -45,7 +45,7 @@ def as_number(field: T.StructField, c: Column | None = None) -> Column:
     c = col(field.name) if c is None else c
     dtype = field.dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c.cast("double"))
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
     if isinstance(dtype, T.NumericType):
@@ -67,7 +67,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     if not floats:
         return df
     return df.select(
-        [F.when(~F.isnan(col(n)), col(n)).alias(n) if n in floats else col(n) for n in df.columns]
+        [F.nanvl(col(n), F.lit(None).cast(df.schema[n].dataType)).alias(n) if n in floats else col(n)
+         for n in df.columns]
     )
 
 

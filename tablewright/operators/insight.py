@@ -13,6 +13,7 @@ from ..functions.columns import (
     text_columns,
 )
 from ..functions.dates import looks_like_date, parse_date
+from ..functions.jobs import together
 from ..functions.quantiles import exact_quantiles
 from ..functions.values import top_values, value_counts
 from .quality import distinct_facts, moment_facts
@@ -329,18 +330,23 @@ def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = No
     kinds = classes(df)
     spark = df.sparkSession
     none = spark.createDataFrame([], "metric string, period timestamp_ntz, value double")
-    has_trend = kinds["datetime"] and kinds["numeric"]
-    values = trend_values(df, kinds["datetime"][0], kinds["numeric"]) if has_trend else none
-    points = pin(trend_points(values))
-    trend = trends(points)
-    cats, nums = pick_segments(df, kinds)
-    segs = pin(segments(df, cats, nums)) if cats else spark.createDataFrame(
-        [], "segment_column string, metric_column string, segment string, mean double, sum double, count long, rank int")
-    leaders = segment_leaders(segs)
-    odd = pin(anomalies(df, kinds["numeric"], order))
-    summary = column_summary(df, kinds, order)
+
+    def trending():
+        has = kinds["datetime"] and kinds["numeric"]
+        return pin(trend_points(trend_values(df, kinds["datetime"][0], kinds["numeric"]) if has else none))
+
+    def segmented():
+        cats, nums = pick_segments(df, kinds)
+        return pin(segments(df, cats, nums)) if cats else spark.createDataFrame(
+            [], "segment_column string, metric_column string, segment string, mean double, sum double, count long, rank int")
+
+    # All of these have a bounded number of rows.
+    points, segs, odd, summary, rows = together(
+        spark, trending, segmented, lambda: pin(anomalies(df, kinds["numeric"], order)),
+        lambda: pin(column_summary(df, kinds, order)), df.count)
+    trend, leaders = trends(points), segment_leaders(segs)
     rec = recommendations(report["summary"], report["defects"], trend, odd, leaders, kinds)
-    meta = spark.createDataFrame([(df.count(), len(df.columns), *(len(kinds[k]) for k in kinds))],
+    meta = spark.createDataFrame([(rows, len(df.columns), *(len(kinds[k]) for k in kinds))],
                                  "rows long, columns int, numeric int, datetime int, categorical int, other int")
     return {
         "summary": summary,

@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import severity as sev
 from ..functions.columns import (
-    as_number, col, date_columns, finite, groupable, long_rows, nan_to_null,
+    as_number, col, finite, groupable, is_date, long_rows, nan_to_null,
     numeric_columns, percent, pin, text_as_number, text_columns, variant_columns,
 )
 from ..functions.dates import looks_like_date
+from ..functions.jobs import together
 from ..functions.quantiles import exact_quantiles
 
 # Name parts that imply a value cannot be negative.
@@ -75,36 +76,40 @@ def require_rows(df: DataFrame) -> None:
 # ---------------------------------------------------------------- facts
 
 def moment_facts(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls, number statistics, negatives, infinities. One scan."""
-    df = nan_to_null(df)
+    """One row per column: rows, nulls, number statistics, negatives, infinities. One scan.
+
+    The generated code is kept short, since a wide table easily outgrows what the JVM
+    compiles: the number view is null exactly where a number, boolean or date is
+    missing, so only other columns need a count of their own.
+    """
+    fields = list(df.schema)
+    own = [isinstance(f.dataType, (T.NumericType, T.BooleanType)) or is_date(f.dataType) for f in fields]
     # Number views first, in a projection, so that each text is read as a number once and not per statistic.
-    d = df.select(*[as_number(f).alias(f"x{i}") for i, f in enumerate(df.schema)],
-                  *[col(f.name).isNull().alias(f"z{i}") for i, f in enumerate(df.schema)])
+    d = df.select(*[as_number(f).alias(f"x{i}") for i, f in enumerate(fields)],
+                  *[col(f.name).alias(f"c{i}") for i, f in enumerate(fields) if not own[i]])
     aggs = [F.count(F.lit(1)).alias("rows")]
     entries = []
-    for i, f in enumerate(df.schema):
+    for i, f in enumerate(fields):
         x = F.col(f"x{i}")
         numeric = isinstance(f.dataType, (T.NumericType, T.BooleanType))
-        floating = isinstance(f.dataType, (T.FloatType, T.DoubleType))
-        aggs += [
-            F.count_if(f"z{i}").alias(f"nulls{i}"),
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-        ]
-        # Dates are never negative findings; other columns count only when the name implies it.
-        negative = F.lit(0).cast("long")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        present = F.col(f"n{i}")
+        if not own[i]:
+            aggs.append(F.count(f"c{i}").alias(f"p{i}"))
+            present = F.col(f"p{i}")
+        negative = infinite = F.lit(0).cast("long")
         if implies_non_negative(f.name):
             aggs.append(F.count_if(x < 0).alias(f"neg{i}"))
             negative = F.col(f"neg{i}")
-        infinite = F.lit(0).cast("long")
-        if floating:
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             aggs.append(F.count_if(F.abs(x) == float("inf")).alias(f"inf{i}"))
             infinite = F.col(f"inf{i}")
         entries.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(numeric).alias("is_numeric"),
             F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"),
-            F.col("rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"n{i}").alias("numbers"),
+            F.col("rows"), (F.col("rows") - present).alias("nulls"), F.col(f"n{i}").alias("numbers"),
             F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
             F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
             negative.alias("negatives"), infinite.alias("infinites"),
@@ -422,42 +427,56 @@ def roll_up(defects: DataFrame) -> DataFrame:
 def all_facts(df: DataFrame, lexical: bool = False, approx: bool = False) -> DataFrame:
     """Moments, outliers, distinct counts and cell types of every column, a row per column.
 
-    The table is as long as the schema is wide, so it is fixed on the driver once
-    and every check reads it from there.
+    The parts are as long as the schema is wide, so they are put together on the
+    driver and every check reads the result from there.
     """
-    moments = moment_facts(df).collect()
-    spark = df.sparkSession
-    base = spark.createDataFrame(moments, moment_facts(df).schema) if moments else moment_facts(df)
-    facts = (
-        base.join(outlier_facts(df, moments, OUTLIER_SIGMA), "column", "left")
-        .join(distinct_facts(df, approx=approx), "column", "left")
-        .join(type_facts(df, lexical), "column", "left")
-    )
-    return pin(facts)
+    def measured():
+        facts = moment_facts(df)
+        known = facts.collect()
+        far = outlier_facts(df, known, OUTLIER_SIGMA)
+        return facts.schema, known, far.schema, far.collect()
+
+    def counted(part: DataFrame):
+        return lambda: (part.schema, part.collect())
+
+    parts = [distinct_facts(df, approx=approx)]
+    if lexical or variant_columns(df):
+        parts.append(type_facts(df, lexical))
+    (base, known, *far), *others = together(df.sparkSession, measured, *map(counted, parts))
+    rows = {r["column"]: r.asDict() for r in known}
+    schema = T.StructType(list(base))
+    for part, found in [tuple(far), *others]:
+        for r in found:
+            rows[r["column"]].update(r.asDict())
+        schema = T.StructType([*schema, *(f for f in part if f.name != "column")])
+    for f in ("dominant string", "types long", "mixed long"):
+        name, kind = f.split()
+        if name not in schema.names:
+            schema = schema.add(name, kind)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    return df.sparkSession.createDataFrame([tuple(r.get(n) for n in schema.names) for r in rows.values()], schema)
 
 
 def assess(df: DataFrame, lexical: bool = False, approx: bool = False) -> dict[str, DataFrame]:
     """All checks: tables `defects` (with owner), `profiles`, `summary` and the `facts` behind them."""
     require_rows(df)
-    facts = all_facts(df, lexical, approx)
-    rows = facts.first()["rows"]
-    groups = [
+    facts, copies, pairs = together(
+        df.sparkSession, lambda: all_facts(df, lexical, approx), lambda: pin(duplicate_facts(df)),
+        lambda: pin(pair_correlations(df, booleans=True)))
+    total = facts.first()["rows"]
+    checks = [
         (0, mixed_types(facts)), (0, column_naming(facts)), (1, null_values(facts)),
         (2, negative_values(facts)), (2, case_inconsistency(facts)),
-        (3, duplicate_rows(duplicate_facts(df), df.columns)),
+        (3, duplicate_rows(copies, df.columns)),
         (4, zero_variance(facts)), (4, extreme_outliers(facts)), (4, infinite_values(facts)),
         (4, extreme_cardinality(facts)), (5, non_unique_id(facts)),
-        (6, duplicate_measurement(pair_correlations(df, booleans=True), F.lit(rows))),
+        (6, duplicate_measurement(pairs, F.lit(total))),
     ]
+    marked = [d.select(F.lit(g).alias("g"), F.lit(k).alias("k"), *d.columns) for k, (g, d) in enumerate(checks)]
     place = {n: i for i, n in enumerate(df.columns)}
-    kinds = {}
-    found = []
-    for g, d in groups:
-        for k, r in enumerate(d.collect()):  # one row per finding, bounded by the schema
-            found.append((g, place[r["columns"][0]], len(kinds), k, r))
-        kinds[len(kinds)] = g
-    found.sort(key=lambda t: t[:4])
-    records = [(i, *t[4]) for i, t in enumerate(found)]
+    found = reduce(DataFrame.unionAll, marked).collect()  # one row per finding, bounded by the schema
+    found.sort(key=lambda r: (r["g"], *(place[c] for c in r["columns"][:1]), r["k"], *(place[c] for c in r["columns"][1:2])))
+    records = [(i, *r[2:]) for i, r in enumerate(found)]
     defects = with_owner(df.sparkSession.createDataFrame(records, DEFECTS))
     return {"defects": defects, "profiles": column_profiles(facts), "summary": roll_up(defects), "facts": facts}
 

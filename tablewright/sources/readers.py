@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import NUMBER_TEXT, col
+from ..functions.stage import staged
 
 # Cell texts that mean "missing".
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -73,19 +74,20 @@ def read_tsv(spark: SparkSession, path) -> DataFrame:
 
 
 def read_strict_csv(spark: SparkSession, path, schema: T.StructType | None = None,
-                    rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+                    rejects: bool = False, header: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
     """SRC-3: text cells, blank lines skipped, empty cells null; the first bad record fails the read.
 
     With `rejects` the bad records come back as a second table (line) instead.
     """
-    base = spark.read.option("header", True).option("escape", '"')
+    base = spark.read.option("header", header).option("escape", '"')
     if schema is None:
         schema = _load(base.csv, path).schema
     if not rejects:
         return _load(base.option("mode", "FAILFAST").schema(schema).csv, path)
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    d = _load(base.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-              .schema(wide).csv, path)
+    # Saved once: good and bad records must come from the same parse.
+    d = staged(_load(base.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+                     .schema(wide).csv, path))
     bad = F.col("_corrupt_record").isNotNull()
     return d.filter(~bad).drop("_corrupt_record"), d.filter(bad).select(F.col("_corrupt_record").alias("line"))
 
