@@ -104,14 +104,14 @@ def solve_programs(constraints: DataFrame, objectives: DataFrame, key: str, slic
     total = max(1, -(-c.count() // slice_rows))
     c = c.withColumn("slice", F.pmod(F.xxhash64("a", "b"), F.lit(total)))
 
-    def reduce_slice(ids, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce_slice(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i = _binding(*(pdf[x].to_numpy() for x in "abr"))
         return pd.DataFrame({"key": ids[0], **{x: pdf[x].to_numpy()[i] for x in "abr"}})
 
     binding = c.groupBy("key", "slice").applyInPandas(reduce_slice, rows) if total > 1 else c.select("key", *"abr")
     goal = objectives.select(F.col(key).alias("key"), F.col("px").cast("double"), F.col("py").cast("double"))
 
-    def solve(ids, rows_of: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
+    def solve(ids: tuple, rows_of: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
         if not len(goals):
             return pd.DataFrame({"key": [], "x": [], "y": [], "value": []})
         a, b, r = (rows_of[x].to_numpy(dtype=float) for x in "abr")

@@ -51,7 +51,7 @@ def _coerced_json(s, d) -> DataFrame:
 QUERIES["cl_coerce_json"] = lambda s, d: rounded(_coerced_json(s, d))
 SQL["cl_coerce_json"] = """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'float' WHEN event_id % 11 = 0 THEN 'str'
     ELSE 'float' END AS cell_type, ROUND(CASE WHEN event_id % 10 = 0 THEN 7.0::DOUBLE WHEN event_id % 11 = 0 THEN NULL
-    ELSE value END, 4) AS number FROM events"""
+    ELSE value END, 6) AS number FROM events"""
 
 # CL-4
 _MAP = f"""SELECT variant, canonical, n FROM (SELECT c_mktsegment AS variant, count(*) AS n, first(c_mktsegment) OVER (

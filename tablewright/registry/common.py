@@ -48,14 +48,14 @@ def view(name: str) -> str:
     return "(" + sql.format(**{s: s for s in sources}) + ")"
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles for display, so that the order of additions does not show."""
     return df.select([
         F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def r(x: str, digits: int = 4) -> str:
+def r(x: str, digits: int = 6) -> str:
     return f"ROUND(CAST({x} AS DOUBLE), {digits})"
 
 

@@ -32,7 +32,7 @@ def _csv(s, d, sep=",") -> str:
 
 
 QUERIES["src_csv"] = lambda s, d: rounded(rd.read_csv(s, _csv(s, d)))
-SQL["src_csv"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 2 THEN ROUND(o_totalprice, 4) END AS price,
+SQL["src_csv"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 2 THEN ROUND(o_totalprice, 6) END AS price,
     CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority, o_orderkey % 2 = 0 AS flag FROM orders"""
 QUERIES["src_tsv"] = lambda s, d: rounded(rd.read_tsv(s, _csv(s, d, "\t")))
 SQL["src_tsv"] = SQL["src_csv"]
@@ -84,9 +84,9 @@ SQL["src_text_table"] = "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey %
 # SRC-5: one JSON document per user and day
 _doc = lambda s, d, item: table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
     F.to_json(F.collect_list(item), {"ignoreNullFields": "false"}).alias("doc"))
-_item = F.struct("event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind"),
+_item = lambda: F.struct("event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind"),
                  (F.col("event_id") % 10).alias("digit"), (F.col("event_id") % 2 == 0).alias("even"))
-QUERIES["src_json_objects"] = lambda s, d: rd.json_rows(_doc(s, d, _item), "doc")
+QUERIES["src_json_objects"] = lambda s, d: rd.json_rows(_doc(s, d, _item()), "doc")
 SQL["src_json_objects"] = """SELECT CASE WHEN event_id = 0 THEN '' ELSE event_id::VARCHAR END AS event_id,
     CASE WHEN event_id % 4 <> 0 THEN event_type ELSE '' END AS kind, CASE WHEN event_id % 10 = 0 THEN '' ELSE (event_id % 10)::VARCHAR END
     AS digit, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '' END AS even FROM events"""
@@ -96,10 +96,10 @@ QUERIES["src_json_entries"] = lambda s, d: rd.json_rows(table(s, d, "events"), "
 SQL["src_json_entries"] = """SELECT 'k' AS "Key", json_extract_string(props, '$.k') AS "Value", count(*) AS n FROM events GROUP BY 2"""
 
 # SRC-6: one XML document per order
-_XML = F.concat(F.lit("<order id=\""), F.col("o_orderkey"), F.lit("\"><status>"), F.col("o_orderstatus"), F.lit("</status><item n=\"1\">x"),
+_xml = lambda: F.concat(F.lit("<order id=\""), F.col("o_orderkey"), F.lit("\"><status>"), F.col("o_orderstatus"), F.lit("</status><item n=\"1\">x"),
                 F.col("o_custkey"), F.lit("</item><item><deep>"), F.col("o_orderpriority"), F.lit("</deep></item></order>"))
 QUERIES["src_xml"] = lambda s, d: rd.xml_columns(rd.flatten_documents(
-    table(s, d, "orders").select("o_orderkey", _XML.alias("doc")), "o_orderkey", "doc"))
+    table(s, d, "orders").select("o_orderkey", _xml().alias("doc")), "o_orderkey", "doc"))
 SQL["src_xml"] = """SELECT o_orderkey, o_orderkey::VARCHAR AS "order.$.id", o_orderstatus AS "order.status[0]", '1' AS "order.item[0].$.n",
     'x' || o_custkey AS "order.item[0]._", o_orderpriority AS "order.item[1].deep[0]" FROM orders"""
 
@@ -139,9 +139,9 @@ QUERIES["src_any"] = _any
 SQL["src_any"] = "SELECT o_orderkey, o_orderpriority FROM orders"
 QUERIES["src_preview"] = lambda s, d: joined(rd.preview(table(s, d, "part"))[1], "names")
 SQL["src_preview"] = "SELECT count(*) AS rows, 6 AS columns, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS names FROM part"
-_PATH = F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 3 == 0, "..").otherwise("_"), F.col("p_name"), F.lit(" "), F.col("p_brand"),
+_path = lambda: F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 3 == 0, "..").otherwise("_"), F.col("p_name"), F.lit(" "), F.col("p_brand"),
                  F.lit(".v1.csv"))
-QUERIES["src_dataset_key"] = lambda s, d: table(s, d, "part").select("p_partkey", rd.dataset_key(_PATH).alias("key"))
+QUERIES["src_dataset_key"] = lambda s, d: table(s, d, "part").select("p_partkey", rd.dataset_key(_path()).alias("key"))
 SQL["src_dataset_key"] = """SELECT p_partkey, replace(lower(p_name || '_' || regexp_replace(p_brand, '[^A-Za-z0-9._-]', '_', 'g')), ' ', '_') || '.v1'
     AS key FROM part"""
 

@@ -226,7 +226,7 @@ SQL["pr_dispatch"] = f"""WITH g AS (SELECT o_orderstatus, count(*) AS n, avg(o_t
 
 # TM-1 to TM-4
 QUERIES["tm_summary"] = lambda s, d: rounded(fc.series_summary(table(s, d, "events"), "value"))
-SQL["tm_summary"] = f"""SELECT {r("avg(value)")} AS mean, {r("median(value)")} AS median, (SELECT ROUND(value, 4) FROM events GROUP BY value
+SQL["tm_summary"] = f"""SELECT {r("avg(value)")} AS mean, {r("median(value)")} AS median, (SELECT ROUND(value, 6) FROM events GROUP BY value
     ORDER BY count(*) DESC, value LIMIT 1) AS mode, {r("stddev_pop(value)")} AS std_dev FROM events"""
 QUERIES["tm_hist"] = lambda s, d: rounded(fc.histogram(table(s, d, "events"), "value", 12))
 SQL["tm_hist"] = f"""WITH m AS (SELECT min(value) AS lo, (max(value) - min(value)) / 12 AS w FROM events),
@@ -284,7 +284,7 @@ def _programs(s, d) -> tuple[DataFrame, DataFrame]:
 QUERIES["tm_lp"] = lambda s, d: rounded(lp.solve_programs(*_programs(s, d), "nation").select("nation", "value"), 3)
 SQL["tm_lp"] = f"""WITH c AS (SELECT s_nationkey AS nation, s_suppkey AS i, (1 + s_suppkey % 7)::DOUBLE AS a, (1 + s_suppkey % 5)::DOUBLE AS b,
       abs(s_acctbal) + 10 AS r FROM supplier),
-    p AS (SELECT DISTINCT nation, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM c UNION SELECT nation, r / a, 0.0 FROM c
+    p AS (SELECT n_nationkey AS nation, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM nation UNION SELECT nation, r / a, 0.0 FROM c
       UNION SELECT nation, 0.0, r / b FROM c
       UNION SELECT u.nation, (u.r * w.b - w.r * u.b) / (u.a * w.b - w.a * u.b), (u.a * w.r - w.a * u.r) / (u.a * w.b - w.a * u.b)
         FROM c u JOIN c w ON u.nation = w.nation AND u.i < w.i AND u.a * w.b - w.a * u.b <> 0),
