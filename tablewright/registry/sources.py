@@ -203,7 +203,7 @@ def _model_row(s, d) -> DataFrame:
 
 QUERIES["snk_model"] = _model_row
 SQL["snk_model"] = f"""SELECT 'regression' AS model_type, 'linear_regression' AS algorithm, 'l_extendedprice' AS target_column,
-    {r("1 - sum(pow(l_extendedprice - l_quantity * 2100, 2)) / (var_pop(l_extendedprice) * count(*))")} AS accuracy_score FROM lineitem"""
+    {r("1 - sum(pow(l_extendedprice - l_quantity * 2100, 2)) / (var_pop(l_extendedprice) * count(*))", 4)} AS accuracy_score FROM lineitem"""
 
 
 def _catalogue(s, d) -> DataFrame:
