@@ -1,11 +1,11 @@
 """Exact quantiles with linear interpolation, for tables of any size.
 
 `percentile` keeps every distinct value of a column in one buffer. It is used
-only when the row count is checked to be small. Larger tables are narrowed down
+only when rows times columns are checked to be few. Larger tables are narrowed down
 instead: each pass counts the rows per value bucket inside the interval that
 holds the wanted rank (a map-side combined group-by of at most BUCKETS rows per
-interval), and the next pass looks into that one bucket, until its rows fit the
-same bound or all its values are equal. Nothing but the bucket table reaches the
+interval), and the next pass looks into that one bucket, until its rows are
+at most SMALL_ROWS or all its values are equal. Nothing but the bucket table reaches the
 driver and no column is sorted or shuffled.
 """
 
@@ -16,14 +16,15 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS = 4096
-IN_MEMORY_ROWS = 2_000_000
+IN_MEMORY_CELLS = 1_000_000
+SMALL_ROWS = 10_000
 
 
 def exact_quantiles(
     df: DataFrame,
     exprs: dict[str, Column],
     probs: list[float],
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory: int = IN_MEMORY_CELLS,
     rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """{name: [quantile per prob]}; null where a column has no value. Expressions must be double."""
@@ -31,10 +32,10 @@ def exact_quantiles(
         return {}
     d = df.select([e.alias(n) for n, e in exprs.items()])
     rows = d.count() if rows is None else rows
-    if rows <= in_memory_rows:
+    if rows * len(exprs) <= in_memory:
         row = d.agg(*[F.percentile(_q(n), F.array(*map(F.lit, probs))).alias(n) for n in exprs]).first()
         return {n: (list(row[n]) if row[n] is not None else [None] * len(probs)) for n in exprs}
-    return _narrowed(d, list(exprs), probs, in_memory_rows)
+    return _narrowed(d, list(exprs), probs, min(in_memory, SMALL_ROWS))
 
 
 def _q(name: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_number, col
 from ..functions.quantiles import exact_quantiles
-from ..functions.stage import staged
+from ..functions.stage import spread, staged
 
 TREES = 100
 SAMPLE = 256
@@ -84,8 +84,8 @@ def isolation_scores(df: DataFrame, columns: list[str], seed: int = 42, trees: i
     scale = float(_average_path(np.array([size]))[0]) or 1.0
 
     @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        x = np.array(values.tolist(), dtype=float).reshape(len(values), -1)
+    def score(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(dtype=float) for v in values])
         depth = np.zeros(len(x))
         for feature, threshold, left, right, rest in model.value:
             node = np.zeros(len(x), dtype=int)
@@ -101,12 +101,12 @@ def isolation_scores(df: DataFrame, columns: list[str], seed: int = 42, trees: i
             depth += steps + rest[node]
         return pd.Series(np.exp2(-depth / len(model.value) / scale))
 
-    return df.withColumn(SCORE, score(F.array(*numbers)))
+    return df.withColumn(SCORE, score(*numbers))
 
 
 def drop_isolated(df: DataFrame, columns: list[str], contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """CL-23: drop the `contamination` share of rows that are easiest to isolate."""
-    scored = staged(isolation_scores(df, columns, seed))
+    scored = staged(isolation_scores(spread(df), columns, seed))
     cut = exact_quantiles(scored, {"s": F.col(SCORE)}, [1 - contamination])["s"][0]
     kept = scored if cut is None else scored.filter(F.col(SCORE) <= F.lit(cut))
     return kept.select(*map(col, df.columns))

@@ -28,34 +28,26 @@ TREND_SHARE = 0.7
 
 
 def classify_columns(df: DataFrame) -> DataFrame:
-    """IN-1: (position, column, class) with class numeric, datetime, categorical or other."""
+    """IN-1: (position, column, class) with class numeric, datetime, categorical or other.
+
+    Text is judged on its distinct values with their counts, so a value is parsed once however often it occurs.
+    """
     text = text_columns(df)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, t in enumerate(text):
-        aggs += [F.count_if(looks_like_date(col(t))).alias(f"p{i}")]
-    shares = df.agg(*aggs)
-    distinct = distinct_facts(df, text) if text else None
     entries = []
     for i, f in enumerate(df.schema):
-        if isinstance(f.dataType, T.NumericType):
-            kind = F.lit("numeric")
-        elif is_date(f.dataType):
-            kind = F.lit("datetime")
-        elif f.name in text:
-            kind = F.when((F.col("rows") > 0) & (F.col(f"p{text.index(f.name)}") >= DATE_SHARE * F.col("rows")),
-                          "datetime")
-        else:
-            kind = F.lit("other")
-        entries.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), kind.alias("class"),
-                                F.col("rows")))
-    out = shares.select(long_rows(entries))
-    if distinct is not None:
-        out = out.join(distinct.select("column", "distinct"), "column", "left")
-    else:
-        out = out.withColumn("distinct", F.lit(None).cast("long"))
-    few = F.col("distinct") < CATEGORY_SHARE * F.col("rows")
-    return out.select("position", "column",
-                      F.coalesce("class", F.when(few, "categorical").otherwise("other")).alias("class"))
+        kind = ("numeric" if isinstance(f.dataType, T.NumericType) else "datetime" if is_date(f.dataType)
+                else None if f.name in text else "other")
+        entries.append((i, f.name, kind))
+    base = df.sparkSession.createDataFrame(entries, "position int, column string, class string")
+    if not text:
+        return base
+    rows = df.count()
+    found = value_counts(df, text).groupBy("column").agg(
+        F.sum(F.when(looks_like_date(F.col("value")), F.col("n")).otherwise(0)).alias("dates"), F.count("*").alias("distinct"))
+    dated = F.col("dates") >= DATE_SHARE * rows
+    few = F.coalesce("distinct", F.lit(0)) < CATEGORY_SHARE * rows
+    kind = F.when(dated & F.lit(rows > 0), "datetime").when(few, "categorical").otherwise("other")
+    return base.join(pin(found), "column", "left").select("position", "column", F.coalesce("class", kind).alias("class"))
 
 
 def classes(df: DataFrame) -> dict[str, list[str]]:

@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_number, col, long_rows, nan_to_null, numeric_columns
-from ..functions.stage import staged
+from ..functions.stage import spread, staged
 
 # Fixed values.
 TEST_SHARE, SEED, TREES, MIN_ROWS = 20, 42, 100, 10
@@ -40,7 +40,7 @@ def model_frame(df: DataFrame, target: str, features: list[str] | None = None) -
     numeric_target = isinstance(fields[target].dataType, T.NumericType)
     label = as_number(fields[target]) if numeric_target else col(target).cast("string")
     frame = df.select(*[as_number(fields[c]).alias(c) for c in features], label.alias("_y")).na.drop()
-    frame = staged(frame.withColumn("_test", split_mark(frame)))
+    frame = staged(spread(frame.withColumn("_test", split_mark(frame))))
     if frame.count() < MIN_ROWS:
         raise ModelError(f"at least {MIN_ROWS} complete rows are needed")
     return frame, features

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import as_number, col
 from ..functions.joins import lookup
-from ..functions.stage import staged
+from ..functions.stage import spread, staged
 
 BLOCK_ROWS = 20_000
 REQUESTS_PER_TASK = 20_000
@@ -104,15 +104,14 @@ def impute_neighbours(df: DataFrame, columns: list[str], k: int = 5, block_rows:
                         yield pd.DataFrame({"id": ids[r], "feature": np.full(len(r), f, dtype="int32"),
                                             "block": block[b], "v": [part["v"].iloc[i] for i in r]})
 
-    visits = staged(requests.select("id", "v").mapInPandas(
+    visits = staged(spread(requests.select("id", "v")).mapInPandas(
         route, "id long, feature int, block string, v array<double>"))
     # A block asked for by many rows is copied to several tasks, each with its share of the requests.
     asked = visits.groupBy("block").agg(F.ceil(F.count("*") / REQUESTS_PER_TASK).cast("int").alias("copies"))
     served = donors.join(asked, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    sized = spark.sparkContext.broadcast(
-        {r["block"]: r["copies"] for r in asked.filter("copies > 1").collect()})  # one entry per busy block
-    spread = F.create_map(*[F.lit(x) for kv in sized.value.items() for x in kv]) if sized.value else None
-    copies = F.coalesce(F.element_at(spread, F.col("block")), F.lit(1)) if spread is not None else F.lit(1)
+    sized = {r["block"]: r["copies"] for r in asked.filter("copies > 1").collect()}  # one entry per busy block
+    busy = F.create_map(*[F.lit(x) for kv in sized.items() for x in kv]) if sized else None
+    copies = F.coalesce(F.try_element_at(busy, F.col("block")), F.lit(1)) if busy is not None else F.lit(1)
     visits = visits.withColumn("copy", F.pmod(F.xxhash64("id", "feature"), copies).cast("int"))
 
     def nearest(_, asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:

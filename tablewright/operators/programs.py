@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.stage import staged
+
 SLICE_ROWS = 100_000
 
 
@@ -97,18 +99,24 @@ def solve_programs(constraints: DataFrame, objectives: DataFrame, key: str, slic
     """
     key_type = constraints.schema[key].dataType.simpleString()
     rows = f"key {key_type}, a double, b double, r double"
-    # Equal constraints count once; a problem is cut into as many slices as its size asks for.
     c = constraints.select(F.col(key).alias("key"), *[F.col(x).cast("double").alias(x) for x in "abr"]).filter(
-        "a is not null and b is not null and r is not null")
-    c = c.groupBy("key", "a", "b").agg(F.min("r").alias("r"))
-    total = max(1, -(-c.count() // slice_rows))
-    c = c.withColumn("slice", F.pmod(F.xxhash64("a", "b"), F.lit(total)))
+        "key is not null and a is not null and b is not null and r is not null")
+    # Of rows with the same left side only the tightest counts.
+    c = staged(c.groupBy("key", "a", "b").agg(F.min("r").alias("r")))
+    # At most rows / slice_rows problems are large, so this table stays small.
+    large = c.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows).select(
+        F.col("key").alias("_k"), F.ceil(F.col("n") / slice_rows).alias("slices"))
 
     def reduce_slice(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i = _binding(*(pdf[x].to_numpy() for x in "abr"))
         return pd.DataFrame({"key": ids[0], **{x: pdf[x].to_numpy()[i] for x in "abr"}})
 
-    binding = c.groupBy("key", "slice").applyInPandas(reduce_slice, rows) if total > 1 else c.select("key", *"abr")
+    binding = c.select("key", *"abr")
+    if not large.isEmpty():
+        marked = c.join(F.broadcast(large), F.col("key") == F.col("_k"), "left")
+        binding = marked.filter("_k is null").select("key", *"abr").unionByName(
+            marked.filter("_k is not null").withColumn("slice", F.pmod(F.xxhash64("a", "b"), F.col("slices")))
+            .groupBy("key", "slice").applyInPandas(reduce_slice, rows))
     goal = objectives.select(F.col(key).alias("key"), F.col("px").cast("double"), F.col("py").cast("double"))
 
     def solve(ids: tuple, rows_of: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:

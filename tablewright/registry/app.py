@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import once
 from ..functions.stage import shared_dir
 from ..operators import dashboard as db, intent as nl, quality as q, stats as st
 from ..streaming import feed, intake, quota
@@ -178,7 +179,7 @@ _PAYLOAD = """CASE event_id % 9
     WHEN 4 THEN '{"timestamp": "2024-02-01", "source": "a", "metrics": 5}' WHEN 5 THEN '{"timestamp": "", "source": 7, "metrics": []}'
     WHEN 6 THEN concat('{"timestamp": "2024-02-01", "source": "a", "metrics": {"v": "', repeat('y', 100000), '"}}')
     WHEN 7 THEN 'not json' ELSE '{"timestamp": 1704103200000, "source": "a", "metrics": [1]}' END"""
-_payloads = lambda s, d: table(s, d, "events").select("event_id", "user_id", F.expr(_PAYLOAD).alias("body"))
+_payloads = lambda s, d: once(table(s, d, "events").select("event_id", "user_id", "event_type"), "body", F.expr(_PAYLOAD)).drop("event_type")
 QUERIES["ss_validate"] = lambda s, d: intake.validate(_payloads(s, d)).select(
     "event_id", F.array_join("errors", "; ").alias("errors"), "valid")
 SQL["ss_validate"] = f"""SELECT event_id, CASE event_id % 9 WHEN 1 THEN '{intake.ERRORS["timestamp"]}' WHEN 2 THEN '{intake.ERRORS["time"]}'
@@ -261,6 +262,22 @@ QUERIES["ss_quota_stream"] = _streamed_quota
 SQL["ss_quota_stream"] = SQL["ss_quota"]
 
 
+def _batched_quota(s, d) -> DataFrame:
+    """The quota with its open windows kept as a table between micro-batches."""
+    root = _folder(s, "quota")
+    src = _requests(s, d)
+    src.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(f"{root}/in")
+    table_ = quota.QuotaTable(s, f"{root}/state", "k", "t", "event_id")
+    write = lambda batch, n: table_.apply(batch, n).write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+    s.readStream.schema(src.schema).parquet(f"{root}/in").writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{root}/out").select("event_id", "accepted")
+
+
+QUERIES["ss_quota_table"] = _batched_quota
+SQL["ss_quota_table"] = SQL["ss_quota"]
+
+
 def _streamed_feed(s, d) -> DataFrame:
     """The feed table after the events arrived in several micro-batches."""
     root = _folder(s, "feed")
@@ -285,8 +302,8 @@ def _streamed_intake(s, d) -> DataFrame:
         F.col("event_id").alias("id"), F.expr(_PAYLOAD).alias("body"))
     req.write.parquet(f"{root}/in")
     stream = s.readStream.schema(req.schema).parquet(f"{root}/in")
-    for query in feed.start_intake(stream, _registry(s, d), f"{root}/events", f"{root}/rejects", f"{root}/check"):
-        query.awaitTermination()
+    feed.start_intake(stream, _registry(s, d), f"{root}/events", f"{root}/rejects", f"{root}/state",
+                      f"{root}/check").awaitTermination()
     good = s.read.parquet(f"{root}/events").select(F.lit("stored").alias("outcome"))
     bad = s.read.parquet(f"{root}/rejects/payload").select(F.col("reason").alias("outcome"))
     refused = s.read.parquet(f"{root}/rejects/keys").select(F.col("reason").alias("outcome"))

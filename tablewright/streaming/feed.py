@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import logging
-import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import col
+from ..functions.stage import staged
 from ..operators import drift
 from ..operators.dashboard import latest
 from ..sources.sinks import write_alerts
@@ -42,16 +41,12 @@ class Feed:
         self.spark, self.root, self.k = spark, root.rstrip("/"), k
         self.key, self.time, self.tie = key, time, tie
 
-    def _version(self, n: int) -> DataFrame | None:
-        if n < 0:
-            return None
-        try:
-            return self.spark.read.parquet(f"{self.root}/v{n}")
-        except AnalysisException:
-            return None
+    def _version(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/v{n}")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        old = self._version(batch_id - 1)
+        # Batch ids are consecutive; a missing earlier version is an error, not an empty feed.
+        old = self._version(batch_id - 1) if batch_id else None
         # The batch is cut to k rows per user before it meets the table.
         new = latest(batch, self.key, self.time, self.k, self.tie).drop("rank")
         both = new if old is None else old.unionByName(new)
@@ -62,38 +57,32 @@ class Feed:
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(
             **(trigger or {"availableNow": True})).start()
 
-    def read(self, batch_id: int) -> DataFrame | None:
+    def read(self, batch_id: int) -> DataFrame:
         return self._version(batch_id)
 
 
-def start_intake(requests: DataFrame, keys: DataFrame, events_path: str, rejects_path: str, checkpoint: str,
-                 **trigger) -> list[StreamingQuery]:
+def start_intake(requests: DataFrame, keys: DataFrame, events_path: str, rejects_path: str, state_path: str,
+                 checkpoint: str, **trigger) -> StreamingQuery:
     """SS-7: requests (api_key, ts, id, body) into the event table, refused ones with a reason into a second one.
 
-    Order: key, user, quota, payload; the quota counts before the payload is looked at.
+    Order: key, user, quota, payload; the quota counts before the payload is looked
+    at. Every micro-batch writes folders named after its id, so a retry replaces them.
     """
-    trigger = trigger or {"availableNow": True}
-    known, unknown = intake.admitted(requests, keys)
-    counted = quota.stream_quota(known, "key_hash", "ts", "id")
+    table = quota.QuotaTable(requests.sparkSession, state_path, "key_hash", "ts", "id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = intake.validate(batch)
-        judged.persist()
-        try:
-            good = judged.filter("accepted and valid")
-            intake.event_rows(good).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-            bad = judged.filter("not (accepted and valid)").select(
-                "id", "ts", "body", F.when(~F.col("accepted"), "rate limit exceeded").otherwise(
-                    F.array_join("errors", "; ")).alias("reason"))
-            bad.write.mode("overwrite").parquet(f"{rejects_path}/payload/batch={batch_id}")
-        finally:
-            judged.unpersist()
-
-    main = counted.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/events").trigger(
-        **trigger).start()
-    refused = unknown.writeStream.format("parquet").option("path", f"{rejects_path}/keys").option(
-        "checkpointLocation", f"{checkpoint}/keys").trigger(**trigger).start()
-    return [main, refused]
+        known, unknown = intake.admitted(batch, keys)
+        unknown.write.mode("overwrite").parquet(f"{rejects_path}/keys/batch={batch_id}")
+        judged = staged(intake.validate(table.apply(known, batch_id)))
+        good = judged.filter("accepted and valid")
+        intake.event_rows(good).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+        bad = judged.filter("not (accepted and valid)").select(
+            "id", "ts", "body", F.when(~F.col("accepted"), "rate limit exceeded").otherwise(
+                F.array_join("errors", "; ")).alias("reason"))
+        bad.write.mode("overwrite").parquet(f"{rejects_path}/payload/batch={batch_id}")
+
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
 
 
 def scheduled_drift(stream: DataFrame, store, key: str, thresholds: dict[str, float], alert_path: str,
@@ -103,6 +92,7 @@ def scheduled_drift(stream: DataFrame, store, key: str, thresholds: dict[str, fl
     def once(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        batch.persist()  # a run reads the batch several times
         try:
             report = drift.run(batch, store, key)
             if report is not None:
@@ -111,6 +101,8 @@ def scheduled_drift(stream: DataFrame, store, key: str, thresholds: dict[str, fl
                     write_alerts(found, alert_path)
         except Exception:
             log.exception("drift run of batch %s failed", batch_id)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

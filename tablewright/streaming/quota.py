@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import col
 from ..functions.stage import staged
@@ -22,8 +22,8 @@ WHOLE_KEY = 2_000_000  # distinct milliseconds a key may have to be handled in o
 
 
 def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, window_ms: int = WINDOW_MS,
-                block_ms: int = BLOCK_MS, whole_key: int = WHOLE_KEY) -> DataFrame:
-    """SS-4 in batch: add window_start (ms) and accepted.
+                block_ms: int = BLOCK_MS, whole_key: int = WHOLE_KEY, state: DataFrame | None = None) -> DataFrame:
+    """SS-4 in batch: add window_start (ms) and accepted. `state` (key, start, count) continues earlier windows.
 
     Which request opens a window depends on all before it, yet a busy key must not
     go through one task. Requests are reduced to the distinct milliseconds of each
@@ -38,27 +38,35 @@ def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT
     ms = F.unix_millis(col(time).cast("timestamp"))
     d = df.withColumn("_ms", ms).withColumn("_block", F.floor(F.col("_ms") / block_ms).cast("long"))
     seen = staged(d.select(col(key).alias("key"), "_ms").filter("key is not null and _ms is not null").distinct())
+    if state is None:
+        state = df.sparkSession.createDataFrame([], f"key {key_type}, start long, count long")
     # At most rows / whole_key keys are busy, so this table stays small.
-    busy = seen.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole_key).select(
-        F.col("key").alias("_bk"))
+    busy = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("_ms").alias("first")).filter(
+        F.col("n") > whole_key).join(state, "key", "left").select(
+        F.col("key").alias("_bk"), F.floor(F.col("first") / block_ms).cast("long").alias("_lead"),
+        F.coalesce("start", F.lit(-1)).alias("_open"))
     part = F.when(F.col("_bk").isNotNull(), F.floor(F.col("_ms") / block_ms).cast("long")).otherwise(F.lit(-1))
-    seen = seen.join(F.broadcast(busy), F.col("key") == F.col("_bk"), "left").select("key", "_ms", part.alias("part"))
+    seen = seen.join(F.broadcast(busy), F.col("key") == F.col("_bk"), "left").select(
+        "key", "_ms", part.alias("part"), F.coalesce(part == F.col("_lead"), F.lit(False)).alias("lead"), "_open")
 
     def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.sort(pdf["_ms"].to_numpy())
         last = _follow(np.searchsorted(m, m + window_ms, side="right"), len(m))
         start = pdf["part"].iloc[0] * block_ms
-        # An earlier window ends less than window_ms into the block: only these can open its first one.
+        # A window of an earlier block ends less than window_ms into this one: only these can open the first.
+        # In a key's first block the window carried in may have opened inside the block.
         upto = min(len(m), int(np.searchsorted(m, start - 1 + window_ms, side="right")) + 1)
+        upto = len(m) if pdf["lead"].iloc[0] else upto
         ends = m[last[:upto]]
         cut = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "part": pdf["part"].iloc[0], "upto": m[cut], "last": ends[cut]})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "part": pdf["part"].iloc[0], "upto": m[cut], "last": ends[cut],
+                             "open": pdf["_open"].iloc[0]})
 
     table = seen.filter("part >= 0").groupBy("key", "part").applyInPandas(
-        outcomes, f"key {key_type}, part long, upto long, last long")
+        outcomes, f"key {key_type}, part long, upto long, last long, open long")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, carry = [], -1
+        out, carry = [], int(pdf["open"].iloc[0])
         for block, rows in pdf.sort_values(["part", "upto"]).groupby("part", sort=True):
             out.append((rows["key"].iloc[0], block, carry))
             upto, last = rows["upto"].to_numpy(), rows["last"].to_numpy()
@@ -67,7 +75,8 @@ def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT
                 carry = int(last[i])
         return pd.DataFrame(out, columns=["key", "part", "carry"])
 
-    carries = table.groupBy("key").applyInPandas(chain, f"key {key_type}, part long, carry long")
+    carries = table.groupBy("key").applyInPandas(chain, f"key {key_type}, part long, carry long").unionByName(
+        state.select("key", F.lit(-1).cast("long").alias("part"), F.col("start").alias("carry")))
 
     def openers(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.sort(pdf["_ms"].to_numpy())
@@ -87,13 +96,46 @@ def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT
     starts = seen.join(carries, ["key", "part"], "left").select("key", "part", "_ms", start).groupBy(
         "key", "part").applyInPandas(openers, f"key {key_type}, block long, openers array<bigint>").select(
         F.col("key").alias("_k"), F.col("block").alias("_b"), "openers")
+    starts = starts.join(state.withColumnRenamed("key", "_sk"), F.col("_k") == F.col("_sk"), "left")
     joined = d.join(starts, (col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
-    opened = F.array_max(F.filter("openers", lambda o: o <= F.col("_ms")))
+    # A request older than the window that is open counts into it.
+    opened = F.coalesce(F.array_max(F.filter("openers", lambda o: o <= F.col("_ms"))), F.get("openers", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(col(key), "window_start").orderBy("_ms", col(time), col(tie)))
-    return joined.withColumn("window_start", opened).withColumn("accepted", rank <= limit).select(
+    used = F.when(F.col("window_start") == F.col("start"), F.col("count")).otherwise(F.lit(0))
+    return joined.withColumn("window_start", opened).withColumn("accepted", rank + used <= limit).select(
         *map(col, df.columns), "window_start", "accepted")
 
 
+class QuotaTable:
+    """SS-4 on a stream for keys of any size: open windows are kept as a table, one version per micro-batch.
+
+    Every micro-batch is judged by `apply_quota`, which spreads a busy key over
+    tasks. A version is written under its batch id; a repeated batch reads the same
+    predecessor and writes the same version again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, time: str, tie: str, keep_ms: int = BLOCK_MS, **options):
+        self.spark, self.root, self.keep_ms = spark, root.rstrip("/"), keep_ms
+        self.key, self.time, self.tie, self.options = key, time, tie, options
+
+    def apply(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The batch with `accepted`; its end state becomes version `batch_id`."""
+        old = self.spark.read.parquet(f"{self.root}/v{batch_id - 1}") if batch_id else None
+        judged = staged(apply_quota(batch, self.key, self.time, self.tie, state=old, **self.options))
+        counts = judged.filter("window_start is not null").groupBy(
+            col(self.key).alias("key"), F.col("window_start").alias("start")).agg(
+            F.sum(F.col("accepted").cast("long")).alias("count"))
+        if old is not None:
+            counts = counts.unionByName(old)
+        open_now = counts.groupBy("key", "start").agg(F.sum("count").alias("count")).groupBy("key").agg(
+            F.max(F.struct("start", "count")).alias("s")).select("key", "s.start", "s.count")
+        newest = open_now.agg(F.max("start").alias("m")).first()["m"]
+        # Windows that ended long before the newest request can no longer matter.
+        live = open_now if newest is None else open_now.filter(F.col("start") >= newest - self.keep_ms)
+        live.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
+        return judged.drop("window_start")
+
+
 def _follow(nxt: np.ndarray, n: int) -> np.ndarray:
     """Index of the last opener in the chain from each index, by doubling the jumps."""
     last = np.where(nxt < n, nxt, np.arange(n))
@@ -109,11 +151,11 @@ STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("count
 
 def stream_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, window_ms: int = WINDOW_MS,
                  delay: str = "2 minutes") -> DataFrame:
-    """SS-4 on a stream: add accepted. State per key is the window start and its count.
+    """SS-4 as a stateful operator: add accepted. State per key is the window start and its count.
 
-    The requests of a key inside one micro-batch are taken in time order; the read
-    limit of the source bounds a micro-batch. State is dropped once the watermark
-    has passed the window.
+    The requests of a key inside one micro-batch are taken in time order by one
+    task, so set a read limit on the source; for keys that outgrow a task see
+    `QuotaTable`. State is dropped once the watermark has passed the window.
     """
     names = df.columns
 

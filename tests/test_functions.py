@@ -22,7 +22,7 @@ PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
 ])
 def test_narrowed_quantiles_equal_numpy(spark, values):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
-    got = quantiles.exact_quantiles(df, {"x": F.col("x")}, PROBS, in_memory_rows=3)["x"]
+    got = quantiles.exact_quantiles(df, {"x": F.col("x")}, PROBS, in_memory=3)["x"]
     known = np.array([v for v in values if v is not None])
     finite = np.isfinite(known).all()
     for g, e in zip(got, np.quantile(known, PROBS) if finite else [None] * len(PROBS)):
@@ -37,14 +37,14 @@ def test_narrowed_quantiles_equal_numpy(spark, values):
 def test_both_quantile_ways_agree(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     a = quantiles.exact_quantiles(df, {"x": F.col("x")}, PROBS)["x"]
-    b = quantiles.exact_quantiles(df, {"x": F.col("x")}, PROBS, in_memory_rows=1)["x"]
+    b = quantiles.exact_quantiles(df, {"x": F.col("x")}, PROBS, in_memory=1)["x"]
     assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
 
 
 def test_empty_column_has_no_quantile(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.5]) == {"x": [None]}
-    assert quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.5], in_memory_rows=0) == {"x": [None]}
+    assert quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.5], in_memory=0) == {"x": [None]}
 
 
 @pytest.fixture(scope="module")

@@ -164,7 +164,7 @@ def test_programs_equal_all_corners(spark):
         problems[k] = (c, float(rng.integers(-3, 5)), float(rng.integers(-3, 5)))
     con = spark.createDataFrame([(k, *map(float, row)) for k, (c, _, _) in problems.items() for row in c], "p long, a double, b double, r double")
     goal = spark.createDataFrame([(k, float(x), float(y)) for k, (_, x, y) in problems.items()], "p long, px double, py double")
-    for slice_rows in (10_000, 40):
+    for slice_rows in (10_000, 3):
         got = {r["p"]: r["value"] for r in lp.solve_programs(con, goal, "p", slice_rows).collect()}
         for k, (c, x, y) in problems.items():
             e = brute(c, x, y)

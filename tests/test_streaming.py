@@ -65,6 +65,18 @@ def test_stream_quota_keeps_state_between_batches(spark, folder):
     assert got == simulate(data, 5, 10_000)
 
 
+@pytest.mark.parametrize("block, whole", [(3_600_000, 10_000), (7_000, 0), (20_000, 0)])
+def test_quota_table_equals_the_definition(spark, folder, block, whole):
+    data = sorted(make(9, 400, 150_000), key=lambda r: (r[1], r[2]))
+    table = quota.QuotaTable(spark, folder, "k", "t", "i", limit=5, window_ms=10_000, block_ms=block, whole_key=whole)
+    got = {}
+    for n, (lo, hi) in enumerate([(0, 90), (90, 100), (100, 330), (330, 400)]):
+        batch = spark.createDataFrame(data[lo:hi], "k string, ms long, i long").withColumn("t", F.timestamp_millis("ms"))
+        for _ in range(2 if n == 1 else 1):  # a repeated batch changes nothing
+            got.update({r["i"]: r["accepted"] for r in table.apply(batch, n).collect()})
+    assert got == simulate(data, 5, 10_000)
+
+
 @pytest.mark.parametrize("body, errors", [
     ('{"timestamp": "2024-01-01T00:00:00Z", "source": "s", "metrics": {"a": 1}}', []),
     ('{"timestamp": 1704067200000, "source": "s", "metrics": [1]}', []),
@@ -103,8 +115,7 @@ def test_intake_flow(spark, folder):
     req = spark.createDataFrame(data, "api_key string, ts timestamp, id long, body string")
     req.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(req.schema).parquet(f"{folder}/in")
-    for q in feed.start_intake(stream, keys, f"{folder}/events", f"{folder}/rejects", f"{folder}/check"):
-        q.awaitTermination()
+    feed.start_intake(stream, keys, f"{folder}/events", f"{folder}/rejects", f"{folder}/state", f"{folder}/check").awaitTermination()
     events = spark.read.parquet(f"{folder}/events")
     assert events.count() == 100 and events.first()["source"] == "s" and events.first()["user_id"] == 7
     reasons = {(r["id"], r["reason"]) for r in spark.read.parquet(f"{folder}/rejects/payload").collect()}
