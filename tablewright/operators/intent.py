@@ -48,6 +48,14 @@ NEXT_STEPS = {
     "prescriptive": ["Define optimization objectives", "Identify decision variables",
                      "Build recommendation engine"],
 }
+# Answer texts.
+ANSWERS = {
+    "descriptive": "Your dataset has %d rows and %d columns. It contains %d numeric and %d categorical features with %d missing values.",
+    "diagnostic": "Found strong correlation between %s and %s (correlation: %.3f). This suggests these variables are closely related.",
+    "predictive": "Built predictive model using %s. %s",
+    "prescriptive": "Based on the analysis, here are the top recommendations: %s",
+    "default": "Analysis completed. Please check the detailed results for specific insights.",
+}
 CLEAN_FIRST, CLEAN_BELOW = "Clean and preprocess the data", 70
 
 
@@ -164,28 +172,21 @@ def execute_intent(df: DataFrame, intent: dict) -> dict[str, DataFrame]:
 
 def answer(kind: str, result: dict[str, DataFrame], spark) -> DataFrame:
     """NL-7: one row (answer) from the result tables of an analysis."""
-    default = "Analysis completed. Please check the detailed results for specific insights."
     text, source = None, None
     if kind == "descriptive" and "info" in result:
         source = result["info"]
-        text = F.format_string(
-            "Your dataset has %d rows and %d columns. It contains %d numeric and %d categorical features with "
-            "%d missing values.", "total_rows", "total_columns", "numeric_columns", "categorical_columns",
-            "missing_values_total")
+        parts = ["total_rows", "total_columns", "numeric_columns", "categorical_columns", "missing_values_total"]
     elif kind == "diagnostic" and "strong" in result:
-        source = result["strong"].limit(1)
-        text = F.format_string(
-            "Found strong correlation between %s and %s (correlation: %.3f). This suggests these variables are "
-            "closely related.", "feature1", "feature2", "correlation")
+        source, parts = result["strong"].limit(1), ["feature1", "feature2", "correlation"]
     elif kind == "predictive" and "choice" in result:
-        source = result["choice"]
-        text = F.concat(F.lit("Built predictive model using "), F.translate("best_model", "_", " "), F.lit(". "),
-                        F.col("recommendation"))
+        source, parts = result["choice"], [F.translate("best_model", "_", " "), F.col("recommendation")]
     elif kind == "prescriptive" and "actionable" in result:
-        source = result["actionable"].orderBy("step", "insight").limit(3).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("step", "insight"))), lambda s: s["insight"]).alias("i"))
-        text = F.concat(F.lit("Based on the analysis, here are the top recommendations: "), F.array_join("i", " "))
-    row = spark.range(1).select(F.lit(default).alias("fallback"), F.lit(1).alias("one"))
+        source = result["actionable"].orderBy("step", "insight").limit(3).agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("step", "insight"))), lambda s: s["insight"]), " ").alias("i"))
+        parts = ["i"]
+    if source is not None:
+        text = F.format_string(ANSWERS[kind], *parts)
+    row = spark.range(1).select(F.lit(ANSWERS["default"]).alias("fallback"), F.lit(1).alias("one"))
     if source is None:
         return row.select(F.col("fallback").alias("answer"))
     found = source.select(text.alias("text")).withColumn("one", F.lit(1))

@@ -543,20 +543,32 @@ METHOD_PARAMETERS = {
 }
 
 
+# The reasons given with a method.
+REASONS = {
+    "missing": "High missing data percentage (%.1f%%)",
+    "patterns": "ML-based imputation recommended for complex patterns",
+    "outliers": "High outlier percentage (%.1f%%)",
+    "handling": "Statistical methods best for outlier handling",
+    "domain": "Domain-specific cleaning needed",
+    "dates": "Datetime columns detected",
+    "fine": "Data quality is acceptable for basic cleaning",
+}
+
+
 def recommend_cleaning(profiles: DataFrame) -> DataFrame:
     """DQ-17: cleaning method, confidence, reasons and parameters for each profile row."""
     has_dates = F.size("datetime_columns") > 0
     rules = [  # (condition, method, confidence, reasons)
         (F.col("missing_pct") > 30, "ml_based", 0.9,
-         F.array(F.format_string("High missing data percentage (%.1f%%)", "missing_pct"),
-                 F.lit("ML-based imputation recommended for complex patterns"))),
+         F.array(F.format_string(REASONS["missing"], "missing_pct"),
+                 F.lit(REASONS["patterns"]))),
         (F.col("outlier_pct") > 20, "statistical", 0.8,
-         F.array(F.format_string("High outlier percentage (%.1f%%)", "outlier_pct"),
-                 F.lit("Statistical methods best for outlier handling"))),
+         F.array(F.format_string(REASONS["outliers"], "outlier_pct"),
+                 F.lit(REASONS["handling"]))),
         (has_dates | (F.col("quality_score") < 60), "domain_specific", 0.85,
-         F.array_compact(F.array(F.lit("Domain-specific cleaning needed"),
-                                 F.when(has_dates, "Datetime columns detected")))),
-        (F.lit(True), "basic", 0.7, F.array(F.lit("Data quality is acceptable for basic cleaning"))),
+         F.array_compact(F.array(F.lit(REASONS["domain"]),
+                                 F.when(has_dates, REASONS["dates"])))),
+        (F.lit(True), "basic", 0.7, F.array(F.lit(REASONS["fine"]))),
     ]
     choice = None
     for cond, method, confidence, reasons in reversed(rules):

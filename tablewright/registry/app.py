@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import once
 from ..functions.stage import shared_dir
 from ..operators import dashboard as db, intent as nl, quality as q, stats as st
+from ..sources.sinks import BaselineStore
 from ..streaming import feed, intake, quota
 from .common import big, joined, r, rounded, table, unions
 
@@ -313,3 +314,20 @@ def _streamed_intake(s, d) -> DataFrame:
 QUERIES["ss_intake_stream"] = _streamed_intake
 SQL["ss_intake_stream"] = f"""SELECT CASE WHEN user_id % 10 = 0 THEN 'invalid key format' WHEN user_id % 4 = 0 THEN 'unknown or inactive key'
     WHEN valid THEN 'stored' ELSE errors END AS outcome, count(*) AS n FROM events JOIN ({SQL["ss_validate"]}) v USING (event_id) GROUP BY 1"""
+
+
+def _scheduled(s, d) -> DataFrame:
+    """Three arrivals of orders, the third with doubled prices; the alerts they raise."""
+    root = _folder(s, "scheduled")
+    o = table(s, d, "orders").select("o_totalprice", "o_orderstatus")
+    store = BaselineStore(s, f"{root}/baselines")
+    for factor in (1, 1, 2):
+        o.withColumn("o_totalprice", F.col("o_totalprice") * factor).write.mode("append").parquet(f"{root}/in")
+        stream = s.readStream.schema(o.schema).parquet(f"{root}/in")
+        feed.scheduled_drift(stream, store, "orders", {"o_totalprice": 0.2}, f"{root}/alerts", f"{root}/check").awaitTermination()
+    return s.read.json(f"{root}/alerts").select("dataset", "column", F.round("actual_value", 6).alias("actual_value"), "severity")
+
+
+QUERIES["ss_scheduled"] = _scheduled
+SQL["ss_scheduled"] = """SELECT 'orders' AS dataset, 'o_totalprice' AS "column", ROUND((avg(2 * o_totalprice) - avg(o_totalprice)) / avg(o_totalprice), 6)
+    AS actual_value, 'high' AS severity FROM orders"""

@@ -188,5 +188,19 @@ def _payload(s, d) -> dict:
 
 QUERIES["in_recommendations"] = lambda s, d: joined(
     _payload(s, d)["recommendations"].select("ordinal", "category", "priority", "related_columns"), "related_columns")
+_METRICS = ["o_orderkey", "o_custkey", "o_totalprice"]
+_DIRECTIONS = SQL["in_direction"].replace(_MONTHLY, _points_sql(
+    "orders", "o_orderdate", "date_trunc('month', o_orderdate)", _METRICS))
+_FAR = unions([f"""SELECT '{c}' AS "column", sum(CASE WHEN abs({c} - a) > 2 * sd THEN 1 ELSE 0 END) AS far, count({c}) AS n
+    FROM orders, (SELECT avg({c}) AS a, stddev_samp({c}) AS sd FROM orders) m""" for c in _METRICS])
+_LARGEST = unions([f"""SELECT '{k}' AS segment_column, '{c}' AS metric_column, arg_max(s, n) / sum(s) AS share FROM
+    (SELECT {k}, count(*) AS n, sum({c}) AS s FROM orders GROUP BY {k}) g""" for k in ("o_orderstatus", "o_orderpriority")
+    for c in _METRICS])
+SQL["in_recommendations"] = f"""SELECT CAST(row_number() OVER (ORDER BY step, related_columns) - 1 AS INTEGER) AS ordinal, category, priority,
+      related_columns FROM (
+    SELECT 2 AS step, 'trend' AS category, CASE WHEN direction = 'volatile' THEN 'medium' ELSE 'high' END AS priority,
+      metric AS related_columns FROM ({_DIRECTIONS}) t WHERE direction = 'volatile' OR (direction = 'decreasing' AND overall_change_pct < -20)
+    UNION ALL SELECT 3, 'anomaly', CASE WHEN far * 100.0 / n > 5 THEN 'high' ELSE 'low' END, "column" FROM ({_FAR}) f WHERE far > 0
+    UNION ALL SELECT 4, 'segment', 'medium', segment_column || ',' || metric_column FROM ({_LARGEST}) l WHERE share > 0.5) x"""
 QUERIES["in_payload"] = lambda s, d: _payload(s, d)["metadata"]
 SQL["in_payload"] = """SELECT count(*) AS rows, 6 AS columns, 3 AS numeric, 1 AS datetime, 2 AS categorical, 0 AS other FROM orders"""

@@ -11,6 +11,9 @@ from ..operators import drift as dr, insight as i, models as m, quality as q
 from ..plans import reports
 from ..sources import readers as rd, sinks as sk
 from .common import big, dirty, joined, r, rounded, table, unions, view
+from .insight import _FAR, SQL as INSIGHT_SQL
+
+RECOMMENDED = INSIGHT_SQL["in_recommendations"]
 
 QUERIES, SQL = {}, {}
 
@@ -240,6 +243,10 @@ def _report(s, d) -> DataFrame:
 
 
 QUERIES["snk_report"] = _report
+SQL["snk_report"] = f"""SELECT * FROM (SELECT 0 AS section, 1::BIGINT AS lines UNION ALL SELECT 2, 6
+    UNION ALL SELECT 3, 3 * CAST(count(DISTINCT date_trunc('month', o_orderdate)) >= 2 AS BIGINT) FROM orders
+    UNION ALL SELECT 4, 6 UNION ALL SELECT 5, count(*) FROM ({_FAR}) f WHERE far > 0
+    UNION ALL SELECT 6, count(*) FROM ({RECOMMENDED}) r) t WHERE lines > 0"""
 QUERIES["flow_halts"] = lambda s, d: s.createDataFrame([(out["halted"], out["halt_reason"]) for out in [
     reports.build_report(dirty(s, d, "orders"))]], "halted boolean, halt_reason string")
 SQL["flow_halts"] = f"""SELECT true AS halted, printf('Critical findings: %.1f%% of ''o_orderdate'' is null',
