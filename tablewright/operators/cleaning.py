@@ -115,7 +115,7 @@ def case_mapping(df: DataFrame, name: str) -> DataFrame:
 
 def normalize_case(df: DataFrame, name: str, mapping: DataFrame | None = None) -> DataFrame:
     """CL-4."""
-    mapping = case_mapping(df, name) if mapping is None else mapping
+    mapping = staged(case_mapping(df, name)) if mapping is None else mapping
     out = lookup(df, mapping, col(name), "variant", "n", df.count())
     return out.select([F.coalesce("canonical", col(n)).alias(n) if n == name else col(n) for n in df.columns])
 

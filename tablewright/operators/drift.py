@@ -31,7 +31,7 @@ class DriftError(ValueError):
     """Drift cannot be computed for this input."""
 
 
-def profile(df: DataFrame, skip_dates: bool = False) -> dict:
+def profile(df: DataFrame, skip_dates: bool = False, approx: bool = False) -> dict:
     """DR-1: `rows`, `columns` (one row per column) and `categories` (column, value, share of non-null).
 
     Shares stay a table of their own: a text column can have as many values as rows.
@@ -50,7 +50,7 @@ def profile(df: DataFrame, skip_dates: bool = False) -> dict:
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
     one = df.agg(*aggs).first()
     rows = one["rows"]
-    quart = exact_quantiles(df, {c: as_number(fields[c]) for c in numeric}, [0.25, 0.5, 0.75], rows=rows)
+    quart = exact_quantiles(df, {c: as_number(fields[c]) for c in numeric}, [0.25, 0.5, 0.75], rows=rows, approx=approx)
     clean = lambda v: None if v is None or v != v else float(v)
     records = []
     for i, c in enumerate(df.columns):

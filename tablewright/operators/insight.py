@@ -74,16 +74,17 @@ def growth(df: DataFrame, columns: list[str], order: str | None = None) -> DataF
     return d.agg(*aggs).select(long_rows(entries))
 
 
-def column_summary(df: DataFrame, kinds: dict[str, list[str]], order: str | None = None) -> DataFrame:
+def column_summary(df: DataFrame, kinds: dict[str, list[str]], order: str | None = None,
+                   approx: bool = False) -> DataFrame:
     """IN-2 with IN-3: one row per column."""
     d = nan_to_null(df)
-    facts = moment_facts(d).join(distinct_facts(d), "column")
+    facts = moment_facts(d).join(distinct_facts(d, approx=approx), "column")
     numeric = kinds["numeric"]
     label = F.create_map(*[F.lit(x) for k, names in kinds.items() for n in names for x in (n, k)])
     facts = facts.withColumn("class", F.element_at(label, F.col("column")))
     is_num = F.col("class") == "numeric"
     fields = {f.name: f for f in d.schema}
-    quart = exact_quantiles(d, {n: as_number(fields[n]) for n in numeric}, [0.25, 0.5, 0.75])
+    quart = exact_quantiles(d, {n: as_number(fields[n]) for n in numeric}, [0.25, 0.5, 0.75], approx=approx)
     spark = df.sparkSession
     q = spark.createDataFrame([(n, *v) for n, v in quart.items()] or [],
                               "column string, q25_val double, median_val double, q75_val double")
@@ -317,7 +318,8 @@ def recommendations(summary: DataFrame, defects: DataFrame, trend: DataFrame, an
                        "related_columns")
 
 
-def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = None) -> dict[str, DataFrame]:
+def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = None,
+             approx: bool = False) -> dict[str, DataFrame]:
     """IN-11: all insight tables and one metadata row."""
     kinds = classes(df)
     spark = df.sparkSession
@@ -335,7 +337,7 @@ def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = No
     # All of these have a bounded number of rows.
     points, segs, odd, summary, rows = together(
         spark, trending, segmented, lambda: pin(anomalies(df, kinds["numeric"], order)),
-        lambda: pin(column_summary(df, kinds, order)), df.count)
+        lambda: pin(column_summary(df, kinds, order, approx)), df.count)
     trend, leaders = trends(points), segment_leaders(segs)
     rec = recommendations(report["summary"], report["defects"], trend, odd, leaders, kinds)
     meta = spark.createDataFrame([(rows, len(df.columns), *(len(kinds[k]) for k in kinds))],

@@ -38,14 +38,14 @@ def dataset_info(df: DataFrame) -> dict[str, DataFrame]:
     return {"info": info, "columns": columns}
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """ST-2 and ST-3: one row per numeric column with values."""
     df = nan_to_null(df)
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], "column string")
     fields = {f.name: f for f in df.schema}
-    quart = exact_quantiles(df, {c: as_number(fields[c]) for c in columns}, [0.25, 0.5, 0.75])
+    quart = exact_quantiles(df, {c: as_number(fields[c]) for c in columns}, [0.25, 0.5, 0.75], approx=approx)
     mode = modes(df, columns, [])
     aggs, entries = [], []
     stats = [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("variance", F.var_samp), ("min", F.min),

@@ -128,3 +128,9 @@ def test_date_texts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] is not None for r in df.select(parse_date(F.col("t"))).collect()]
     assert got == [True, True, True, True, True, True, False, False, False]
+
+
+def test_sketch_quantiles_are_close(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    got = quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5], approx=True)["x"]
+    assert got == pytest.approx([250, 500], abs=2)
