@@ -27,17 +27,18 @@ def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT
 
     Which request opens a window depends on all before it, yet a busy key must not
     go through one task. Requests are reduced to the distinct milliseconds of each
-    key. A key with at most `whole_key` of them is one group; a busier key is cut into
+    key. A key with at most `whole_key` of them stays in one group; a busier key is cut into
     time blocks, which hold at most BLOCK_MS each. Every group tells, for each request that
     could open its first window, which one opens its last (ranges with the same
     outcome are merged). Chaining these short tables gives the window each group
-    starts in; then all groups list their openers independently, and rows are
-    numbered inside their window.
+    starts in; then all groups find their windows independently, and rows are
+    numbered inside their window. Keys with few requests share groups.
     """
     key_type = df.schema[key].dataType.simpleString()
     ms = F.unix_millis(col(time).cast("timestamp"))
-    d = df.withColumn("_ms", ms).withColumn("_block", F.floor(F.col("_ms") / block_ms).cast("long"))
+    d = df.withColumn("_ms", ms)
     seen = staged(d.select(col(key).alias("key"), "_ms").filter("key is not null and _ms is not null").distinct())
+    size = seen.count()
     if state is None:
         state = df.sparkSession.createDataFrame([], f"key {key_type}, start long, count long")
     # At most rows / whole_key keys are busy, so this table stays small.
@@ -78,34 +79,60 @@ def apply_quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT
     carries = table.groupBy("key").applyInPandas(chain, f"key {key_type}, part long, carry long").unionByName(
         state.select("key", F.lit(-1).cast("long").alias("part"), F.col("start").alias("carry")))
 
-    def openers(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.sort(pdf["_ms"].to_numpy())
-        carry = int(pdf["carry"].iloc[0])
-        found = [] if carry < 0 else [carry]
-        i = int(np.searchsorted(m, carry + window_ms, side="right")) if found else 0
-        while i < len(m):
-            found.append(int(m[i]))
-            i = int(np.searchsorted(m, m[i] + window_ms, side="right"))
-        o = np.array(found)
-        blocks = np.unique(m // block_ms)
-        lists = [o[max(int(np.searchsorted(o, b * block_ms, side="right")) - 1, 0):
-                   int(np.searchsorted(o, (b + 1) * block_ms))] for b in blocks]
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "block": blocks, "openers": lists})
-
-    start = F.coalesce("carry", F.lit(-1).cast("long")).alias("carry")
-    starts = seen.join(carries, ["key", "part"], "left").select("key", "part", "_ms", start).groupBy(
-        "key", "part").applyInPandas(openers, f"key {key_type}, block long, openers array<bigint>").select(
-        F.col("key").alias("_k"), F.col("block").alias("_b"), "openers")
-    starts = starts.join(state.withColumnRenamed("key", "_sk"), F.col("_k") == F.col("_sk"), "left")
-    joined = d.join(starts, (col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
-    # A request older than the window that is open counts into it.
-    opened = F.coalesce(F.array_max(F.filter("openers", lambda o: o <= F.col("_ms"))), F.get("openers", F.lit(0)))
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Start of the window each request falls into, for all keys of the group at once."""
+        code, names = pd.factorize(pdf["key"])
+        order = np.lexsort((pdf["_ms"].to_numpy(), code))
+        code, m, carry = code[order], pdf["_ms"].to_numpy()[order], pdf["carry"].to_numpy()[order]
+        # One number line for all keys, far enough apart that a window never reaches the next key.
+        low, width = m.min(), int(m.max() - m.min()) + window_ms + 2
+        line = code.astype("int64") * width + (m - low)
+        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        end = np.append(begin[1:], len(m))
+        limit_of = np.repeat(end, end - begin)
+        after = np.minimum(np.searchsorted(line, line + window_ms, side="right"), limit_of)
+        held = carry[begin] >= 0
+        reach = np.clip(carry[begin] + window_ms - low, -1, width - 1)
+        first = np.where(held, np.searchsorted(line, code[begin].astype("int64") * width + reach, side="right"), begin)
+        first = np.minimum(np.maximum(first, begin), end)
+        opens = np.full(len(m), -1)
+        front = first[first < end]
+        while len(front):
+            opens[front] = front
+            front = front[after[front] < limit_of[front]]
+            front = after[front]
+        at = np.maximum.accumulate(opens)
+        own = at >= np.repeat(begin, end - begin)
+        return pd.DataFrame({"key": names.take(code), "_ms": m, "window_start": np.where(own, m[np.maximum(at, 0)], carry)})
+
+    # Keys that are not busy share groups of about `whole_key` requests.
+    quiet = max(1, -(-size // max(whole_key, 1)))
+    grouped = seen.join(carries, ["key", "part"], "left").select(
+        "key", "_ms", F.coalesce("carry", F.lit(-1).cast("long")).alias("carry"), "part",
+        F.when(F.col("part") >= 0, F.col("key")).alias("busy"),
+        F.when(F.col("part") < 0, F.pmod(F.xxhash64("key"), F.lit(quiet))).alias("bucket"))
+    starts = grouped.groupBy("busy", "part", "bucket").applyInPandas(
+        windows, f"key {key_type}, _ms long, window_start long").select(
+        F.col("key").alias("_k"), F.col("_ms").alias("_m"), "window_start")
+    joined = d.join(starts, (col(key) == F.col("_k")) & (F.col("_ms") == F.col("_m")), "left")
+    # Both the open windows and the numbering go by (key, window): one exchange, one window per group.
+    before = state.select(F.col("key").alias("_sk"), F.col("start").alias("_ss"), F.col("count").alias("_used"))
+    joined = joined.join(before, (col(key) == F.col("_sk")) & (F.col("window_start") == F.col("_ss")), "left")
     rank = F.row_number().over(Window.partitionBy(col(key), "window_start").orderBy("_ms", col(time), col(tie)))
-    used = F.when(F.col("window_start") == F.col("start"), F.col("count")).otherwise(F.lit(0))
-    return joined.withColumn("window_start", opened).withColumn("accepted", rank + used <= limit).select(
+    return joined.withColumn("accepted", rank + F.coalesce("_used", F.lit(0)) <= limit).select(
         *map(col, df.columns), "window_start", "accepted")
 
 
+def _follow(nxt: np.ndarray, n: int) -> np.ndarray:
+    """Index of the last opener in the chain from each index, by doubling the jumps."""
+    last = np.where(nxt < n, nxt, np.arange(n))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return last
+        last = further
+
+
 class QuotaTable:
     """SS-4 on a stream for keys of any size: open windows are kept as a table, one version per micro-batch.
 
@@ -136,16 +163,6 @@ class QuotaTable:
         return judged.drop("window_start")
 
 
-def _follow(nxt: np.ndarray, n: int) -> np.ndarray:
-    """Index of the last opener in the chain from each index, by doubling the jumps."""
-    last = np.where(nxt < n, nxt, np.arange(n))
-    while True:
-        further = last[last]
-        if (further == last).all():
-            return last
-        last = further
-
-
 STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("count", T.LongType())])
 
 
