@@ -143,10 +143,9 @@ QUERIES["db_check_values"] = lambda s, d: db.check_allowed(table(s, d, "orders")
 SQL["db_check_values"] = """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 2
     UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 2"""
 QUERIES["db_latest_result"] = lambda s, d: db.latest_result(
-    table(s, d, "events").filter("event_type = 'error' and user_id % 7 <> 0"), _people(s, d), time="event_id", payload="props")
-SQL["db_latest_result"] = """SELECT u.user_id, coalesce(p, '{"summary": "No analysis available"}') AS props FROM (SELECT DISTINCT user_id FROM events) u
-    LEFT JOIN (SELECT user_id, arg_max(props, event_id) AS p FROM events WHERE event_type = 'error' AND user_id % 7 <> 0 GROUP BY 1) r
-    USING (user_id)"""
+    table(s, d, "orders"), table(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "o_orderkey", "o_orderpriority")
+SQL["db_latest_result"] = """SELECT c_custkey AS o_custkey, coalesce(p, '{"summary": "No analysis available"}') AS o_orderpriority FROM customer
+    LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) r ON c_custkey = o_custkey"""
 
 QUERIES["db_monthly_target"] = lambda s, d: rounded(db.monthly_target(table(s, d, "orders"), "o_orderdate", "o_totalprice"), 2)
 SQL["db_monthly_target"] = f"""WITH m AS (SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS sales FROM orders GROUP BY 1)

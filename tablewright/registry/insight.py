@@ -101,10 +101,9 @@ SQL["in_trend_daily"] = f"{_ROUND} ({_DAILY}) t"
 _MONTHLY = _points_sql("orders", "o_orderdate", "date_trunc('month', o_orderdate)", ["o_totalprice", "o_custkey"])
 QUERIES["in_trend_month"] = lambda s, d: rounded(_points(table(s, d, "orders"), "o_orderdate", ["o_totalprice", "o_custkey"]))
 SQL["in_trend_month"] = f"{_ROUND} ({_MONTHLY}) t"
-_YEAR = "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01') v"
-_one_year = lambda s, d: table(s, d, "orders").filter("o_orderdate >= '1996-01-01' and o_orderdate < '1997-01-01'")
-QUERIES["in_trend_week"] = lambda s, d: rounded(_points(_one_year(s, d), "o_orderdate", ["o_totalprice"]))
-SQL["in_trend_week"] = f"""{_ROUND} ({_points_sql(_YEAR, "o_orderdate",
+QUERIES["in_trend_week"] = lambda s, d: rounded(i.trend_points(i.trend_values(
+    table(s, d, "orders"), "o_orderdate", ["o_totalprice"], "week")), 5)
+SQL["in_trend_week"] = f"""SELECT metric, period, ordinal, periods, {r("value", 5)} AS value, {r("change_pct", 5)} AS change_pct FROM ({_points_sql("orders", "o_orderdate",
     "date_trunc('week', o_orderdate) + INTERVAL 6 DAY", ["o_totalprice"])}) t"""
 QUERIES["in_direction"] = lambda s, d: rounded(i.trends(_points(table(s, d, "orders"), "o_orderdate",
                                                                 ["o_totalprice", "o_custkey"])))

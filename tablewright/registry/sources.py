@@ -224,16 +224,16 @@ SQL["snk_catalogue"] = """SELECT 'orders' AS dataset_id, 'cleaned' AS status, co
 
 
 def _activity(s, d) -> DataFrame:
-    n = table(s, d, "orders").count()
     path = _folder(s, "activity")
-    sk.append(sk.activity_rows(s, [{"user_id": "u1", "action": "upload", "metadata": {"rows": n}},
-                                   {"user_id": "u1", "action": "clean", "status": "error", "error_message": "no"}]), path)
-    return s.read.parquet(path).select("user_id", "action", "status", "metadata", "error_message")
+    failed = F.col("event_type") == "error"
+    sk.append(sk.activity_table(table(s, d, "events"), F.col("user_id"), F.col("event_type"), F.when(failed, "error").otherwise("success"),
+                                F.col("props"), F.when(failed, F.concat(F.lit("event "), F.col("event_id")))), path)
+    return s.read.parquet(path).drop("created_at")
 
 
 QUERIES["snk_activity"] = _activity
-SQL["snk_activity"] = """SELECT 'u1' AS user_id, 'upload' AS action, 'success' AS status, '{"rows":"' || count(*) || '"}' AS metadata,
-    NULL::VARCHAR AS error_message FROM orders UNION ALL SELECT 'u1', 'clean', 'error', '{}', 'no'"""
+SQL["snk_activity"] = """SELECT user_id, event_type AS action, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
+    props AS metadata, CASE WHEN event_type = 'error' THEN 'event ' || event_id END AS error_message FROM events"""
 
 
 # SNK-6: the whole flow from table to report

@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
 from ..operators.dashboard import ALLOWED
@@ -85,6 +85,15 @@ def activity_rows(spark: SparkSession, entries: list[dict]) -> DataFrame:
                     F.current_timestamp().alias("created_at"))
 
 
+def activity_table(df: DataFrame, user: Column, action: Column, status: Column, metadata: Column, error: Column) -> DataFrame:
+    """SNK-9 for many actions at once: log rows from a table; a status outside the list fails the write."""
+    allowed = ALLOWED["activity_logs", "status"]
+    checked = F.when(status.isin(allowed), status).otherwise(
+        F.raise_error(F.concat(F.lit("status is not allowed: "), F.coalesce(status, F.lit("null")))))
+    return df.select(user.alias("user_id"), action.alias("action"), checked.alias("status"), metadata.alias("metadata"),
+                     error.alias("error_message"), F.current_timestamp().alias("created_at"))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

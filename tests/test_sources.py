@@ -101,6 +101,12 @@ def test_sink_guards(spark, folder):
         sk.export_tables({"a": df}, ["a", "b"], folder)
     with pytest.raises(ValueError):
         sk.catalogue_row(df, "d", "u", "n", 1, "lost")
+    log = sk.activity_rows(spark, [{"user_id": "u", "action": "clean", "status": "error", "metadata": {"rows": 3}, "error_message": "no"}])
+    assert log.first()["metadata"] == '{"rows":"3"}'
+    with pytest.raises(ValueError):
+        sk.activity_rows(spark, [{"user_id": "u", "action": "clean", "status": "odd"}])
+    with pytest.raises(Exception, match="not allowed"):
+        sk.activity_table(df, F.lit("u"), F.lit("a"), F.lit("odd"), F.lit("{}"), F.lit(None)).collect()
     sk.write_csv(df, f"{folder}/out")
     with pytest.raises(Exception):
         sk.write_csv(df, f"{folder}/out")  # never overwrites
