@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import decontaminate, mixing, secrets
-from tablewright.llm.common import table
+from tablewright.llm import chat, decontaminate, mixing, quality_rules, secrets, token_files, toxicity
+from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,36 @@ def op6(spark, d):
     s = secrets.scan(table(spark, d, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return s.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("found").alias("spans"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op3_toxicity")
+def op3(spark, d):
+    """Toxicity score of every document."""
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
+@query("op7_token_files")
+def op7(spark, d):
+    """Token ids of every document, written and read back."""
+    return token_files.round_trip(table(spark, d, "documents"), tokenizer_path())
+
+
+@query("op8_chat")
+def op8(spark, d):
+    """Formatted conversations, and one whose texts hold control strings, read back."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), hard)
+    return chat.digests(staged(chat.format_turns(turns.union(own)), "chat"))
+
+
+@query("op10_quality_rules")
+def op10(spark, d):
+    """Measures of every document and the verdict of the cascade."""
+    return quality_rules.cascade(table(spark, d, "documents"), measures=True).drop("rejected_by")
