@@ -10,22 +10,29 @@ were committed, so a lost executor leaves at most an unread file.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.common import new_folder
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
-#: Word pieces that a task remembers; beyond it forgets and starts anew.
-REMEMBERED = 400_000
-#: A space between white space, or last after white space, belongs to a longer run; elsewhere a text may be cut before a space.
-RUN = re.compile(r"\s (?:\s|\Z)")
+#: Pieces that a Python worker remembers (some 30 bytes each); beyond it forgets and starts anew.
+REMEMBERED = 4_000_000
+#: White space that only Unicode knows; texts with it are encoded whole.
+WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ASCII_SPACE = np.zeros(256, bool)
+ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+JOINED = 1_000
+#: Bytes of text encoded together, about, and texts at most.
+GROUP_BYTES, GROUP = 1 << 20, 2_000
 
 
 def _files(uri: str):
@@ -34,34 +41,129 @@ def _files(uri: str):
 
 
 class Encoder:
-    """Encodes texts piece by piece and remembers pieces: words repeat, and pieces are cut where the tokenizer's own pre-tokenizer always cuts."""
+    """Encodes texts piece by piece and remembers the pieces by hash, since words repeat.
 
-    def __init__(self, path: str):
+    A text is cut before each space or line feed, except inside longer runs of white space: there the tokenizer's
+    pre-tokenizer always cuts, so the ids of a text are those of its pieces. Pieces are told apart by a 64-bit hash, each
+    new one is encoded once, and ids are gathered by array operations. New pieces of a space and a word are encoded many
+    at a time as one text, which is parted again by the tokens' lengths in bytes.
+    """
+
+    def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
-        for t in texts:
-            if RUN.search(t):
-                cut.append([t])
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.lengths = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.lengths[i] = len(token)  # a byte-level token has a character for each byte
+        rng = np.random.default_rng(5)
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        self._power = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _powers(self, n: int):
+        if len(self._power[0]) < n:
+            m = max(n, GROUP_BYTES + GROUP_BYTES // 2)
+            self._power = tuple(np.concatenate([[np.uint64(1)], np.full(m - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (self.base, self.inverse))
+        return self._power
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces not seen before, all different."""
+        # A point or comma after a letter is a piece of its own, so a word is encoded once with all that may follow it.
+        marks = dict(zip(".,", self._encode([".", ","])))
+        stem = [p[:-1] if p[-1] in ".," and p[-2:-1].isalpha() else p for p in pieces]
+        known: dict[str, np.ndarray] = dict.fromkeys(stem)
+        words, single = [], []
+        for p in known:
+            (words if p[:1] == " " and p[1:2].isalpha() and not p[-1].isspace() else single).append(p)
+        for i in range(0, len(words), JOINED):
+            some = words[i:i + JOINED]
+            ids = self._encode(["".join(some)])[0]
+            places = np.cumsum([len(p.encode()) for p in some])
+            ends = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(ends, places)
+            if ends[-1] == places[-1] and (ends[at] == places).all():
+                stops = (at + 1).tolist()
+                known.update(zip(some, [ids[x:y] for x, y in zip([0, *stops], stops)]))
             else:
-                parts = t.split(" ")
-                cut.append([parts[0], *[" " + p for p in parts[1:]]])
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
-
-
-ENCODERS: dict[str, Encoder] = {}
+                single += some
+        for i in range(0, len(single), JOINED):
+            known.update(zip(single[i:i + JOINED], self._encode(single[i:i + JOINED])))
+        return [known[s] if s is p else np.concatenate([known[s], marks[p[-1]]]) for s, p in zip(stem, pieces)]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text closed by the end id, and their numbers."""
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        raw = [t.encode() for t in texts]
+        size = np.array([len(r) for r in raw], np.int64)
+        first = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join(raw) + b"\n", np.uint8)  # the last byte closes the last text
+        n = len(buf) - 1
+        cut = (buf == 32) | (buf == 10)
+        space = ASCII_SPACE[buf]
+        # A cut in a run: white space before it, and behind it white space or the end of the text, or a line feed itself.
+        ends = np.zeros(n + 1, bool)
+        ends[(first + size)[size > 0]] = True
+        odd = np.flatnonzero(cut[1:n] & space[:n - 1] & ((buf[1:n] == 10) | space[2:] | ends[2:])) + 1 if n > 1 else np.zeros(0, np.int64)
+        bad = np.zeros(len(texts), bool)
+        bad[np.searchsorted(first + size, odd, "right")] = True
+        for i, t in enumerate(texts):
+            if not t.isascii() and WIDE_SPACE.search(t):
+                bad[i] = True
+        for i in np.flatnonzero(bad):
+            cut[first[i]:first[i] + size[i]] = False
+        cut[first[size > 0]] = True
+        start = np.flatnonzero(cut[:n])
+        stop = np.append(start[1:], n)
+        power, inverse = self._powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[buf[:n]] * power[:n], dtype=np.uint64, out=total[1:])
+        h = (total[stop] - total[start]) * inverse[start]
+        h ^= h >> np.uint64(29)
+        h = h * self.base + (stop - start).astype(np.uint64)
+        different, where, of = np.unique(h, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.hashes, different)
+        here = np.zeros(len(different), bool)
+        inside = slot < len(self.hashes)
+        here[inside] = self.hashes[slot[inside]] == different[inside]
+        new = np.flatnonzero(~here)
+        if len(new):
+            whole = buf.tobytes()
+            ids = self._new([whole[a:b].decode() for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist())])
+            sizes = np.array([len(x) for x in ids], np.int32)
+            flat = np.concatenate(ids)
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(flat), self.used // 2) + (1 << 16), self.dtype)])
+            self.ids[self.used:self.used + len(flat)] = flat
+            at = slot[new]
+            self.hashes = np.insert(self.hashes, at, different[new])
+            self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, at, sizes)
+            self.used += len(flat)
+            slot = np.searchsorted(self.hashes, different)
+        count = self.sizes[slot][of].astype(np.int64)
+        before = np.cumsum(count) - count
+        text_of = np.searchsorted(first + size, start, "right")
+        n_ids = int(count.sum())
+        source = np.repeat(self.places[slot][of] - before, count) + np.arange(n_ids)
+        out = np.full(n_ids + len(texts), self.end_id, self.dtype)
+        out[np.arange(n_ids) + np.repeat(text_of, count)] = self.ids[source]
+        return out, np.bincount(text_of, count, len(texts)).astype(np.int64) + 1
+
+
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, batch: int = BATCH, end_id: int = END_ID) -> DataFrame:
@@ -79,12 +181,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, ba
     d = d.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def task(batches):
-        encode = ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        if (tokenizer, end_id) not in ENCODERS:
+            ENCODERS[tokenizer, end_id] = Encoder(tokenizer, end_id)
+        encode = ENCODERS[tokenizer, end_id]
         system, root = _files(folder)
         system.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}-{uuid.uuid4().hex[:12]}.arrow"
-        end = np.array([end_id], encode.dtype).tobytes()
         item = pa.from_numpy_dtype(encode.dtype)
         schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
         writer, rest, at = None, np.zeros(0, encode.dtype), 0
@@ -106,13 +209,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, ba
 
         for b in batches:
             ids_col, texts = b.column("doc_id"), b.column("text")
-            for lo in range(0, b.num_rows, 500):
-                chunk = encode(texts.slice(lo, 500).to_pylist())
-                sizes = [len(c) // encode.dtype.itemsize + 1 for c in chunk]
-                rest = put(np.concatenate([rest, np.frombuffer(b"".join([x for c in chunk for x in (c, end)]), encode.dtype)]), False)
-                first = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                at += sum(sizes)
-                yield pa.RecordBatch.from_arrays([ids_col.slice(lo, 500), pa.array([name] * len(sizes)), pa.array([part] * len(sizes), pa.int32()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "file", "part", "first", "n_tokens"])
+            heavy = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // GROUP_BYTES
+            group = heavy * b.num_rows + np.arange(b.num_rows) // GROUP
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(edges, edges[1:]):
+                out, sizes = encode(texts.slice(lo, hi - lo).to_pylist())
+                rest = put(np.concatenate([rest, out]), False)
+                first = at + np.cumsum(sizes) - sizes
+                at += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), pa.array([name] * len(sizes)), pa.array([part] * len(sizes), pa.int32()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "file", "part", "first", "n_tokens"])
         put(rest, True)
         if writer is not None:
             writer.close()
