@@ -32,7 +32,7 @@ ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 JOINED = 1_000
 #: Bytes of text encoded together, about, and texts at most.
-GROUP_BYTES, GROUP = 1 << 20, 2_000
+GROUP_BYTES, GROUP = 3 << 20, 4_000
 
 
 def _files(uri: str):
@@ -45,8 +45,8 @@ class Encoder:
 
     A text is cut before each space or line feed, except inside longer runs of white space: there the tokenizer's
     pre-tokenizer always cuts, so the ids of a text are those of its pieces. Pieces are told apart by a 64-bit hash, each
-    new one is encoded once, and ids are gathered by array operations. New pieces of a space and a word are encoded many
-    at a time as one text, which is parted again by the tokens' lengths in bytes.
+    new one is encoded once, and ids are gathered by array operations. New pieces of one white space character and a word are
+    encoded many at a time as one text, which is parted again by the tokens' lengths in bytes.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -86,7 +86,7 @@ class Encoder:
         known: dict[str, np.ndarray] = dict.fromkeys(stem)
         words, single = [], []
         for p in known:
-            (words if p[:1] == " " and p[1:2].isalpha() and not p[-1].isspace() else single).append(p)
+            (words if p[0] in " \n" and not p[1:2].isspace() and not p[-1].isspace() else single).append(p)
         for i in range(0, len(words), JOINED):
             some = words[i:i + JOINED]
             ids = self._encode(["".join(some)])[0]

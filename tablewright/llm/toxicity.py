@@ -70,7 +70,7 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
-        z = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1] if len(texts) else np.zeros(0)
+        z = ((x - self.mean) / self.scale * self.weights[:-1]).sum(1) + self.weights[-1] if len(texts) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
