@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, decontaminate, mixing, quality_rules, secrets, token_files, toxicity
+from tablewright.llm import chat, decontaminate, mixing, near_dup, quality_rules, secrets, token_files, toxicity
 from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8(spark, d):
 def op10(spark, d):
     """Measures of every document and the verdict of the cascade."""
     return quality_rules.cascade(table(spark, d, "documents"), measures=True).drop("rejected_by")
+
+
+@query("op4_near_dup")
+def op4(spark, d):
+    """Classes of near duplicates over three-word shingles at 85 %."""
+    return near_dup.near_duplicates(table(spark, d, "documents"), width=3, percent=85)
