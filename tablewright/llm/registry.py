@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, decontaminate, mixing, near_dup, quality_rules, secrets, token_files, toxicity
+from tablewright.llm import chat, decontaminate, html_text, mixing, near_dup, quality_rules, secrets, token_files, toxicity
 from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op10(spark, d):
 def op4(spark, d):
     """Classes of near duplicates over three-word shingles at 85 %."""
     return near_dup.near_duplicates(table(spark, d, "documents"), width=3, percent=85)
+
+
+@query("op1_html_text")
+def op1(spark, d):
+    """Main text of every page."""
+    return html_text.extract(table(spark, d, "pages"))
