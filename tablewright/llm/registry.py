@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, decontaminate, html_text, mixing, near_dup, quality_rules, secrets, token_files, toxicity
+from tablewright.llm import chat, decontaminate, html_text, mixing, near_dup, quality_rules, secrets, suffix_dedup, token_files, toxicity
 from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op4(spark, d):
 def op1(spark, d):
     """Main text of every page."""
     return html_text.extract(table(spark, d, "pages"))
+
+
+@query("op9_suffix_dedup")
+def op9(spark, d):
+    """What is left of every document without repeated strings of 50 bytes."""
+    return suffix_dedup.deduplicate(table(spark, d, "documents"))
