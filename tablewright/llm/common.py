@@ -50,3 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     n = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
 
+
+
+#: Ids that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not in the one column of `ids`; a null id is an id like others."""
+    ids = staged(ids.toDF("_out").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")

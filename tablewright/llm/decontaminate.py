@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.common import lower_ascii, once, staged, words
+from tablewright.llm.common import lower_ascii, once, staged, without, words
 
 WIDTH, THRESHOLD, BLOCK = 5, 0.8, 20_000
 #: Upper bounds of the size partitions grow by this factor.
@@ -98,3 +98,8 @@ def _search(docs: DataFrame, block: DataFrame, widths: list[int], threshold: flo
         part = c.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    return without(docs, find(docs, items, threshold, width).select("doc_id"))

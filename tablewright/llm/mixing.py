@@ -115,3 +115,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float =
     d = d.join(up, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_id")) & (F.col("size") == F.col("_size")), "left")
     copies = F.when(F.col("size") > 0, F.col("_whole") + F.when(F.col("_rank") <= F.coalesce(F.col("_up"), F.lit(0)), 1).otherwise(0)).otherwise(0)
     return d.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as many times as it has copies, with all its columns.
+
+    Rows that repeat an id, source and size share their copies evenly.
+    """
+    keys = ["doc_id", "source", "size"]
+    m = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).filter("_all > 0")
+    m = m.toDF("_id", "_source", "_size", "_all", "_rows")
+    d = docs.withColumn("_words", sizes(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    d = d.join(m, same)
+    rank = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_rows"))
+    d = d.withColumn("_copies", F.when(F.col("_rows") == 1, F.col("_all")).otherwise(F.floor(F.col("_all") / F.col("_rows")) + (rank <= F.col("_all") % F.col("_rows")).cast("int")).cast("int"))
+    return d.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import spread, staged
+from tablewright.llm.common import BROADCAST_IDS, spread, staged, without
 from tablewright.llm.components import components
 from tablewright.llm.hashing import groups, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 VALUES, MISS = 192, 1e-6
-#: Members of a bucket compared at once, and identifiers that may be broadcast (8 bytes each).
-BLOCK, BROADCAST_IDS = 1_000, 1_000_000
+#: Members of a bucket compared at once, and bytes of text hashed at once.
+BLOCK = 1_000
 GROUP_BYTES = 1 << 20
 
 
@@ -227,3 +227,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(group, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def unique(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each class, with all its columns: the one of the smallest id. Texts without words all stay."""
+    classes = staged(near_duplicates(docs, width, percent), "classes")
+    out = without(docs, classes.filter("not kept").select("doc_id"))
+    # Rows that repeat an id are copies too; they are few or none, so only they are looked at again.
+    again = staged(classes.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "again")
+    if again.isEmpty():
+        return out
+    twice = out.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return without(out, again).unionByName(twice.dropDuplicates(["doc_id"]))

@@ -152,6 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     return learn(*parts)
 
 
+def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents whose score is below `limit`, with all their columns; defined on all texts as `score` is."""
+
+    def task(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.scores(b.column("text").to_pylist()) < limit, pa.bool_()))
+
+    return spread(docs).mapInArrow(task, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score in 0..1, predicted (1 if score >= 0.5).
 
