@@ -6,9 +6,10 @@ values; r is the largest with which a pair at the threshold is missed with a pro
 
 Equal sets are one node from the start. Within a bucket no list of all pairs is made:
   1. each node is compared with one other, the bucket minimum with which it shares most buckets; confirmed links give
-     components, which holds nearly all of a large group of copies;
-  2. only nodes of different components that still meet in a bucket are compared by signature, in blocks of bounded
-     size, and what is within six standard errors of the threshold goes on.
+     components. Some rounds more compare each node with one member of a larger component that it meets. A large group
+     of copies is one component then;
+  2. only nodes of different components that still meet in a bucket are compared by longer signatures of one bit a
+     value, in blocks of bounded size, and what is within six standard errors of the threshold goes on.
 Every link is confirmed on the full sets. A link between nodes that share a bucket is thus either confirmed or lies
 inside one component already.
 """
@@ -31,6 +32,8 @@ VALUES, MISS = 192, 1e-6
 #: Members of a bucket compared at once, and bytes of text hashed at once.
 BLOCK = 1_000
 GROUP_BYTES = 1 << 20
+#: One-bit values of the longer signatures, and rounds before they are used.
+BITS, ROUNDS = 4096, 3
 
 
 def band_rows(percent: int, values: int = VALUES, miss: float = MISS) -> int:
@@ -75,8 +78,18 @@ def signatures(docs: DataFrame, width: int, values: int) -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, n bigint, digest binary, sig binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(digest, set) of the wanted nodes (digest, rep), from the texts; a task gives each node once at most."""
+def bit_signature(s: np.ndarray, a: np.ndarray) -> bytes:
+    """One bit of the smallest and largest element under each permutation: equal with probability (1 + similarity) / 2."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    low, high = np.full(len(a), 0xFFFFFFFF, np.uint32), np.zeros(len(a), np.uint32)
+    for i in range(0, len(x), 256):
+        y = a[:, None] * x[None, i:i + 256]
+        low, high = np.minimum(low, y.min(1)), np.maximum(high, y.max(1))
+    return np.packbits(np.concatenate([low, high]) * np.uint32(0x9E3779B1) >> np.uint32(31) == 1).tobytes()
+
+
+def of_nodes(docs: DataFrame, wanted: DataFrame, width: int, make, name: str) -> DataFrame:
+    """(digest, value) of the wanted nodes (digest, rep), made from their sets by `make`; a task gives each node once at most."""
     small = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("rep").alias("_id"), F.col("digest").alias("_digest"))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -86,20 +99,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             texts, want = b.column("text").to_pylist(), b.column("_digest").to_pylist()
             for lo, hi in groups([len(x or "") for x in texts], GROUP_BYTES):
-                out = [(d, s.tobytes()) for d, s in zip(want[lo:hi], shingle_sets(texts[lo:hi], width)) if d not in seen and digest(s) == d]
-                out = list(dict(out).items())
-                seen.update(d for d, _ in out)
+                out = {}
+                for d, s in zip(want[lo:hi], shingle_sets(texts[lo:hi], width)):
+                    if d not in seen and digest(s) == d:
+                        seen.add(d)
+                        out[d] = make(s)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["digest", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "value"])
 
-    return rows.select("text", "_digest").mapInArrow(task, "digest binary, set binary")
+    return staged(rows.select("text", "_digest").mapInArrow(task, "digest binary, value binary").dropDuplicates(["digest"]), name)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets meet the threshold."""
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    sets = staged(sets_of(docs, staged(nodes.join(ends, "digest").select("digest", "rep"), "wanted"), width), "sets")
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("set").alias("sb")), "b")
+    sets = of_nodes(docs, staged(nodes.join(ends, "digest").select("digest", "rep"), "wanted"), width, lambda s: s.tobytes(), "sets")
+    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("value").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("value").alias("sb")), "b")
 
     def task(batches):
         for b in batches:
@@ -133,18 +148,34 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> Dat
     return both.mapInArrow(task, "a binary, b binary")
 
 
-def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, values: int, block: int) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, digest, label) of the buckets in which components meet, and these buckets' sizes and largest component."""
+    m = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "label")).alias("top")).filter("kinds > 1")
+    per = staged(per.select("key", "size", F.col("top.label").alias("main"), F.col("top.c").alias("most")), "buckets")
+    return staged(m.join(per.select("key"), "key"), "members"), per
+
+
+def next_pairs(m: DataFrame, per: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) per node outside the largest component of its buckets: the member of such a component it meets most often."""
+    m = m.join(per, "key")
+    centre = m.filter("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "digest").alias("h"), "digest"))["digest"].alias("a"))
+    met = m.filter("label <> main").select("key", F.col("digest").alias("b")).join(centre, "key").groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+
+def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Likely pairs of nodes that meet in a bucket and are in different components.
 
     A bucket up to `block` members is one group. A larger one is cut: its largest component's members, who need no
     comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks.
     """
-    m = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
-    m = staged(m, "members")
-    per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "label")).alias("top")).filter("kinds > 1")
-    per = per.select("key", "size", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / block).alias("nm"), F.ceil((F.col("size") - F.col("top.c")) / block).alias("no"))
-    m = m.join(per, "key").join(nodes.select("digest", "sig"), "digest")
+    wanted = staged(nodes.select("digest", "rep").join(m.select("digest").distinct(), "digest"), "wanted")
+    mult = multipliers(BITS)
+    bits = of_nodes(docs, wanted, width, lambda s: bit_signature(s, mult), "bits").withColumnRenamed("value", "sig")
+    per = per.select("key", "size", "main", F.ceil(F.col("most") / block).alias("nm"), F.ceil((F.col("size") - F.col("most")) / block).alias("no"))
+    m = m.join(per, "key").join(bits, "digest")
     at = F.pmod(F.xxhash64("digest", F.lit(3)), F.when(F.col("label") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int")
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -156,18 +187,20 @@ def remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     m = m.withColumn("at", at).withColumn("cell", F.explode(cells))
     m = m.withColumn("side", F.when(F.col("cell.kind") == 0, 0).when(F.col("cell.kind") == 1, F.when(F.col("label") == F.col("main"), 0).otherwise(1)).otherwise(F.when(F.col("cell.i") == F.col("cell.j"), 0).when(F.col("at") == F.col("cell.i"), 0).otherwise(1)))
     m = m.withColumn("cell_id", F.xxhash64("key", "cell"))
-    least = cutoff(percent, values)
+    # Equal bits at the threshold, less six standard errors.
+    same = (1 + percent / 100) / 2
+    most_unequal = BITS - math.floor(BITS * same - 6 * math.sqrt(BITS * same * (1 - same)))
 
     def compare(rows):
         side = np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), "<u2").reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1)
         number: dict[bytes, int] = {}
         label = np.array([number.setdefault(r[3], len(number)) for r in rows])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
-        for lo in range(0, len(left), 32):
-            own = left[lo:lo + 32]
-            hit = (sig[own][:, None, :] == sig[right][None, :, :]).sum(2) >= least
+        for lo in range(0, len(left), 16):
+            own = left[lo:lo + 16]
+            hit = np.bitwise_count(sig[own][:, None, :] ^ sig[right][None, :, :]).sum(2, dtype=np.int32) <= most_unequal
             hit &= label[own][:, None] != label[right][None, :]
             for x, y in zip(*np.nonzero(hit)):
                 d, e = rows[own[x]][2], rows[right[y]][2]
@@ -218,8 +251,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first = shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = confirmed(staged(likely(first, nodes, percent, values), "pairs"), docs, nodes, width, percent)
     labels = staged(components(links), "labels")
-    more = staged(remaining(members.select("key", "digest"), labels, nodes, percent, values, block), "pairs")
-    links = links.unionByName(confirmed(more, docs, nodes, width, percent))
+    members = members.select("key", "digest")
+    for turn in range(ROUNDS):
+        m, per = labelled(members, labels)
+        new = confirmed(staged(likely(next_pairs(m, per, turn), nodes, percent, values), "pairs"), docs, nodes, width, percent)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        labels = staged(components(links), "labels")
+        members = m.select("key", "digest")
+    m, per = labelled(members, labels)
+    links = links.unionByName(confirmed(staged(remaining(m, per, docs, nodes, width, percent, block), "pairs"), docs, nodes, width, percent))
     labels = staged(components(links), "labels")
     group = nodes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
