@@ -150,7 +150,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> Dat
 
 def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (key, digest, label) of the buckets in which components meet, and these buckets' sizes and largest component."""
-    m = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    m = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("label", "digest").alias("label"))
     per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "label")).alias("top")).filter("kinds > 1")
     per = staged(per.select("key", "size", F.col("top.label").alias("main"), F.col("top.c").alias("most")), "buckets")
@@ -165,17 +165,18 @@ def next_pairs(m: DataFrame, per: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
-def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int, rows_of_band: int) -> DataFrame:
     """Likely pairs of nodes that meet in a bucket and are in different components.
 
     A bucket up to `block` members is one group. A larger one is cut: its largest component's members, who need no
-    comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks.
+    comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks. A pair is listed in
+    the first bucket that it shares only.
     """
     wanted = staged(nodes.select("digest", "rep").join(m.select("digest").distinct(), "digest"), "wanted")
     mult = multipliers(BITS)
-    bits = of_nodes(docs, wanted, width, lambda s: bit_signature(s, mult), "bits").withColumnRenamed("value", "sig")
+    bits = of_nodes(docs, wanted, width, lambda s: bit_signature(s, mult), "bits").withColumnRenamed("value", "bits")
     per = per.select("key", "size", "main", F.ceil(F.col("most") / block).alias("nm"), F.ceil((F.col("size") - F.col("most")) / block).alias("no"))
-    m = m.join(per, "key").join(bits, "digest")
+    m = m.join(per, "key").join(bits.join(nodes.select("digest", "sig"), "digest"), "digest")
     at = F.pmod(F.xxhash64("digest", F.lit(3)), F.when(F.col("label") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int")
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -193,17 +194,21 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
 
     def compare(rows):
         side = np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1)
+        bits = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join([r[5] for r in rows]), "<u2").reshape(len(rows), -1)
+        sig = sig[:, :sig.shape[1] // rows_of_band * rows_of_band].reshape(len(rows), -1, rows_of_band)
         number: dict[bytes, int] = {}
         label = np.array([number.setdefault(r[3], len(number)) for r in rows])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
         for lo in range(0, len(left), 16):
             own = left[lo:lo + 16]
-            hit = np.bitwise_count(sig[own][:, None, :] ^ sig[right][None, :, :]).sum(2, dtype=np.int32) <= most_unequal
+            hit = np.bitwise_count(bits[own][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int32) <= most_unequal
             hit &= label[own][:, None] != label[right][None, :]
-            for x, y in zip(*np.nonzero(hit)):
-                d, e = rows[own[x]][2], rows[right[y]][2]
+            x, y = np.nonzero(hit)
+            first = (sig[own[x]] == sig[right[y]]).all(2).argmax(1) == rows[0][6]
+            for x, y in zip(own[x[first]].tolist(), right[y[first]].tolist()):
+                d, e = rows[x][2], rows[y][2]
                 yield (d, e) if d < e else (e, d)
 
     def task(batches):
@@ -216,7 +221,7 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
             return batch
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("cell_id", "side", "digest", "label", "sig"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell_id", "side", "digest", "label", "bits", "sig", "band"))):
                 if rows and r[0] != rows[0][0]:
                     out.update(compare(rows))
                     rows = []
@@ -227,7 +232,7 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
             out.update(compare(rows))
         yield flush()
 
-    cells = m.select("cell_id", "side", "digest", "label", "sig").repartition("cell_id").sortWithinPartitions("cell_id")
+    cells = m.select("cell_id", "side", "digest", "label", "bits", "sig", "band").repartition("cell_id").sortWithinPartitions("cell_id")
     return cells.mapInArrow(task, "a binary, b binary").distinct()
 
 
@@ -242,8 +247,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     base = staged(signatures(docs, width, values), "signatures")
     nodes = staged(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
     bands = values // rows
-    key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows)))))
-    met = nodes.select("digest", key.alias("key"))
+    key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
+    met = nodes.select("digest", F.posexplode(key).alias("band", "key"))
     centres = met.groupBy("key").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = staged(met.join(centres, "key"), "buckets")
     # Per node the bucket minimum it meets most often.
@@ -251,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first = shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = confirmed(staged(likely(first, nodes, percent, values), "pairs"), docs, nodes, width, percent)
     labels = staged(components(links), "labels")
-    members = members.select("key", "digest")
+    members = members.select("key", "band", "digest")
     for turn in range(ROUNDS):
         m, per = labelled(members, labels)
         new = confirmed(staged(likely(next_pairs(m, per, turn), nodes, percent, values), "pairs"), docs, nodes, width, percent)
@@ -259,9 +264,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             break
         links = links.unionByName(new)
         labels = staged(components(links), "labels")
-        members = m.select("key", "digest")
+        members = m.select("key", "band", "digest")
     m, per = labelled(members, labels)
-    links = links.unionByName(confirmed(staged(remaining(m, per, docs, nodes, width, percent, block), "pairs"), docs, nodes, width, percent))
+    links = links.unionByName(confirmed(staged(remaining(m, per, docs, nodes, width, percent, block, rows), "pairs"), docs, nodes, width, percent))
     labels = staged(components(links), "labels")
     group = nodes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
