@@ -144,7 +144,8 @@ def _by_bucket(sent: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
         if rows:
             yield done()
 
-    return sent.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket", "file").mapInArrow(task, schema)
+    # Dealt by hash, not by range: a range would first run the senders for a sample.
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file").mapInArrow(task, schema)
 
 
 def _per_chunk(manifest: DataFrame, answers: DataFrame, column: str, n: int) -> DataFrame:

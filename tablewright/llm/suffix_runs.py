@@ -17,7 +17,7 @@ from tablewright.llm.hashing import VALUE, mixed, powers, prefix
 LENGTH, GRAM = 50, 25
 SPAN = LENGTH - GRAM + 1
 #: Windows looked at together.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def anchors(buf: np.ndarray, sizes: np.ndarray):
@@ -41,7 +41,8 @@ def anchors(buf: np.ndarray, sizes: np.ndarray):
             new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)])
             i = np.flatnonzero(new)
             p = p[i]
-            out.append((p + at, s[i] + at, np.append(s[i[1:] - 1], s[-1]) + at, g[p], doc[p]))
+            # Anchors have small hashes, so their bits are spread once more.
+            out.append((p + at, s[i] + at, np.append(s[i[1:] - 1], s[-1]) + at, mixed(g[p]), doc[p]))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.int32)
