@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.functions.stage import shared_dir
@@ -45,6 +47,19 @@ def once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def parts(batch: pa.RecordBatch, column: str, size: int):
+    """Slices of an Arrow batch of about `size` bytes of one column, so that few rows are Python objects at a time."""
+    total = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, n in enumerate(total.tolist()):
+        held += n
+        if held >= size:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least two tasks a core for work that is heavy per row; inputs with more partitions stay as they are."""
     n = 2 * df.sparkSession.sparkContext.defaultParallelism

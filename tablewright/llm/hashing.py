@@ -84,15 +84,3 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
-
-
-def groups(sizes, most: int):
-    """Bounds of runs of items whose sizes add up to about `most`."""
-    lo, total = 0, 0
-    for i, s in enumerate(sizes):
-        total += s or 0
-        if total >= most:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-    if lo < len(sizes):
-        yield lo, len(sizes)

@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import BROADCAST_IDS, spread, staged, without
+from tablewright.llm.common import BROADCAST_IDS, parts, spread, staged, without
 from tablewright.llm.components import components
-from tablewright.llm.hashing import groups, shingle_sets
+from tablewright.llm.hashing import shingle_sets
 
 WIDTH, PERCENT = 5, 80
 VALUES, MISS = 192, 1e-6
@@ -66,12 +66,11 @@ def signatures(docs: DataFrame, width: int, values: int) -> DataFrame:
 
     def task(batches):
         a = multipliers(values)
-        for b in batches:
-            texts = b.column("text")
-            for lo, hi in groups([len(x or "") for x in texts.to_pylist()], GROUP_BYTES):
-                sets = shingle_sets(texts.slice(lo, hi - lo).to_pylist(), width)
+        for batch in batches:
+            for b in parts(batch, "text", GROUP_BYTES):
+                sets = shingle_sets(b.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, a) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "digest", "sig"])
 
@@ -96,11 +95,10 @@ def of_nodes(docs: DataFrame, wanted: DataFrame, width: int, make, name: str) ->
 
     def task(batches):
         seen = set()
-        for b in batches:
-            texts, want = b.column("text").to_pylist(), b.column("_digest").to_pylist()
-            for lo, hi in groups([len(x or "") for x in texts], GROUP_BYTES):
+        for batch in batches:
+            for b in parts(batch, "text", GROUP_BYTES):
                 out = {}
-                for d, s in zip(want[lo:hi], shingle_sets(texts[lo:hi], width)):
+                for d, s in zip(b.column("_digest").to_pylist(), shingle_sets(b.column("text").to_pylist(), width)):
                     if d not in seen and digest(s) == d:
                         seen.add(d)
                         out[d] = make(s)
@@ -117,13 +115,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("value").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("value").alias("sb")), "b")
 
     def task(batches):
-        for b in batches:
+        for batch in batches:
             ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for b in parts(batch, "sa", GROUP_BYTES):
+                for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return staged(both.mapInArrow(task, "a binary, b binary").distinct(), "links")
 

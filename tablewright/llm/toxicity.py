@@ -19,11 +19,13 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import spread
+from tablewright.llm.common import parts, spread
 
 TOXIC_ROWS, ORDINARY_ROWS = 1_500, 3_000
 GRAM, WINDOW, LEVEL = 5, 64, 3
 BASE_BYTES, TOXIC_BYTES = 16_384, 6_144
+#: Bytes of text scored at a time.
+PART_BYTES = 4 << 20
 #: Least log ratio of a gram's document rates, and least number of toxic rows with it.
 RATIO, ROWS = 3.0, 4
 
@@ -156,7 +158,7 @@ def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The documents whose score is below `limit`, with all their columns; defined on all texts as `score` is."""
 
     def task(batches):
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, "text", PART_BYTES)):
             yield b.filter(pa.array(model.scores(b.column("text").to_pylist()) < limit, pa.bool_()))
 
     return spread(docs).mapInArrow(task, docs.schema)
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches):
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, "text", PART_BYTES)):
             s = model.scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
