@@ -32,7 +32,7 @@ ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 JOINED = 1_000
 #: Bytes of text encoded together, about, and texts at most.
-GROUP_BYTES, GROUP = 3 << 20, 4_000
+GROUP_BYTES, GROUP = 3 << 19, 4_000
 
 
 def _files(uri: str):
@@ -71,7 +71,7 @@ class Encoder:
 
     def _powers(self, n: int):
         if len(self._power[0]) < n:
-            m = max(n, GROUP_BYTES + GROUP_BYTES // 2)
+            m = n + n // 8
             self._power = tuple(np.concatenate([[np.uint64(1)], np.full(m - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (self.base, self.inverse))
         return self._power
 
@@ -129,7 +129,10 @@ class Encoder:
         stop = np.append(start[1:], n)
         power, inverse = self._powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[buf[:n]] * power[:n], dtype=np.uint64, out=total[1:])
+        values = self.value[buf[:n]]
+        values *= power[:n]
+        np.cumsum(values, dtype=np.uint64, out=total[1:])
+        del values
         h = (total[stop] - total[start]) * inverse[start]
         h ^= h >> np.uint64(29)
         h = h * self.base + (stop - start).astype(np.uint64)
