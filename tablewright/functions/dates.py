@@ -25,7 +25,7 @@ ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d
 def parse_date(c: Column) -> Column:
     """Text as timestamp, null when no accepted spelling fits."""
     # Only short texts with a digit are tried, so free text costs one cheap test.
-    t = F.when((F.length(c) <= 40) & c.rlike(r"\d"), F.trim(c))
+    t = F.when((F.length(F.trim(c)) <= 40) & c.rlike(r"\d"), F.trim(c))
     tries = [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f))) for shape, f in DATE_FORMATS]
     return F.coalesce(*tries, F.when(t.rlike(ISO_SHAPE), t.try_cast("timestamp")))
 

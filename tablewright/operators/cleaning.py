@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -143,7 +144,8 @@ def drop_exact_duplicates(df: DataFrame, order: str | None = None, keep_position
 
 
 def slug(name: str, position: int) -> str:
-    text = re.sub(r"_{2,}", "_", re.sub(r"[^A-Za-z0-9_]+", "_", name.strip())).strip("_").lower()
+    """The words of a header, joined in snake case."""
+    text = "_".join(re.findall(r"[A-Za-z0-9]+", name)).lower()
     return f"column_{position}" if not text or text.isdigit() else text
 
 
@@ -155,11 +157,8 @@ def header_mapping(columns: list[str], targets: set[str] | None = None) -> list[
     for i, (c, r) in enumerate(zip(columns, renamed)):
         new = c
         if r:
-            base, n = slug(c, i), 1
-            new = base
-            while new in taken:
-                n += 1
-                new = f"{base}_{n}"
+            base = slug(c, i)
+            new = next(x for x in chain([base], (f"{base}_{n}" for n in count(2))) if x not in taken)
             taken.add(new)
         out.append(new)
     return out
@@ -325,7 +324,7 @@ def clean(df: DataFrame, defects: DataFrame, order: str | None = None) -> dict[s
                 first = f[0] if isinstance(f, list) else f
                 action = _action(operation, first["defect_type"], list(first["columns"]), status="failed",
                                  rule="the action raised; the table was left as it was",
-                                 error=f"{type(e).__name__}: {str(e)[:200]}")
+                                 error=f"{type(e).__name__}: {e}")
             actions.append(action)
     for f in sorted((f for f in mine if f["defect_type"] not in OPERATIONS),
                     key=lambda f: (f["defect_type"], list(f["columns"])[:1])):

@@ -24,15 +24,14 @@ def latest(df: DataFrame, key: str, time: str, k: int, tie: str | None = None) -
 
 
 def user_summary(datasets: DataFrame, analyses: DataFrame, queries: DataFrame, key: str = "user_id",
-                 time: str = "created_at") -> dict[str, DataFrame]:
-    """DB-1: `stats` for every user (analyses and queries counted after the limits of 10 and 5) and the newest rows."""
-    a, q = latest(analyses, key, time, 10), latest(queries, key, time, 5)
-    n = lambda d, name, cap=None: d.groupBy(col(key).alias("user_id")).agg(
-        (F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))).alias(name))
-    stats = n(datasets, "total_datasets").join(n(analyses, "total_analyses", 10), "user_id", "full_outer").join(
-        n(queries, "total_queries", 5), "user_id", "full_outer").na.fill(0)
-    return {"stats": stats, "recent_datasets": latest(datasets, key, time, 5),
-            "recent_analyses": a.filter("rank <= 5"), "recent_queries": q}
+                 time: str = "created_at", tie: str | None = None, recent: int = 5) -> dict[str, DataFrame]:
+    """DB-1: `stats` with the counts of every user, and the `recent` newest rows of each kind."""
+    n = lambda d, name: d.groupBy(col(key).alias("user_id")).agg(F.count("*").alias(name))
+    stats = n(datasets, "total_datasets").join(n(analyses, "total_analyses"), "user_id", "full_outer").join(
+        n(queries, "total_queries"), "user_id", "full_outer").na.fill(0)
+    newest = lambda d: latest(d, key, time, recent, tie)
+    return {"stats": stats, "recent_datasets": newest(datasets), "recent_analyses": newest(analyses),
+            "recent_queries": newest(queries)}
 
 
 def system_summary(users: DataFrame, datasets: DataFrame, analyses: DataFrame, logs: DataFrame,

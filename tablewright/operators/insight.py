@@ -15,13 +15,14 @@ from ..functions.columns import (
 from ..functions.dates import looks_like_date, parse_date
 from ..functions.jobs import together
 from ..functions.quantiles import exact_quantiles
+from ..functions.stage import staged
 from ..functions.values import top_values, value_counts
 from .quality import distinct_facts, moment_facts
 
-# Limits of the report.
+# Limits of the report's listings, and thresholds.
 DATE_SHARE, CATEGORY_SHARE = 0.8, 0.5
 DAILY_SPAN, WEEKLY_SPAN = 90, 730
-TREND_POINTS, SEGMENTS, ANOMALY_ROWS, TOP_VALUES = 100, 20, 20, 10
+SEGMENTS, ANOMALY_ROWS, TOP_VALUES = 20, 20, 10
 SEGMENT_COLUMNS, SEGMENT_METRICS = 3, 5
 ANOMALY_SIGMA, ANOMALY_MIN_ROWS = 2.0, 10
 TREND_SHARE = 0.7
@@ -163,8 +164,8 @@ def trend_points(values: DataFrame) -> DataFrame:
 
 
 def trends(points: DataFrame) -> DataFrame:
-    """IN-7: (metric, direction, overall_change_pct, periods); direction from the first 100 points."""
-    change = F.when(F.col("ordinal") <= TREND_POINTS, F.col("change_pct"))
+    """IN-7: (metric, direction, overall_change_pct, periods) over all points."""
+    change = F.col("change_pct")
     up = F.avg(F.when(change.isNotNull(), (change > 0).cast("double")))
     down = F.avg(F.when(change.isNotNull(), (change < 0).cast("double")))
     first, last = F.min_by("value", "period"), F.max_by("value", "period")
@@ -183,11 +184,8 @@ def trends(points: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- segments
 
-def segments(df: DataFrame, categories: list[str], metrics: list[str], k: int = SEGMENTS) -> DataFrame:
-    """IN-8: mean, sum and count per segment, the k largest segments of each (category, metric).
-
-    All categories are aggregated in one pass; the rank filter is a group limit before its shuffle.
-    """
+def segment_stats(df: DataFrame, categories: list[str], metrics: list[str]) -> DataFrame:
+    """Mean, sum and count of every segment of each (category, metric); all categories in one pass."""
     d = nan_to_null(df)
     fields = {f.name: f for f in d.schema}
     keyed = d.select(
@@ -202,12 +200,23 @@ def segments(df: DataFrame, categories: list[str], metrics: list[str], k: int =
                         F.coalesce(finite(F.col(f"m{i}")), F.lit(0.0)).alias("mean"),
                         F.coalesce(finite(F.col(f"s{i}")), F.lit(0.0)).alias("sum"),
                         F.col(f"n{i}").alias("count")) for i, m in enumerate(metrics)]
+    return grouped.select(long_rows(entries))
+
+
+def largest_segments(stats: DataFrame, k: int = SEGMENTS) -> DataFrame:
+    """The k largest segments of each (category, metric); the rank filter is a group limit before its shuffle."""
     w = Window.partitionBy("segment_column", "metric_column").orderBy(F.desc("count"), F.asc("segment"))
-    return grouped.select(long_rows(entries)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
 
+def segments(df: DataFrame, categories: list[str], metrics: list[str], k: int = SEGMENTS) -> DataFrame:
+    """IN-8: mean, sum and count per segment, the k largest segments of each (category, metric)."""
+    return largest_segments(segment_stats(df, categories, metrics), k)
 
-def pick_segments(df: DataFrame, kinds: dict[str, list[str]]) -> tuple[list[str], list[str]]:
-    """The 3 categories with the fewest values and the 5 metrics with the widest spread."""
+
+def pick_segments(df: DataFrame, kinds: dict[str, list[str]], columns: int = SEGMENT_COLUMNS,
+                  metrics: int = SEGMENT_METRICS) -> tuple[list[str], list[str]]:
+    """The categories with the fewest values and the metrics with the widest spread."""
     cats, nums = kinds["categorical"], kinds["numeric"]
     if not cats or not nums:
         return [], []
@@ -215,15 +224,18 @@ def pick_segments(df: DataFrame, kinds: dict[str, list[str]]) -> tuple[list[str]
     n = {r["column"]: r["distinct"] for r in distinct_facts(d, cats).collect()}
     s = {r["column"]: r["std"] for r in moment_facts(d.select(*map(col, nums))).collect()}
     spread = lambda c: s[c] if s[c] is not None and s[c] == s[c] else 0.0
-    return (sorted(cats, key=lambda c: n[c])[:SEGMENT_COLUMNS],
-            sorted(nums, key=spread, reverse=True)[:SEGMENT_METRICS])
+    return (sorted(cats, key=lambda c: n[c])[:columns],
+            sorted(nums, key=spread, reverse=True)[:metrics])
+
 
+def segment_leaders(stats: DataFrame) -> DataFrame:
+    """Per (category, metric): the segment with the best mean, the largest one, and their shares of the total.
 
-def segment_leaders(segs: DataFrame) -> DataFrame:
-    """Per (category, metric): the segment with the best mean and its share of the retained total."""
-    best = F.max_by(F.struct("segment", "mean", "sum"), F.struct(F.col("mean"), -F.col("rank")))
-    largest = F.min_by(F.struct("segment", "sum"), F.col("rank"))
-    out = segs.groupBy("segment_column", "metric_column").agg(
+    Ties go to the larger segment, then to the smaller name.
+    """
+    best = F.min_by(F.struct("segment", "mean", "sum"), F.struct(-F.col("mean"), -F.col("count"), F.col("segment")))
+    largest = F.min_by(F.struct("segment", "sum"), F.struct(-F.col("count"), F.col("segment")))
+    out = stats.groupBy("segment_column", "metric_column").agg(
         best.alias("b"), largest.alias("l"), F.sum("sum").alias("total"))
     return out.select(
         "segment_column", "metric_column", F.col("b.segment").alias("top_segment"), F.col("b.mean").alias("top_mean"),
@@ -318,9 +330,13 @@ def recommendations(summary: DataFrame, defects: DataFrame, trend: DataFrame, an
                        "related_columns")
 
 
-def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = None,
-             approx: bool = False) -> dict[str, DataFrame]:
-    """IN-11: all insight tables and one metadata row."""
+def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = None, approx: bool = False,
+             segment_columns: int = SEGMENT_COLUMNS, segment_metrics: int = SEGMENT_METRICS,
+             listed: int = SEGMENTS) -> dict[str, DataFrame]:
+    """IN-11: all insight tables and one metadata row.
+
+    `listed` bounds the listing of segments only; leaders and shares come from all segments.
+    """
     kinds = classes(df)
     spark = df.sparkSession
     none = spark.createDataFrame([], "metric string, period timestamp_ntz, value double")
@@ -330,15 +346,17 @@ def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = No
         return pin(trend_points(trend_values(df, kinds["datetime"][0], kinds["numeric"]) if has else none))
 
     def segmented():
-        cats, nums = pick_segments(df, kinds)
-        return pin(segments(df, cats, nums)) if cats else spark.createDataFrame(
-            [], "segment_column string, metric_column string, segment string, mean double, sum double, count long, rank int")
-
-    # All of these have a bounded number of rows.
-    points, segs, odd, summary, rows = together(
+        cats, nums = pick_segments(df, kinds, segment_columns, segment_metrics)
+        # Segments grow with the data, so they are written once for the listing and the leaders.
+        stats = staged(segment_stats(df, cats, nums)) if cats else spark.createDataFrame(
+            [], "segment_column string, metric_column string, segment string, mean double, sum double, count long")
+        return pin(largest_segments(stats, listed)), pin(segment_leaders(stats))
+
+    # All of these have a bounded number of rows, or one per calendar period.
+    points, (segs, leaders), odd, summary, rows = together(
         spark, trending, segmented, lambda: pin(anomalies(df, kinds["numeric"], order)),
         lambda: pin(column_summary(df, kinds, order, approx)), df.count)
-    trend, leaders = trends(points), segment_leaders(segs)
+    trend = trends(points)
     rec = recommendations(report["summary"], report["defects"], trend, odd, leaders, kinds)
     meta = spark.createDataFrame([(rows, len(df.columns), *(len(kinds[k]) for k in kinds))],
                                  "rows long, columns int, numeric int, datetime int, categorical int, other int")
@@ -346,6 +364,6 @@ def insights(df: DataFrame, report: dict[str, DataFrame], order: str | None = No
         "summary": summary,
         "top_values": top_category_values(df, kinds["categorical"]) if kinds["categorical"] else spark.createDataFrame(
             [], "column string, value string, n long, total long, rank int, pct double"),
-        "trend_points": points.filter(F.col("ordinal") <= TREND_POINTS), "trends": trend, "segments": segs,
+        "trend_points": points, "trends": trend, "segments": segs,
         "segment_leaders": leaders, "anomalies": odd, "recommendations": rec, "metadata": meta,
     }

@@ -35,7 +35,7 @@ def _complete(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
 
 
 def optimize(df: DataFrame, target: str, objective: str = "maximize") -> dict[str, DataFrame]:
-    """PR-1: `features` (feature, coefficient, bounds, optimal value, change) and `outcome` (one row).
+    """PR-1: `features` (position, feature, coefficient, bounds, optimal value, change) and `outcome` (one row).
 
     The fitted outcome is linear, so the optimum inside the observed ranges is a
     corner: the upper bound where the coefficient helps, the lower where it hurts,
@@ -47,8 +47,8 @@ def optimize(df: DataFrame, target: str, objective: str = "maximize") -> dict[st
     ready = VectorAssembler(inputCols=features, outputCol="_x").transform(frame)
     fit = LinearRegression(featuresCol="_x", labelCol=target, solver="normal").fit(ready)
     spark = df.sparkSession
-    weights = spark.createDataFrame([(f, float(w)) for f, w in zip(features, fit.coefficients.toArray())],
-                                    "feature string, coefficient double")
+    weights = spark.createDataFrame([(i, f, float(w)) for i, (f, w) in enumerate(zip(features, fit.coefficients.toArray()))],
+                                    "position int, feature string, coefficient double")
     sign = 1.0 if objective == "maximize" else -1.0
     gain = F.col("coefficient") * F.lit(sign)
     table = feature_bounds(df, target).join(weights, "feature").withColumn(
@@ -66,7 +66,7 @@ def change_advice(features: DataFrame) -> DataFrame:
     """PR-2: features whose optimum is more than 5 % away from the mean."""
     way = F.when(F.col("change") > 0, "Increase").otherwise("Decrease")
     return features.filter(F.abs("percent_change") > CHANGE_PCT).select(
-        "feature", F.col("mean").alias("current_average"), F.col("optimal").alias("recommended_value"), "change",
+        "position", "feature", F.col("mean").alias("current_average"), F.col("optimal").alias("recommended_value"), "change",
         "percent_change",
         F.concat(way, F.lit(" "), F.col("feature"), F.format_string(" by %.1f%%", F.abs("percent_change")))
         .alias("action"))
@@ -93,7 +93,7 @@ def actionable_insights(info: DataFrame | None = None, strong: DataFrame | None
         parts.append(choice.select(F.lit(3).alias("step"),
                                    F.concat(F.lit("Model recommendation: "), F.col("recommendation")).alias("insight")))
     if advice is not None:
-        parts.append(advice.limit(3).select(F.lit(4).alias("step"),
+        parts.append(advice.orderBy("position").limit(3).select(F.lit(4).alias("step"),
                                             F.concat(F.col("action"), F.lit(" to improve outcomes")).alias("insight")))
     return reduce(DataFrame.unionByName, parts)
 

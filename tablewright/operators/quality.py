@@ -483,23 +483,18 @@ def assess(df: DataFrame, lexical: bool = False, approx: bool = False) -> dict[s
 
 # ---------------------------------------------------------------- older profile
 
-def table_profile(df: DataFrame, sample: int = 100) -> DataFrame:
+def table_profile(df: DataFrame) -> DataFrame:
     """DQ-16: one row (rows, columns, missing_pct, column lists, outlier_pct, duplicates, quality_score).
 
     Outliers are counted for every numeric column. A text column is a date column
-    when its first `sample` values all read as dates.
+    when all its values read as dates; all columns are tested in the pass that counts the rows.
     """
     df = nan_to_null(df)
     numeric, text = numeric_columns(df), text_columns(df)
-    dates = []
-    if text:
-        checks = []
-        for t in text:
-            head = df.select(col(t).alias("v")).filter("v is not null").limit(sample)
-            checks.append(head.agg(F.lit(t).alias("column"), F.count("*").alias("n"),
-                                   F.count_if(~looks_like_date(F.col("v"))).alias("bad")))
-        dates = [r["column"] for r in reduce(DataFrame.unionAll, checks).collect() if r["bad"] == 0]
-    rows = df.count()
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(col(t).isNotNull() & ~looks_like_date(col(t))).alias(f"b{i}") for i, t in enumerate(text)]).first()
+    dates = [t for i, t in enumerate(text) if seen[f"b{i}"] == 0]
+    rows = seen["rows"]
     fields = {f.name: f for f in df.schema}
     quart = exact_quantiles(df, {n: as_number(fields[n]) for n in numeric}, [0.25, 0.75], rows=rows)
     outside, present = F.lit(0).cast("long"), F.lit(0).cast("long")

@@ -284,7 +284,7 @@ def hypothesis_test(df: DataFrame, target: str, feature: str) -> DataFrame:
         return pearson_test(df, target, feature)
     if target in numeric:
         groups = group_moments(df, target, feature)
-        groups = staged(groups)
+        groups = staged(groups.filter("n > 0"))  # a group without target values is no group to compare
         if groups.count() == 2:
             r = t_statistic(groups).first()
             p = t_two_sided(r["t"], r["dof"]) if r["t"] is not None and r["dof"] > 0 else None

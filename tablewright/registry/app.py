@@ -117,9 +117,13 @@ def _people(s, d) -> DataFrame:
 
 QUERIES["db_user_summary"] = lambda s, d: db.user_summary(_of(s, d, "view"), _of(s, d, "click"), _of(s, d, "error"), time="ts")["stats"]
 SQL["db_user_summary"] = """SELECT user_id, count(CASE WHEN event_type = 'view' THEN 1 END) AS total_datasets,
-    least(count(CASE WHEN event_type = 'click' THEN 1 END), 10) AS total_analyses,
-    least(count(CASE WHEN event_type = 'error' THEN 1 END), 5) AS total_queries FROM events
+    count(CASE WHEN event_type = 'click' THEN 1 END) AS total_analyses,
+    count(CASE WHEN event_type = 'error' THEN 1 END) AS total_queries FROM events
     WHERE event_type IN ('view', 'click', 'error') GROUP BY user_id"""
+QUERIES["db_user_recent"] = lambda s, d: db.user_summary(
+    _of(s, d, "view"), _of(s, d, "click"), _of(s, d, "error"), time="ts", tie="event_id")["recent_analyses"].select("user_id", "event_id", "rank")
+SQL["db_user_recent"] = """SELECT user_id, event_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'click') t WHERE k <= 5"""
 QUERIES["db_latest_n"] = lambda s, d: db.latest(table(s, d, "events"), "user_id", "ts", 5, "event_id").select("user_id", "event_id", "rank")
 SQL["db_latest_n"] = """SELECT user_id, event_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id
     ORDER BY ts DESC, event_id DESC) AS k FROM events) t WHERE k <= 5"""

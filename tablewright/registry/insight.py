@@ -43,7 +43,7 @@ def _summary(s, d) -> DataFrame:
     df = dirty(s, d, "events")
     out = i.column_summary(df, {"numeric": ["event_id", "user_id", "value"], "datetime": ["ts"],
                                 "categorical": ["event_type", "props"], "other": []}, order="event_id")
-    return rounded(out.drop("sum_val"))
+    return rounded(out.withColumn("sum_val", F.round("sum_val", 2)))
 
 
 QUERIES["in_summary"] = _summary
@@ -60,7 +60,7 @@ def _summary_sql(pos, c, kind) -> str:
             f"count(*) - count({c}) AS null_count, {r(f'(count(*) - count({c})) * 100.0 / count(*)')} AS null_pct, "
             f"count(DISTINCT {c}) AS unique_count, "
             + ", ".join((r(x) if num else "NULL::DOUBLE") + f" AS {n}" for x, n in zip(stats, names))
-            + f" FROM {view('events')} v")
+            + (f", {r(f'sum({c})', 2)}" if num else ", NULL::DOUBLE") + f" AS sum_val FROM {view('events')} v")
 
 
 SQL["in_summary"] = unions([_summary_sql(p, c, k) for p, c, k in (
@@ -107,7 +107,7 @@ SQL["in_trend_week"] = f"""SELECT metric, period, ordinal, periods, {r("value",
     "date_trunc('week', o_orderdate) + INTERVAL 6 DAY", ["o_totalprice"])}) t"""
 QUERIES["in_direction"] = lambda s, d: rounded(i.trends(_points(table(s, d, "orders"), "o_orderdate",
                                                                 ["o_totalprice", "o_custkey"])))
-SQL["in_direction"] = f"""WITH p AS ({_MONTHLY}), c AS (SELECT *, CASE WHEN ordinal <= 100 THEN change_pct END AS ch FROM p)
+SQL["in_direction"] = f"""WITH p AS ({_MONTHLY}), c AS (SELECT *, change_pct AS ch FROM p)
     SELECT metric, CASE WHEN count(ch) = 0 THEN 'stable'
       WHEN sum(CASE WHEN ch > 0 THEN 1.0 ELSE 0 END) / count(ch) >= 0.7 THEN 'increasing'
       WHEN sum(CASE WHEN ch < 0 THEN 1.0 ELSE 0 END) / count(ch) >= 0.7 THEN 'decreasing'

@@ -199,7 +199,7 @@ QUERIES["pr_advice"] = lambda s, d: rounded(p.change_advice(_simple(s, d)["featu
 SQL["pr_advice"] = f"""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, min(l_quantity) AS lo, max(l_quantity) AS hi,
       avg(l_quantity) AS q FROM lineitem), o AS (SELECT *, CASE WHEN b > 0 THEN lo ELSE hi END AS x FROM m),
     c AS (SELECT *, (x - q) / q * 100 AS pc FROM o)
-    SELECT 'l_quantity' AS feature, {r("q", 2)} AS current_average, {r("x", 2)} AS recommended_value, {r("x - q", 2)} AS change,
+    SELECT 0 AS position, 'l_quantity' AS feature, {r("q", 2)} AS current_average, {r("x", 2)} AS recommended_value, {r("x - q", 2)} AS change,
       {r("pc", 2)} AS percent_change, CASE WHEN x > q THEN 'Increase' ELSE 'Decrease' END || printf(' l_quantity by %.1f%%', abs(pc))
       AS action FROM c WHERE abs(pc) > 5"""
 

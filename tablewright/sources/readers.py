@@ -150,24 +150,48 @@ def read_json(spark: SparkSession, path) -> DataFrame:
     return json_rows(_load(spark.read.option("wholetext", True).text, path), "value")
 
 
-def json_rows(docs: DataFrame, text: str) -> DataFrame:
-    """The rows of a column of JSON documents; the first document decides the shape and the columns."""
-    d = docs.select(col(text).alias("t"), F.try_parse_json(col(text)).alias("v"))
-    head = d.select(F.schema_of_variant("v").alias("s"),
-                    F.json_object_keys(F.get_json_object("t", "$[0]")).alias("k")).limit(1).first()
-    if head is None or head["s"] is None:
-        raise SourceError("the document is not valid JSON")
-    if head["s"].startswith("ARRAY"):
-        items = d.selectExpr("posexplode(cast(v as array<variant>)) as (pos, value)")
-        if head["k"] is not None:
-            quote = lambda k: '$["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-            return items.select([_truthy_text(F.try_variant_get("value", quote(k), "variant")).alias(k)
-                                 for k in head["k"]])
-        return items.select(F.col("pos").cast("long").alias("Index"), F.to_json("value").alias("Value"))
-    if not head["s"].startswith("OBJECT"):
-        raise SourceError("the document holds neither an array nor an object")
-    entries = d.select(F.explode(F.map_entries(F.expr("cast(v as map<string,variant>)"))).alias("e"))
-    return entries.select(F.col("e.key").alias("Key"), _variant_text(F.col("e.value")).alias("Value"))
+def json_rows(docs: DataFrame, text: str, rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The rows of a column of JSON documents; each document decides its own shape and columns.
+
+    An array whose first element is an object gives a row per element with the columns of that object, another array
+    (Index, Value), an object (Key, Value). The result has the columns of all documents, null where a document has no
+    such column. A text that is none of these fails the read, or, with `rejects`, comes back in a second table
+    (document). Null texts are no documents.
+    """
+    v = F.try_parse_json("t")
+    shape = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    keys = F.json_object_keys(F.get_json_object("t", "$[0]"))
+    d = docs.select(col(text).alias("t")).filter("t is not null").withColumn("v", v).withColumn(
+        "k", F.when(shape.startswith("ARRAY"), keys)).withColumn(
+        "kind", F.when(F.col("k").isNotNull(), "table").when(shape.startswith("ARRAY"), "list")
+        .when(shape.startswith("OBJECT"), "object").otherwise("bad"))
+    found = d.groupBy("kind").agg(F.count("*").alias("n"), F.min("t").alias("one")).collect()  # four kinds at most
+    kinds = {r["kind"]: r for r in found}
+    if "bad" in kinds and not rejects:
+        raise SourceError(f"{kinds['bad']['n']} documents are no JSON array or object, such as {kinds['bad']['one'][:80]!r}")
+    if not kinds:
+        raise SourceError("there is no document")
+    parts = []
+    if "table" in kinds:
+        tables = d.filter("kind = 'table'")
+        # One row per column name, in the order of their first places.
+        names = tables.select(F.posexplode("k").alias("p", "name")).groupBy("name").agg(F.min("p").alias("p"))
+        names = [r["name"] for r in names.orderBy("p", "name").collect()]
+        quote = lambda k: '$["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+        items = tables.select("k", F.explode(F.expr("try_cast(v as array<variant>)")).alias("value"))
+        parts.append(items.select([F.when(F.array_contains("k", k), _truthy_text(F.try_variant_get("value", quote(k), "variant")))
+                                   .alias(k) for k in names]))
+    if "list" in kinds:
+        items = d.filter("kind = 'list'").selectExpr("posexplode(try_cast(v as array<variant>)) as (pos, value)")
+        parts.append(items.select(F.col("pos").cast("long").alias("Index"), F.to_json("value").alias("Value")))
+    if "object" in kinds:
+        entries = d.filter("kind = 'object'").select(
+            F.explode(F.map_entries(F.expr("try_cast(v as map<string,variant>)"))).alias("e"))
+        parts.append(entries.select(F.col("e.key").alias("Key"), _variant_text(F.col("e.value")).alias("Value")))
+    if not parts:
+        parts.append(docs.sparkSession.createDataFrame([], "Key string, Value string"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return (rows, d.filter("kind = 'bad'").select(F.col("t").alias("document"))) if rejects else rows
 
 
 # ---------------------------------------------------------------- XML
@@ -215,15 +239,32 @@ def read_xml(spark: SparkSession, path) -> DataFrame:
     return flatten_documents(docs, "file", "value")
 
 
-def flatten_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fields map<path, text>) of a column of XML documents."""
+def flatten_documents(docs: DataFrame, key: str, text: str, rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """(key, fields map<path, text>) of a column of XML documents; a malformed one fails the read.
+
+    With `rejects` the malformed ones come back as a second table (key, error) instead. Null texts are malformed.
+    """
+
+    def one(t: str | None) -> tuple[dict[str, str] | None, str | None]:
+        try:
+            return flatten_xml(t or ""), None
+        except xml.parsers.expat.ExpatError as e:
+            if not rejects:
+                raise
+            return None, str(e)
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "fields": [flatten_xml(t) for t in pdf["_text"]]})
+            out = [one(t) for t in pdf["_text"]]
+            yield pd.DataFrame({key: pdf[key], "fields": [f for f, _ in out], "error": [e for _, e in out]})
 
-    schema = T.StructType([docs.schema[key], T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
-    return docs.select(col(key), col(text).alias("_text")).mapInPandas(flat, schema)
+    schema = T.StructType([docs.schema[key], T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
+                           T.StructField("error", T.StringType())])
+    rows = docs.select(col(key), col(text).alias("_text")).mapInPandas(flat, schema)
+    if not rejects:
+        return rows.drop("error")
+    rows = staged(rows)  # good and bad documents must come from the same parse
+    return rows.filter("error is null").drop("error"), rows.filter("error is not null").drop("fields")
 
 
 def xml_columns(docs: DataFrame) -> DataFrame:
@@ -238,19 +279,22 @@ def xml_columns(docs: DataFrame) -> DataFrame:
 def grid_to_table(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-7: cells (row, col, dtype, value, formula) of one sheet as a table and its parse errors.
 
-    The first row gives the names, blanks become `Column N`. dtype: 'd' date, 'e' error,
-    anything else a plain value. Error cells and formulas without a result are null and listed.
+    The first row gives the names; blank ones, and columns right of the last name, become `Column N`. dtype: 'd' date
+    or time, 'e' error, anything else a plain value. Dates become ISO texts with their fractions; times of day stay as
+    they are. Error cells and formulas without a result are null and listed.
     """
     spark = cells.sparkSession
     span = cells.agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("col").alias("w")).first()
     if span["lo"] is None:
         raise SourceError("the sheet is empty")
     head = {r["col"]: r["value"] for r in cells.filter(F.col("row") == span["lo"]).collect()}  # one row of the sheet
-    width = max(head) if head else span["w"]
+    width = span["w"]
     names = [head.get(i) if head.get(i) not in (None, "") else f"Column {i}" for i in range(1, width + 1)]
     broken = F.col("dtype") == "e"
     no_result = F.col("value").isNull() & F.col("formula").isNotNull()
-    iso = F.date_format(F.col("value").try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.when(F.col("value").rlike(r"^\s*\d{4}-\d"), F.col("value").try_cast("timestamp"))
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(F.unix_micros(at) % 1_000_000 == 0, whole).otherwise(F.concat(whole, F.date_format(at, ".SSSSSS")))
     value = F.when(broken | no_result, None).when(F.col("dtype") == "d", F.coalesce(iso, F.col("value"))).otherwise(
         F.col("value"))
     body = cells.filter((F.col("row") > span["lo"]) & (F.col("col") <= width))

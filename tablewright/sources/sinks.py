@@ -47,13 +47,13 @@ def result_rows(df: DataFrame, user: str, dataset: str, analysis_type: str) -> D
 
 
 def model_rows(metrics: DataFrame, choice: DataFrame, model_type: str, target: str, user: str, dataset: str) -> DataFrame:
-    """SNK-7: one registry row with the winner and the winner's score."""
+    """SNK-7: one registry row with the winner and the winner's score (null where it does not fit the column)."""
     if model_type not in ALLOWED["ml_models", "model_type"]:
         raise ValueError(f"model type {model_type!r} is not allowed")
     return choice.select(
         F.lit(user).alias("user_id"), F.lit(dataset).alias("dataset_id"), F.lit(model_type).alias("model_type"),
         F.col("best_model").alias("algorithm"), F.lit(target).alias("target_column"),
-        F.col("score").cast("decimal(5,4)").alias("accuracy_score"), F.current_timestamp().alias("created_at"))
+        F.col("score").try_cast("decimal(5,4)").alias("accuracy_score"), F.current_timestamp().alias("created_at"))
 
 
 def catalogue_row(df: DataFrame, dataset: str, user: str, name: str, size: int | None, status: str = "uploaded") -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.dates import parse_date
 # Fixed values.
 KEY_PATTERN = r"^sk_[a-zA-Z0-9]{32}$"
 MAX_SOURCE, MAX_PAYLOAD = 100, 100_000
+MAX_TIME_MS = 8_640_000_000_000_000
 ERRORS = {
     "timestamp": "timestamp is required",
     "source": "source is required",
@@ -40,10 +41,11 @@ def _field(v: Column, name: str) -> Column:
     return F.struct(text.alias("text"), kind.alias("kind"), F.coalesce(given, F.lit(False)).alias("given"))
 
 
-def event_time(text: Column) -> Column:
-    """A time text, or a number of milliseconds, as timestamp."""
-    ms = F.when(text.rlike(r"^-?\d{5,}$"), F.timestamp_millis(text.try_cast("long")))
-    return F.coalesce(ms, F.try_to_timestamp(text), parse_date(text))
+def event_time(field: Column) -> Column:
+    """A time text, or a JSON number of milliseconds, as timestamp; `field` comes from `_field`."""
+    text, ms = field["text"], field["text"].try_cast("double")
+    at = F.when(F.abs(ms) <= MAX_TIME_MS, F.timestamp_millis(ms.cast("long")))
+    return F.when(field["kind"] == "number", at).otherwise(F.coalesce(F.try_to_timestamp(text), parse_date(text)))
 
 
 def validate(df: DataFrame, body: str = "body") -> DataFrame:
@@ -58,7 +60,7 @@ def validate(df: DataFrame, body: str = "body") -> DataFrame:
     time, source, metrics = F.col("_f.timestamp"), F.col("_f.source"), F.col("_f.metrics")
     checks = [
         (~time["given"], "timestamp"), (~source["given"], "source"), (~metrics["given"], "metrics"),
-        (time["given"] & event_time(time["text"]).isNull(), "time"),
+        (time["given"] & event_time(time).isNull(), "time"),
         (source["given"] & ((source["kind"] != "text") | (F.char_length(source["text"]) > MAX_SOURCE)), "text"),
         (metrics["given"] & (metrics["kind"] != "nested"), "object"),
         (F.col("_f.size") > MAX_PAYLOAD, "size"),
@@ -98,7 +100,7 @@ def event_rows(df: DataFrame, body: str = "body") -> DataFrame:
     """SS-7: rows of the live table from validated requests that carry a user_id."""
     v = F.col("_v")
     return once(df, "_v", F.try_parse_json(col(body))).select(
-        event_time(F.try_variant_get(v, "$.timestamp", "string")).alias("timestamp"),
+        event_time(_field(v, "timestamp")).alias("timestamp"),
         sanitize_source(F.try_variant_get(v, "$.source", "string")).alias("source"),
         F.to_json(F.try_variant_get(v, "$.metrics", "variant")).alias("metrics"),
         col(body).alias("raw_data"), "user_id", F.current_timestamp().alias("created_at"))

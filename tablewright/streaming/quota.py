@@ -141,8 +141,8 @@ class QuotaTable:
     predecessor and writes the same version again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, time: str, tie: str, keep_ms: int = BLOCK_MS, **options):
-        self.spark, self.root, self.keep_ms = spark, root.rstrip("/"), keep_ms
+    def __init__(self, spark: SparkSession, root: str, key: str, time: str, tie: str, **options):
+        self.spark, self.root = spark, root.rstrip("/")
         self.key, self.time, self.tie, self.options = key, time, tie, options
 
     def apply(self, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -156,10 +156,8 @@ class QuotaTable:
             counts = counts.unionByName(old)
         open_now = counts.groupBy("key", "start").agg(F.sum("count").alias("count")).groupBy("key").agg(
             F.max(F.struct("start", "count")).alias("s")).select("key", "s.start", "s.count")
-        newest = open_now.agg(F.max("start").alias("m")).first()["m"]
-        # Windows that ended long before the newest request can no longer matter.
-        live = open_now if newest is None else open_now.filter(F.col("start") >= newest - self.keep_ms)
-        live.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
+        # One row per key: a key that is late or replayed must find its own window, however new others are.
+        open_now.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
         return judged.drop("window_start")
 
 

@@ -84,3 +84,16 @@ def test_concentration_uses_the_largest_segment(spark):
     df = spark.createDataFrame([("big", 10.0)] * 60 + [("small", 1.0)] * 40, "k string, v double")
     leader = i.segment_leaders(i.segments(df, ["k"], ["v"])).first()
     assert leader["largest_segment"] == "big" and leader["largest_share"] == pytest.approx(600 / 640)
+
+
+def test_direction_looks_at_all_points(spark):
+    values = list(range(1, 121)) + list(range(120, -280, -1))  # rises for 120 days, then falls for 400
+    df = spark.createDataFrame([(START + dt.timedelta(days=k), float(v)) for k, v in enumerate(values)], "t timestamp, v double")
+    points = i.trend_points(i.trend_values(df, "t", ["v"], "day"))
+    assert points.count() == 520 and i.trends(points).first()["direction"] == "decreasing"
+
+
+def test_leaders_and_shares_count_unlisted_segments(spark):
+    df = spark.createDataFrame([(f"s{k % 30:02}", 1.0) for k in range(60)] + [("rare", 99.0)], "k string, v double")
+    leader = i.segment_leaders(i.segment_stats(df, ["k"], ["v"])).first()
+    assert leader["top_segment"] == "rare" and leader["total"] == 159 and leader["largest_share"] == pytest.approx(2 / 159)

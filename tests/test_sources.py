@@ -85,6 +85,34 @@ def test_grid(spark):
     assert rows(errors, "row") == [(2, "Column 2", "formula_cell", "=B1+1"), (4, "name", "error_cell", "#REF!")]
 
 
+def test_grid_keeps_cells_right_of_the_header_and_times(spark):
+    cells = [(1, 1, "s", "a", None), (2, 1, "d", "10:30:00", None), (2, 2, "n", "99", None), (3, 1, "d", "2024-01-05 10:30:00.123", None)]
+    table, errors = rd.grid_to_table(spark.createDataFrame(cells, "row long, col int, dtype string, value string, formula string"))
+    assert table.columns == ["row", "a", "Column 2"] and errors.count() == 0
+    assert rows(table, "row") == [(2, "10:30:00", "99"), (3, "2024-01-05T10:30:00.123000", None)]
+
+
+def test_json_documents_of_different_shapes(spark):
+    docs = spark.createDataFrame([('[{"a": 1}, {"b": 5}]',), ('[{"b": 2}]',), ("oops",), ('["x"]',), ('{"k": true}',), ("7",), (None,), ("[]",)], "t string")
+    with pytest.raises(rd.SourceError, match="2 documents"):
+        rd.json_rows(docs, "t")
+    good, bad = rd.json_rows(docs, "t", rejects=True)
+    assert sorted(r["document"] for r in bad.collect()) == ["7", "oops"]
+    assert good.columns == ["a", "b", "Index", "Value", "Key"]
+    assert sorted(map(str, rows(good))) == sorted(map(str, [
+        ("1", None, None, None, None), ("", None, None, None, None), (None, "2", None, None, None),
+        (None, None, 0, '"x"', None), (None, None, None, "true", "k")]))
+
+
+def test_malformed_xml_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "<r><a>x</a></r>"), (2, "<r>"), (3, None)], "k int, t string")
+    good, bad = rd.flatten_documents(docs, "k", "t", rejects=True)
+    assert [(r["k"], r["fields"]) for r in good.collect()] == [(1, {"r.a[0]": "x"})]
+    assert sorted(r["k"] for r in bad.collect()) == [2, 3]
+    with pytest.raises(Exception):
+        rd.flatten_documents(docs, "k", "t").collect()
+
+
 def test_dispatch_and_keys(spark, folder):
     with pytest.raises(rd.SourceError):
         rd.read_any(spark, f"{folder}/x.xls")
