@@ -65,21 +65,25 @@ def start_intake(requests: DataFrame, keys: DataFrame, events_path: str, rejects
                  checkpoint: str, **trigger) -> StreamingQuery:
     """SS-7: requests (api_key, ts, id, body) into the event table, refused ones with a reason into a second one.
 
-    Order: key, user, quota, payload; the quota counts before the payload is looked
-    at. Every micro-batch writes folders named after its id, so a retry replaces them.
+    Order: key format, quota, user, payload. The quota counts every request with a well-formed key, so unknown keys are
+    limited too. `used` under the state path holds each key's newest use per micro-batch. Every micro-batch writes
+    folders named after its id, so a retry replaces them.
     """
     table = quota.QuotaTable(requests.sparkSession, state_path, "key_hash", "ts", "id")
+    plain = [c for c in requests.columns if c != "api_key"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known, unknown = intake.admitted(batch, keys)
-        unknown.write.mode("overwrite").parquet(f"{rejects_path}/keys/batch={batch_id}")
-        judged = staged(intake.validate(table.apply(known, batch_id)))
-        good = judged.filter("accepted and valid")
-        intake.event_rows(good).write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        bad = judged.filter("not (accepted and valid)").select(
-            "id", "ts", "body", F.when(~F.col("accepted"), "rate limit exceeded").otherwise(
-                F.array_join("errors", "; ")).alias("reason"))
-        bad.write.mode("overwrite").parquet(f"{rejects_path}/payload/batch={batch_id}")
+        put = lambda d, path: d.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        formed, malformed = intake.by_format(batch)
+        counted = table.apply(formed, batch_id)
+        known, unknown = intake.by_user(counted.filter("accepted"), keys)
+        put(malformed.unionByName(unknown.select(*plain, "reason")), f"{rejects_path}/keys")
+        put(intake.last_used(known), f"{state_path}/used")
+        judged = staged(intake.validate(known))
+        put(intake.event_rows(judged.filter("valid")), events_path)
+        bad = judged.filter("not valid").select("id", "ts", "body", F.array_join("errors", "; ").alias("reason"))
+        limited = counted.filter("not accepted").select("id", "ts", "body", F.lit("rate limit exceeded").alias("reason"))
+        put(bad.unionByName(limited), f"{rejects_path}/payload")
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -112,12 +112,17 @@ def first_entries(payload: Column, k: int = 3) -> Column:
     return F.slice(F.map_entries(m), 1, k)
 
 
-def admitted(df: DataFrame, keys: DataFrame, key: str = "api_key") -> tuple[DataFrame, DataFrame]:
-    """Requests with a well-formed, active key and their user, and the requests refused for their key."""
-    d = df.withColumn("_ok", valid_key(col(key))).withColumn("key_hash", F.when(F.col("_ok"), key_hash(col(key))))
+def by_format(df: DataFrame, key: str = "api_key") -> tuple[DataFrame, DataFrame]:
+    """Requests with a well-formed key, which becomes its hash, and the others with a reason."""
+    rest = [col(c) for c in df.columns if c != key]
+    ok = valid_key(col(key))
+    return (df.filter(ok).select(*rest, key_hash(col(key)).alias("key_hash")),
+            df.filter(~ok).select(*rest, F.lit("invalid key format").alias("reason")))
+
+
+def by_user(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests of an active key with their user, and the others with a reason."""
     active = keys.filter("is_active").select(F.col("key_hash").alias("_kh"), "user_id")
-    d = d.join(active, F.col("key_hash") == F.col("_kh"), "left").drop("_kh")
+    d = df.join(active, F.col("key_hash") == F.col("_kh"), "left").drop("_kh")
     known = F.col("user_id").isNotNull()
-    reason = F.when(~F.col("_ok"), "invalid key format").otherwise("unknown or inactive key")
-    return (d.filter(known).drop("_ok", key),
-            d.filter(~known).select(*[col(c) for c in df.columns if c != key], reason.alias("reason")))
+    return d.filter(known), d.filter(~known).drop("user_id").withColumn("reason", F.lit("unknown or inactive key"))

@@ -136,3 +136,9 @@ def test_legacy_profile_finds_date_text(spark):
     p = q.table_profile(df).first()
     assert p["datetime_columns"] == ["d"] and p["categorical_columns"] == ["t"] and p["duplicates"] == 0
     assert p["missing_pct"] == pytest.approx(2 / 63 * 100) and p["outlier_pct"] == pytest.approx(100 / 21)
+
+
+def test_late_values_decide_about_dates(spark):
+    texts = [f"2024-01-{1 + k % 28:02}" for k in range(150)] + ["no date"] * 250
+    p = q.table_profile(spark.createDataFrame([(t, f"  2024-01-01{' ' * 60}") for t in texts], "late string, padded string")).first()
+    assert p["datetime_columns"] == ["padded"] and p["categorical_columns"] == ["late"]

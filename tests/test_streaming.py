@@ -171,3 +171,25 @@ def test_date_filter_is_pushed_to_the_scan(spark, folder):
     out = db.dashboard_filter(spark.read.parquet(f"{folder}/d"), "t", "30d")
     assert out.count() == 31
     assert "GreaterThanOrEqual(t" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stamp, ok", [('"1704103200000"', False), ("1704103200000", True), ("5", True), ("1e300", False), ('"2024-01-01"', True)])
+def test_only_numbers_are_milliseconds(spark, stamp, ok):
+    body = '{"timestamp": %s, "source": "s", "metrics": {}}' % stamp
+    assert intake.validate(spark.createDataFrame([(body,)], "body string")).first()["valid"] is ok
+
+
+def test_quota_counts_before_the_key_is_looked_up(spark, folder):
+    key, other = "sk_" + "a" * 32, "sk_" + "b" * 32
+    body = '{"timestamp": "2024-01-01", "source": "s", "metrics": {"v": 1}}'
+    data = [(k, T0 + dt.timedelta(milliseconds=i), i + n, body) for n, k, size in ((0, key, 3), (1000, other, 120)) for i in range(size)]
+    req = spark.createDataFrame(data, "api_key string, ts timestamp, id long, body string")
+    req.write.parquet(f"{folder}/in")
+    keys = req.filter("id = 0").select(intake.key_hash(F.col("api_key")).alias("key_hash"), F.lit(7).alias("user_id"), F.lit(True).alias("is_active"))
+    feed.start_intake(spark.readStream.schema(req.schema).parquet(f"{folder}/in"), keys, f"{folder}/events", f"{folder}/rejects",
+                      f"{folder}/state", f"{folder}/check").awaitTermination()
+    assert spark.read.parquet(f"{folder}/events").count() == 3
+    assert spark.read.parquet(f"{folder}/rejects/keys").count() == 100
+    limited = spark.read.parquet(f"{folder}/rejects/payload").collect()
+    assert {r["reason"] for r in limited} == {"rate limit exceeded"} and sorted(r["id"] for r in limited) == list(range(1100, 1120))
+    assert [r["last_used_at"] for r in spark.read.parquet(f"{folder}/state/used").collect()] == [T0 + dt.timedelta(milliseconds=2)]
