@@ -292,11 +292,11 @@ def rename_flagged(df: DataFrame, findings: list) -> tuple[DataFrame, dict]:
         rule="lower-case slug, column_<position> when empty, _2, _3 on collision")
 
 
-def clean(df: DataFrame, defects: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
+def clean(df: DataFrame, defects: DataFrame, order: str | None = None, error_chars: int = 200) -> dict[str, DataFrame]:
     """CL-11 to CL-13: act on the autonomous findings only, in a fixed order.
 
     Returns `table`, `actions` (one row per action), `mappings` (case variants, a
-    table of its own since it may grow with the data) and `summary`.
+    table of its own since it may grow with the data) and `summary`. `error_chars` is the length of an error kept in the log.
     """
     spark = df.sparkSession
     findings = defects.collect()  # bounded by the schema
@@ -324,7 +324,7 @@ def clean(df: DataFrame, defects: DataFrame, order: str | None = None) -> dict[s
                 first = f[0] if isinstance(f, list) else f
                 action = _action(operation, first["defect_type"], list(first["columns"]), status="failed",
                                  rule="the action raised; the table was left as it was",
-                                 error=f"{type(e).__name__}: {e}")
+                                 error=f"{type(e).__name__}: {str(e)[:error_chars]}")
             actions.append(action)
     for f in sorted((f for f in mine if f["defect_type"] not in OPERATIONS),
                     key=lambda f: (f["defect_type"], list(f["columns"])[:1])):
