@@ -71,7 +71,14 @@ def spread(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in the one column of `ids`; a null id is an id like others."""
+def row_key() -> Column:
+    """16 bytes that tell rows apart by doc_id and text: ids may be null or repeated. Null and empty texts are one."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    size = F.when(F.col("doc_id").isNull(), "-").otherwise(F.length(who).cast("string"))
+    return F.unhex(F.substring(F.sha2(F.concat(size, F.lit(":"), who, F.coalesce("text", F.lit(""))), 256), 1, 32))
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The documents whose `column` is not in the one column of `ids`; a null is a value like others."""
     ids = staged(ids.toDF("_out").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column).eqNullSafe(F.col("_out")), "left_anti")

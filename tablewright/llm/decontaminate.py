@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.common import lower_ascii, once, staged, without, words
+from tablewright.llm.common import lower_ascii, once, row_key, staged, without, words
 
 WIDTH, THRESHOLD, BLOCK = 5, 0.8, 20_000
 #: Upper bounds of the size partitions grow by this factor.
@@ -101,5 +101,7 @@ def _search(docs: DataFrame, block: DataFrame, widths: list[int], threshold: flo
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    return without(docs, find(docs, items, threshold, width).select("doc_id"))
+    """The documents that hold no item, with all their columns. Ids may be null or repeated: each text is judged by itself."""
+    d = docs.withColumn("_key", row_key())
+    found = find(d.select(F.col("_key").alias("doc_id"), "text"), items, threshold, width)
+    return without(d, found.select("doc_id"), "_key").drop("_key")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import BROADCAST_IDS, parts, spread, staged, without
+from tablewright.llm.common import BROADCAST_IDS, parts, row_key, spread, staged, without
 from tablewright.llm.components import components
 from tablewright.llm.hashing import shingle_sets
 
@@ -61,8 +61,9 @@ def signature(s: np.ndarray, a: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, values: int) -> DataFrame:
-    """doc_id, n, digest and sig of each row; texts without words have n = 0 and no digest."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """n, digest and sig of each row, and its columns but the text; texts without words have n = 0 and no digest."""
+    others = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
 
     def task(batches):
         a = multipliers(values)
@@ -70,11 +71,11 @@ def signatures(docs: DataFrame, width: int, values: int) -> DataFrame:
             for b in parts(batch, "text", GROUP_BYTES):
                 sets = shingle_sets(b.column("text").to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    *[b.column(c) for c in others], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signature(s, a) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "digest", "sig"])
+                    pa.array([signature(s, a) if len(s) else None for s in sets], pa.binary())], [*others, "n", "digest", "sig"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, n bigint, digest binary, sig binary")
+    return spread(docs).mapInArrow(task, f"{kinds}, n bigint, digest binary, sig binary")
 
 
 def bit_signature(s: np.ndarray, a: np.ndarray) -> bytes:
@@ -235,13 +236,8 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
     return cells.mapInArrow(task, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, values: int = VALUES, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
-
-    Sets are linked if 100 * intersection >= percent * union. Null, empty and blank texts have n_shingles 0, are linked
-    with nothing and kept. Repeated rows with words are links of each other and all kept if theirs is the smallest id;
-    a null doc_id is never the smallest unless alone, and kept only then. Other columns are not read. Empty tables give no rows.
-    """
+def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and per digest (digest, rep, label): its smallest doc_id and its class."""
     rows = band_rows(percent, values)
     base = staged(signatures(docs, width, values), "signatures")
     nodes = staged(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
@@ -268,6 +264,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     links = links.unionByName(confirmed(staged(remaining(m, per, docs, nodes, width, percent, block, rows), "pairs"), docs, nodes, width, percent))
     labels = staged(components(links), "labels")
     group = nodes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
+    return base, group
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, values: int = VALUES, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    Sets are linked if 100 * intersection >= percent * union. Null, empty and blank texts have n_shingles 0, are linked
+    with nothing and kept. Repeated rows with words are links of each other and all kept if theirs is the smallest id;
+    a null doc_id is never the smallest unless alone, and kept only then. Other columns are not read. Empty tables give no rows.
+    """
+    base, group = linked(docs.select("doc_id", "text"), width, percent, values, block)
     least = group.groupBy("label").agg(F.min("rep").alias("component_id"))
     group = group.join(least, "label").select("digest", "component_id")
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(group, "digest", "left")
@@ -276,12 +283,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def unique(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each class, with all its columns: the one of the smallest id. Texts without words all stay."""
-    classes = staged(near_duplicates(docs, width, percent), "classes")
-    out = without(docs, classes.filter("not kept").select("doc_id"))
-    # Rows that repeat an id are copies too; they are few or none, so only they are looked at again.
-    again = staged(classes.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "again")
-    if again.isEmpty():
-        return out
-    twice = out.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return without(out, again).unionByName(twice.dropDuplicates(["doc_id"]))
+    """One row of each class, with all its columns: of the smallest id (null last), then key. Texts without words all stay.
+
+    Ids may be null or repeated, so rows are told apart by id and text; of rows equal in both any one stays.
+    """
+    base, group = linked(docs.select("doc_id", "text", row_key().alias("key")), width, percent, VALUES, BLOCK)
+    base = base.filter("n > 0")
+    best = base.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("best"))
+    chosen = staged(best.join(group, "digest").groupBy("label").agg(F.min("best")["key"].alias("key")).select("key"), "chosen")
+    keys = base.groupBy("key").count()
+    dropped = keys.join(chosen, "key", "left_anti").select("key")
+    # Rows equal to a chosen one are copies too; they are few or none, so only they are looked at again.
+    again = staged(keys.filter("count > 1").join(chosen, "key", "left_semi").select("key"), "again")
+    d = docs.withColumn("_key", row_key())
+    out = without(d, dropped.unionByName(again), "_key")
+    if not again.isEmpty():
+        out = out.unionByName(d.join(again, F.col("_key") == F.col("key"), "left_semi").dropDuplicates(["_key"]))
+    return out.drop("_key")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from tablewright.llm import mixing, near_dup, toxicity
+from tablewright.llm import decontaminate, mixing, near_dup, toxicity
 from tablewright.llm.common import staged, table
 from test_near_dup import brute
 
@@ -52,3 +52,19 @@ def test_stages_on_odd_rows(spark, docs_of, edge, sf):
         assert f(spark, docs.limit(0), sf).count() == 0
     assert toxicity.clean(docs.limit(0), toxicity.learn(["a b"], ["c d"])).count() == 0
     assert np.isfinite(toxicity.learn([], []).scores(["x"])).all()
+
+
+def test_filters_judge_rows_not_ids(spark, docs_of):
+    """Null and repeated ids: a dropped text takes no other text of its id with it, and no two classes become one."""
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abce")
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (None, " "), (None, None), (2, a), (2, e), (2, e.upper()), (2, ""), (2, "\t")]
+    left = Counter((r["doc_id"], r["text"]) for r in near_dup.unique(docs_of(rows)).collect())
+    one = left.pop((2, e), 0) + left.pop((2, e.upper()), 0)
+    assert one == 1 and left == Counter([(1, a), (None, b), (None, c), (None, " "), (None, None), (2, ""), (2, "\t")])
+    assert Counter(r["text"] for r in near_dup.unique(docs_of([(None, b), (None, b), (3, c), (3, c), (3, a)])).collect()) == Counter([b, c, a])
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = Counter((r["doc_id"], r["text"]) for r in decontaminate.clean(docs_of(rows), items).collect())
+    assert left == Counter(r for r in rows if not (r[1] or "").startswith(a))
+    model = toxicity.learn([a + " " + b] * 30, [c + " " + e] * 60)
+    rows = [(None, a + " " + b), (None, c + " " + e), (5, a + " " + b), (5, c + " " + e)]
+    assert Counter((r["doc_id"], r["text"]) for r in toxicity.clean(docs_of(rows), model).collect()) == Counter(rows[1::2])
