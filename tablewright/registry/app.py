@@ -266,6 +266,31 @@ QUERIES["ss_quota_stream"] = _streamed_quota
 SQL["ss_quota_stream"] = SQL["ss_quota"]
 
 
+# Of five requests three come in time; one each comes in two later micro-batches, which reach back over the whole span.
+_ARRIVAL = "CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END"
+
+
+def _late_quota(s, d) -> DataFrame:
+    """The stateful operator over several micro-batches, two of them late."""
+    root = _folder(s, "quota")
+    src = _requests(s, d)
+    for n in range(3):  # a file each: one write after the other, so they are read in this order
+        src.filter(f"{_ARRIVAL} = {n}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    out = quota.stream_quota(s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "k", "t", "event_id")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(
+        availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{root}/out").select("event_id", "accepted")
+
+
+QUERIES["ss_quota_late"] = _late_quota
+SQL["ss_quota_late"] = f"""WITH RECURSIVE e AS (SELECT user_id % 3 AS k, event_id * 100 + 1704067200000 AS ms, event_id,
+      row_number() OVER (ORDER BY {_ARRIVAL}, event_id) AS pos FROM events),
+    o AS (SELECT k, min(pos) AS pos, arg_min(ms, pos) AS ms FROM e GROUP BY k
+      UNION ALL SELECT e.k, min(e.pos), arg_min(e.ms, e.pos) FROM o JOIN e ON e.k = o.k AND e.pos > o.pos AND e.ms > o.ms + 60000 GROUP BY e.k),
+    w AS (SELECT e.*, x.pos AS opened FROM e ASOF JOIN o x ON x.k = e.k AND x.pos <= e.pos)
+    SELECT event_id, row_number() OVER (PARTITION BY k, opened ORDER BY pos) <= 100 AS accepted FROM w"""
+
+
 def _batched_quota(s, d) -> DataFrame:
     """The quota with its open windows kept as a table between micro-batches."""
     root = _folder(s, "quota")

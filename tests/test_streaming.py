@@ -65,6 +65,23 @@ def test_stream_quota_keeps_state_between_batches(spark, folder):
     assert got == simulate(data, 5, 10_000)
 
 
+def test_stream_quota_judges_late_requests(spark, folder):
+    base = int(T0.timestamp() * 1000)
+    parts = [[("a", base, 0), ("a", base + 600_000, 1), ("b", base + 600_000, 2)],
+             [("b", base + 900_000, 3)],
+             [("a", base + 1000 + i, 10 + i) for i in range(6)] + [("c", base, 30), ("c", base + 20_000, 31), ("b", base + 5, 32)]]
+    table = quota.QuotaTable(spark, f"{folder}/state", "k", "t", "i", limit=5, window_ms=10_000)
+    want = {}
+    for n, part in enumerate(parts):  # three runs: the last is far behind the newest request
+        batch = spark.createDataFrame(part, "k string, ms long, i long").withColumn("t", F.timestamp_millis("ms")).drop("ms")
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = quota.stream_quota(spark.readStream.schema(batch.schema).parquet(f"{folder}/in"), "k", "t", "i", 5, 10_000)
+        run(out, f"{folder}/out", f"{folder}/check")
+        want.update({r["i"]: r["accepted"] for r in table.apply(batch, n).collect()})
+    got = {r["i"]: r["accepted"] for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()}
+    assert got == want and [i for i, ok in got.items() if not ok and i >= 10] == [i for i in got if i in (14, 15)]
+
+
 @pytest.mark.parametrize("block, whole", [(3_600_000, 10_000), (7_000, 0), (20_000, 0)])
 def test_quota_table_equals_the_definition(spark, folder, block, whole):
     data = sorted(make(9, 400, 150_000), key=lambda r: (r[1], r[2]))
