@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown in tasks from bounded samples, scored in Arrow batches."""
+"""Isolation forest: each tree grown in a task from its own sample of the whole table, scored in Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_number, col
 from ..functions.quantiles import exact_quantiles
@@ -46,37 +46,68 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64 mixed bits of each 64-bit number (the finisher of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def samples(df: DataFrame, numbers: list[Column], seed: int = 42, trees: int = TREES) -> DataFrame:
+    """(tree, hash, x): for each tree the SAMPLE rows of least hash of (seed, tree, row) in each task, in one pass.
+
+    Each task sends at most SAMPLE rows a tree; the SAMPLE least of all tasks are a draw from the whole table.
+    """
+    k = len(numbers)
+
+    def draw(batches):
+        salts = _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        hashes, rows = [np.zeros(0, np.uint64)] * trees, [np.zeros((0, k))] * trees
+        for pdf in batches:
+            x = pdf.iloc[:, 1:].to_numpy(dtype=float)
+            number = _mix(pdf["_row"].to_numpy().astype("uint64") + np.uint64(0x9E3779B97F4A7C15))
+            for t in range(trees):
+                h = _mix(number ^ salts[t])
+                full = len(hashes[t]) == SAMPLE
+                new = np.flatnonzero(h < hashes[t].max()) if full else np.arange(len(h))
+                if len(new):
+                    h, v = np.concatenate([hashes[t], h[new]]), np.concatenate([rows[t], x[new]])
+                    least = np.argpartition(h, SAMPLE - 1)[:SAMPLE] if len(h) > SAMPLE else np.arange(len(h))
+                    hashes[t], rows[t] = h[least], v[least]
+        for t in range(trees if len(hashes[0]) else 0):
+            yield pd.DataFrame({"tree": np.full(len(hashes[t]), t, np.int32), "hash": hashes[t].view(np.int64), "x": list(rows[t])})
+
+    d = df.select(F.monotonically_increasing_id().alias("_row"), *[n.alias(f"x{i}") for i, n in enumerate(numbers)])
+    return d.mapInPandas(draw, "tree int, hash long, x array<double>")
+
+
+def _least(pdf: pd.DataFrame) -> np.ndarray:
+    """The rows of one tree: the SAMPLE least hashes, as unsigned numbers, of all tasks."""
+    order = np.argsort(pdf["hash"].to_numpy().view(np.uint64), kind="stable")[:SAMPLE]
+    return np.array([pdf["x"].iloc[i] for i in order], dtype=float)
+
+
 def isolation_scores(df: DataFrame, columns: list[str], seed: int = 42, trees: int = TREES) -> DataFrame:
     """Add SCORE in (0, 1): the higher, the easier a row is to isolate.
 
-    The trees share a random pool of at most SAMPLE * trees rows (a top-k by random
-    number, so each task sends only its own candidates): pool and forest have a fixed size.
+    Each tree has SAMPLE rows of its own, drawn from the whole table, or all rows of a smaller one.
     """
     spark = df.sparkSession
     fields = {f.name: f for f in df.schema}
     numbers = [as_number(fields[c]) for c in columns]
-    pool = np.array([
-        list(r) for r in df.select(*[n.alias(f"x{i}") for i, n in enumerate(numbers)])
-        .orderBy(F.rand(seed))
-        .limit(SAMPLE * trees).collect()
-    ], dtype=float).reshape(-1, len(columns))
-    if not len(pool):
-        return df.withColumn(SCORE, F.lit(0.0))
-    size = min(SAMPLE, len(pool))
-    limit = max(1, math.ceil(math.log2(max(size, 2))))
-    shared = spark.sparkContext.broadcast(pool)
 
-    def grow(batches):
-        for pdf in batches:
-            for t in pdf["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                pick = rng.choice(len(shared.value), size, replace=False)
-                nodes = _grow(shared.value[pick], rng, limit)
-                yield pd.DataFrame([(int(t), i, *n) for i, n in enumerate(nodes)],
-                                   columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
-
-    table = spark.range(0, trees, 1, min(trees, 8)).mapInPandas(grow, NODE_SCHEMA).toPandas()
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, rows = int(pdf["tree"].iloc[0]), _least(pdf)
+        nodes = _grow(rows, np.random.default_rng([seed, t]), max(1, math.ceil(math.log2(max(len(rows), 2)))))
+        return pd.DataFrame([(t, i, *n) for i, n in enumerate(nodes)],
+                            columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
+
+    table = samples(df, numbers, seed, trees).groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    if not len(table):
+        return df.withColumn(SCORE, F.lit(0.0))
     forest = [g.sort_values("node").reset_index(drop=True) for _, g in table.groupby("tree")]
+    size = int(forest[0]["size"].iloc[0])  # of a root; all trees have as many rows
+    limit = max(1, math.ceil(math.log2(max(size, 2))))
     model = spark.sparkContext.broadcast([
         (g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
          _average_path(g["size"].to_numpy())) for g in forest

@@ -177,12 +177,11 @@ def _linear(s, d) -> DataFrame:
 SQL["ml_linear_exact"] = f"""SELECT 'l_quantity' AS feature, 3.0::DOUBLE AS coefficient, {r("min(l_quantity)", 3)} AS low,
     {r("max(l_quantity)", 3)} AS high, {r("max(l_quantity)", 3)} AS optimal FROM lineitem
     UNION ALL SELECT 'l_discount', -50.0, {r("min(l_discount)", 3)}, {r("max(l_discount)", 3)}, {r("min(l_discount)", 3)} FROM lineitem"""
-_reg = lambda s, d: m.regression_models(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-                                        max_depth=5, trees=20)
+_reg = lambda s, d: m.regression_models(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 QUERIES["ml_regression"] = lambda s, d: _reg(s, d)["metrics"]
 QUERIES["ml_best_regression"] = lambda s, d: m.best_model(_reg(s, d)["metrics"])
 _cls = lambda s, d: m.classification_models(table(s, d, "lineitem").select(
-    "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"), "l_returnflag", max_depth=5, trees=20)
+    "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"), "l_returnflag")
 QUERIES["ml_classification"] = lambda s, d: _cls(s, d)["report"]
 
 # PR-1 to PR-3

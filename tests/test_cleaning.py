@@ -168,6 +168,20 @@ def test_neighbours_equal_brute_force(spark, block_rows, step):
     assert np.abs(got - brute(x, 5)).max() < 1e-9
 
 
+def test_each_isolation_tree_draws_from_the_whole_table(spark):
+    n = 60_000
+    drawn = forest.samples(spark.range(0, n, 1, 4), [F.col("id").cast("double")]).toPandas()
+    trees = {t: forest._least(g)[:, 0] for t, g in drawn.groupby("tree")}
+    assert len(trees) == forest.TREES and all(len(set(x)) == forest.SAMPLE for x in trees.values())
+    every = np.concatenate(list(trees.values()))
+    # 25,600 draws from 60,000 rows hit 20,840 of them on average; from a pool of 25,600 rows only 16,180.
+    assert 20_300 < len(set(every)) < 21_400
+    assert np.allclose(np.histogram(every, 4, (0, n))[0] / len(every), 0.25, atol=0.02)
+    assert forest.isolation_scores(spark.range(0), ["id"]).count() == 0
+    few = forest.isolation_scores(spark.range(5), ["id"]).collect()
+    assert all(0 < r[forest.SCORE] < 1 for r in few)
+
+
 def test_isolation_forest_drops_the_odd_rows(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=(950, 2)), rng.uniform(8, 12, size=(50, 2))])

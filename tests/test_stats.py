@@ -200,3 +200,20 @@ def test_answers(spark):
     text = nl.answer("descriptive", p.analyze_by_type(df, "descriptive"), spark).first()["answer"]
     assert text.startswith("Your dataset has 1 rows and 2 columns.")
     assert nl.answer("predictive", {}, spark).first()["answer"].startswith("Analysis completed.")
+
+
+def test_registered_models_have_the_default_forests(spark, monkeypatch):
+    from tablewright.registry import stats as registered
+
+    seen = []
+
+    def fitted(df, *args, max_depth=m.MAX_DEPTH, trees=m.TREES, **more):
+        seen.append((max_depth, trees))
+        return {"metrics": df, "report": df}
+
+    monkeypatch.setattr(m, "regression_models", fitted)
+    monkeypatch.setattr(m, "classification_models", fitted)
+    monkeypatch.setattr(m, "best_model", lambda df: df)
+    for name in ("ml_regression", "ml_best_regression", "ml_classification"):
+        registered.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(m.MAX_DEPTH, 100)] * 3
