@@ -6,6 +6,7 @@ import re
 import xml.parsers.expat
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -92,15 +93,36 @@ def read_strict_csv(spark: SparkSession, path, schema: T.StructType | None = Non
     return d.filter(~bad).drop("_corrupt_record"), d.filter(bad).select(F.col("_corrupt_record").alias("line"))
 
 
+def _separator(line: str) -> str | None:
+    """Tab or comma, the commoner one; None if the line has neither."""
+    return None if "," not in line and "\t" not in line else "\t" if line.count("\t") > line.count(",") else ","
+
+
 def read_text(spark: SparkSession, path) -> DataFrame:
-    """SRC-4: a delimited table when the first non-blank line has a comma or tab, else (file, Line, Content)."""
+    """SRC-4: a delimited table when the first non-blank line of a file has a comma or tab, else (file, Line, Content).
+
+    Each file decides by its own first line; files with equal first lines are read together. Files of several shapes
+    give the columns of all of them, null where a file has no such column.
+    """
     lines = _load(spark.read.text, path)
-    first = lines.filter(F.trim("value") != "").limit(1).first()
-    head = first["value"] if first else ""
-    if "," in head or "\t" in head:
-        sep = "\t" if head.count("\t") > head.count(",") else ","
-        return _load(spark.read.option("header", True).option("sep", sep).option("escape", '"').csv, path).na.fill("")
-    return number_lines(lines)
+    place = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    firsts = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).filter(
+        F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("line")).collect()  # a row per file
+    shapes: dict[tuple[str, str] | None, list[str]] = {}
+    for r in sorted(firsts, key=lambda r: r["file"]):
+        sep = _separator(r["line"])
+        # Names in metadata are escaped as in URIs; a reader takes plain names, in which some characters are patterns.
+        name = re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(r["file"]))
+        shapes.setdefault(None if sep is None else (sep, r["line"]), []).append(name)
+    parts = []
+    for shape, files in shapes.items():
+        files = path if len(shapes) == 1 else files
+        if shape is None:
+            parts.append(number_lines(_load(spark.read.text, files)))
+        else:
+            reader = spark.read.option("header", True).option("sep", shape[0]).option("escape", '"')
+            parts.append(_load(reader.csv, files).na.fill(""))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else number_lines(lines)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

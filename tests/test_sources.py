@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from conftest import rows
@@ -44,6 +45,19 @@ def test_text_shapes(spark, folder):
     assert rows(lines.select("Line", "Content"), "Line") == [(1, "first"), (2, "second"), (3, "third")]
 
 
+def test_each_text_file_has_its_own_shape(spark, folder):
+    os.makedirs(f"{folder}/in")
+    for name, text in (("a.txt", "k,p\n1,x\n2,\n"), ("b [1] %.txt", "\nk\tq\n3\ty,z\n"), ("c.txt", "only\n\nplain\n"), ("d.txt", "k,p\n4,w\n"),
+                       ("e.txt", "p,k\nv,5\n"), ("f.txt", "\n \n")):
+        write(f"{folder}/in", name, text)
+    got = rd.read_text(spark, f"{folder}/in")
+    assert sorted(got.columns) == ["Content", "Line", "file", "k", "p", "q"]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(rows(got.select("k", "p", "q", "Line", "Content")), key=key) == sorted([
+        ("1", "x", None, None, None), ("2", "", None, None, None), ("4", "w", None, None, None), ("5", "v", None, None, None),
+        ("3", None, "y,z", None, None), (None, None, None, 1, "only"), (None, None, None, 2, "plain")], key=key)
+
+
 def test_lines_of_a_file_in_many_splits(spark, folder):
     path = write(folder, "big.txt", "".join(f"line {i}\n" + ("\n" if i % 3 == 0 else "") for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
