@@ -20,6 +20,3 @@ def spark():
 def folder(tmp_path):
     return str(tmp_path)
 
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

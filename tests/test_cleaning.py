@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 

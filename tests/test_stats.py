@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tablewright.operators import forecast as fc, intent as nl, models as m, prescribe as p, programs as lp, stats as s

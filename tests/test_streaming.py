@@ -3,7 +3,7 @@ import os
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tablewright.operators import dashboard as db
