@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, decontaminate, html_text, mixing, near_dup, quality_rules, secrets, suffix_dedup, token_files, toxicity
+from tablewright.llm import chat, decontaminate, exact_dedup, html_text, mixing, near_dup, quality_rules, secrets, suffix_dedup, token_files, toxicity
 from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ def op1(spark, d):
 def op9(spark, d):
     """What is left of every document without repeated strings of 50 bytes."""
     return suffix_dedup.deduplicate(table(spark, d, "documents"))
+
+
+@query("op13_exact_dedup", """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)""")
+def op13(spark, d):
+    """Groups of equal texts and the row of each that stays."""
+    return exact_dedup.deduplicate(table(spark, d, "documents"))
