@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import chat, decontaminate, exact_dedup, html_text, mixing, near_dup, quality_rules, secrets, suffix_dedup, token_files, toxicity
+from tablewright.llm import chat, decontaminate, exact_dedup, html_text, importance, mixing, near_dup, quality_rules, secrets, suffix_dedup, token_files, toxicity, whitening
 from tablewright.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,36 @@ def op9(spark, d):
 def op13(spark, d):
     """Groups of equal texts and the row of each that stays."""
     return exact_dedup.deduplicate(table(spark, d, "documents"))
+
+
+@query("op12_importance", r"""
+    WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                 lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    words AS (SELECT 0 AS side, r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM (SELECT *, row_number() OVER () AS r FROM documents)
+              UNION ALL SELECT 1, 0, 0, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+    codes AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hex(w)) // 2), lambda i: CAST('0x' || substring(hex(w), 2 * i + 1, 2) AS BIGINT))),
+                 lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+              FROM (SELECT DISTINCT w FROM words), tab),
+    held AS (SELECT side, r, bucket FROM words JOIN codes USING (w)),
+    sums AS (SELECT b.bucket, coalesce(sum(1 - side), 0) AS s, coalesce(sum(side), 0) AS t FROM range(10000) AS b(bucket) LEFT JOIN held USING (bucket) GROUP BY ALL),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000)
+                 / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM sums),
+    weights AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM held JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+    scores AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                 (CAST(CAST('0x' || substring(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+               FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN weights USING (r)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scores)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM ranked""")
+def op12(spark, d):
+    """Weight, score and rank of every document in a draw that looks like the benchmark."""
+    return importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op11_whitening")
+def op11(spark, d):
+    """The four leading whitened coordinates of every embedding."""
+    x = whitening.whole(table(spark, d, "embeddings"))
+    out = whitening.whiten(x, whitening.fit(x, components=4))
+    return out.withColumn("deviation", F.col("deviation").cast("long")).withColumnRenamed("key", "vec_id")
