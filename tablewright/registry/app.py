@@ -10,7 +10,7 @@ from ..functions.columns import once
 from ..functions.stage import shared_dir
 from ..operators import dashboard as db, intent as nl, quality as q, stats as st
 from ..sources.sinks import BaselineStore
-from ..streaming import feed, intake, quota
+from ..streaming import feed, intake, quota, stateful
 from .common import big, joined, r, rounded, table, unions
 
 QUERIES, SQL = {}, {}
@@ -307,20 +307,80 @@ QUERIES["ss_quota_table"] = _batched_quota
 SQL["ss_quota_table"] = SQL["ss_quota"]
 
 
-def _streamed_feed(s, d) -> DataFrame:
-    """The feed table after the events arrived in several micro-batches."""
+# SS-4 with state variables: ten micro-batches, every fifth request one batch late, every fiftieth again in the next batch
+_KEYS, _LIMIT, _FROM = 20, 20, 1704067200000 - 30_000
+_DELIVERED = """SELECT least(9, event_id * 10 // (last + 1) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END + again) AS b, user_id % 20 AS k,
+      event_id * 100 + 1704067200000 AS ms, event_id FROM (SELECT *, 0 AS again FROM {events} UNION ALL SELECT *, 1 FROM {events} WHERE event_id % 50 = 7) e,
+      (SELECT max(event_id) AS last FROM {events}) l"""
+
+
+def _state_quota(s, d) -> DataFrame:
+    """The quota with state variables over ten micro-batches; five keys come with a window from a table."""
+    root = _folder(s, "quota")
+    src = s.sql(_DELIVERED.replace("//", "div"), events=table(s, d, "events").select("event_id", "user_id")).select(
+        "b", "k", F.timestamp_millis("ms").alias("t"), "event_id")
+    for n in range(10):  # a file each: one write after the other, so they are read in this order
+        src.filter(F.col("b") == n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    open_now = s.range(5).select(F.col("id").alias("key"), F.lit(_FROM).cast("long").alias("start"), F.lit(15).cast("long").alias("count"))
+    with stateful.state_settings(s, 2):
+        out = stateful.quota(s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), "k", "t", "event_id",
+                             limit=_LIMIT, state=open_now)
+        q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(
+            availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{root}/out").select(F.col("b").cast("long").alias("b"), "event_id", "accepted")
+
+
+QUERIES["ss_quota_state"] = _state_quota
+SQL["ss_quota_state"] = f"""WITH RECURSIVE e AS ({_DELIVERED.format(events="events")}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY b, ms, event_id) AS i FROM e),
+    s AS (SELECT k, CAST(0 AS BIGINT) AS i, CASE WHEN k < 5 THEN {_FROM} END AS start, CASE WHEN k < 5 THEN 15 ELSE 0 END AS n,
+        CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS event_id, false AS accepted FROM (SELECT DISTINCT k FROM o) k
+      UNION ALL SELECT k, i, start, CASE WHEN again OR used >= {_LIMIT} THEN used ELSE used + 1 END,
+        CASE WHEN again OR used >= {_LIMIT} THEN held ELSE list_append(held, event_id) END, b, event_id, again OR used < {_LIMIT}
+      FROM (SELECT o.k, o.i, o.b, o.event_id, s.held, list_contains(s.held, o.event_id) AS again,
+          CASE WHEN NOT list_contains(s.held, o.event_id) AND (s.start IS NULL OR o.ms > s.start + 60000) THEN o.ms ELSE s.start END AS start,
+          CASE WHEN NOT list_contains(s.held, o.event_id) AND (s.start IS NULL OR o.ms > s.start + 60000) THEN 0 ELSE s.n END AS used
+        FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) x)
+    SELECT b, event_id, accepted FROM s WHERE i > 0"""
+
+
+# SS-8: the newest rows as lists in state; four micro-batches
+def _streamed_feed(s, d) -> stateful.NewestTable:
     root = _folder(s, "feed")
-    src = table(s, d, "events")
-    src.repartitionByRange(4, "event_id").write.parquet(f"{root}/in")
+    src = table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for n in range(4):
+        src.filter(F.expr(f"event_id % 40 div 10 = {n}")).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    f = feed.Feed(s, f"{root}/feed", time="ts", tie="event_id")
-    query = f.start(stream, f"{root}/check")
-    query.awaitTermination()
-    return f.read(query.lastProgress["batchId"]).select("user_id", "event_id")
+    out = stateful.NewestTable(s, f"{root}/feed", "user_id")
+    out.start(stream, "ts", feed.FEED_ROWS, "event_id", f"{root}/check", 2).awaitTermination()
+    return out
 
 
-QUERIES["ss_feed_stream"] = _streamed_feed
+QUERIES["ss_feed_stream"] = lambda s, d: _streamed_feed(s, d).read().select("user_id", "event_id")
 SQL["ss_feed_stream"] = SQL["ss_latest20"]
+QUERIES["ss_feed_changes"] = lambda s, d: _streamed_feed(s, d).changes().select(F.col("batch").cast("long").alias("batch"), "user_id", "event_id", "rank")
+SQL["ss_feed_changes"] = """WITH e AS (SELECT *, event_id % 40 // 10 AS b FROM events),
+    w AS (SELECT n.b AS batch, e.b, user_id, event_id, CAST(row_number() OVER (PARTITION BY n.b, user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank
+      FROM e JOIN range(4) AS n(b) ON e.b <= n.b),
+    t AS (SELECT *, bool_or(b = batch) OVER (PARTITION BY batch, user_id) AS changed FROM w WHERE rank <= 20)
+    SELECT batch, user_id, event_id, rank FROM t WHERE changed"""
+
+
+def _user_feed(s, d) -> DataFrame:
+    root = _folder(s, "feed")
+    src = table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    src.repartitionByRange(4, "event_id").write.parquet(f"{root}/in")
+    with stateful.state_settings(s, 1):
+        out = stateful.user_feed(s.readStream.schema(src.schema).parquet(f"{root}/in"), 8, "user_id", "ts", feed.FEED_ROWS, "event_id")
+        q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{root}/out").select("event_id", "rank")
+
+
+QUERIES["ss_user_feed"] = _user_feed
+SQL["ss_user_feed"] = """SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events WHERE user_id = 8
+    QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 20"""
 
 
 def _streamed_intake(s, d) -> DataFrame:

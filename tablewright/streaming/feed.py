@@ -20,47 +20,15 @@ FEED_ROWS = 20
 
 def latest_events(events: DataFrame, k: int = FEED_ROWS, key: str = "user_id", time: str = "timestamp",
                   tie: str | None = None) -> DataFrame:
-    """SS-8 in batch: newest k events per user."""
+    """SS-8 in batch: newest k events per user. On a stream: `stateful.NewestTable`."""
     return latest(events, key, time, k, tie)
 
 
 def user_changes(stream: DataFrame, user) -> DataFrame:
-    """SS-9: inserts of one user; the filter reaches the source."""
+    """SS-9: inserts of one user; the filter reaches the source. Their newest rows: `stateful.user_feed`."""
     return stream.filter(F.col("user_id") == F.lit(user))
 
 
-class Feed:
-    """SS-8 and SS-9 on a stream: a table with the newest k events per user, one version per micro-batch.
-
-    A version is written under its batch id and replaces the one before; a repeated
-    batch writes the same version again, so a retry changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, k: int = FEED_ROWS, key: str = "user_id",
-                 time: str = "timestamp", tie: str | None = None):
-        self.spark, self.root, self.k = spark, root.rstrip("/"), k
-        self.key, self.time, self.tie = key, time, tie
-
-    def _version(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{n}")
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        # Batch ids are consecutive; a missing earlier version is an error, not an empty feed.
-        old = self._version(batch_id - 1) if batch_id else None
-        # The batch is cut to k rows per user before it meets the table.
-        new = latest(batch, self.key, self.time, self.k, self.tie).drop("rank")
-        both = new if old is None else old.unionByName(new)
-        latest(both, self.key, self.time, self.k, self.tie).drop("rank").write.mode("overwrite").parquet(
-            f"{self.root}/v{batch_id}")
-
-    def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(
-            **(trigger or {"availableNow": True})).start()
-
-    def read(self, batch_id: int) -> DataFrame:
-        return self._version(batch_id)
-
-
 def start_intake(requests: DataFrame, keys: DataFrame, events_path: str, rejects_path: str, state_path: str,
                  checkpoint: str, **trigger) -> StreamingQuery:
     """SS-7: requests (api_key, ts, id, body) into the event table, refused ones with a reason into a second one.

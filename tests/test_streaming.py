@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import random
+import time
 
 import pytest
 from helpers import rows
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import dashboard as db
 from tablewright.sources.sinks import BaselineStore
-from tablewright.streaming import feed, intake, quota
+from tablewright.streaming import feed, intake, quota, stateful
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -141,15 +142,6 @@ def test_intake_flow(spark, folder):
     assert refused == {(300, "invalid key format"), (301, "unknown or inactive key")}
 
 
-def test_feed_is_safe_to_repeat(spark, folder):
-    f = feed.Feed(spark, folder, k=3)
-    batch = lambda *ids: spark.createDataFrame([(i % 2, T0 + dt.timedelta(seconds=i), i) for i in ids], "user_id long, timestamp timestamp, id long")
-    f.merge(batch(*range(10)), 0)
-    f.merge(batch(10, 11, 12), 1)
-    f.merge(batch(10, 11, 12), 1)
-    assert sorted(r["id"] for r in f.read(1).collect()) == [7, 8, 9, 10, 11, 12]
-
-
 def test_scheduled_runs_survive_a_failure(spark, folder):
     store = BaselineStore(spark, f"{folder}/base")
     put = lambda n, scale: spark.createDataFrame([(float(scale * (i + 1)),) for i in range(n)], "x double").coalesce(1).write.mode("append").parquet(f"{folder}/in")
@@ -210,3 +202,93 @@ def test_quota_counts_before_the_key_is_looked_up(spark, folder):
     limited = spark.read.parquet(f"{folder}/rejects/payload").collect()
     assert {r["reason"] for r in limited} == {"rate limit exceeded"} and sorted(r["id"] for r in limited) == list(range(1100, 1120))
     assert [r["last_used_at"] for r in spark.read.parquet(f"{folder}/state/used").collect()] == [T0 + dt.timedelta(milliseconds=2)]
+
+
+def in_order(batches, limit, window, state=None):
+    """The verdict of every request, batch after batch and by time inside a batch; admitted ids are not counted again."""
+    state, out, admitted = dict(state or {}), [], set()
+    for n, batch in enumerate(batches):
+        for key, ms, i in sorted(batch, key=lambda r: (r[1], r[2])):
+            if (key, i) not in admitted:
+                start, count = state.get(key, (None, 0))
+                if start is None or ms > start + window:
+                    start, count = ms, 0
+                if count < limit:
+                    admitted.add((key, i))
+                state[key] = (start, count + (count < limit))
+            out.append((n, key, i, (key, i) in admitted))
+    return sorted(out, key=str)
+
+
+REQUEST = "n int, k string, ms long, i long"
+
+
+def feed_quota(spark, folder, batches, first=0, **options):
+    """Each batch as one file and one micro-batch of the operator with state variables; verdicts and last progress."""
+    for n, batch in enumerate(batches, first):
+        spark.createDataFrame([(n, *r) for r in batch], REQUEST).withColumn("t", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.mode(
+            "append").parquet(f"{folder}/in")
+    src = spark.readStream.schema("n int, k string, i long, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with stateful.state_settings(spark, 2):
+        out = stateful.quota(src, "k", "t", "i", 5, 10_000, **options)
+        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(
+            availableNow=True).start()
+    q.awaitTermination()
+    return sorted(rows(spark.read.schema(out.schema).parquet(f"{folder}/out").select("n", "k", "i", "accepted")), key=str), q.recentProgress
+
+
+def test_quota_with_state_variables_judges_late_and_replayed_requests(spark, folder):
+    data = make(11, 300, 100_000)
+    batches = [data[k::5] for k in range(5)]  # every batch reaches back over the whole span
+    batches[3] = batches[3] + batches[1][:20]  # replayed requests
+    state = {"a": (data[0][1] - 5_000, 3)}
+    table = spark.createDataFrame([(k, *v) for k, v in state.items()], "key string, start long, count long")
+    got, _ = feed_quota(spark, folder, batches, state=table)
+    assert got == in_order(batches, 5, 10_000, state) and any(not r[3] for r in got)
+
+
+def test_state_holds_active_keys_only(spark, folder):
+    base = int(T0.timestamp() * 1000)
+    many = [(f"key{i}", base + i, i) for i in range(50)]
+    _, progress = feed_quota(spark, folder, [many], idle_ms=500, replay_ms=500)
+    full = progress[-1].stateOperators[0].numRowsTotal
+    time.sleep(1)
+    _, progress = feed_quota(spark, folder, [[("new", base, 100)], [("new", base + 1, 101)]], first=1, idle_ms=500, replay_ms=500)
+    left = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators][-1]
+    assert full >= 100 and left <= 8  # windows, admitted ids and timers of 50 keys, then of one
+
+
+def test_null_times_are_refused_and_null_keys_are_one_key(spark, folder):
+    base = int(T0.timestamp() * 1000)
+    got, _ = feed_quota(spark, folder, [[(None, base + i, i) for i in range(6)] + [("a", None, 10), ("a", base, 11)]])
+    assert {r[2]: r[3] for r in got} == {**{i: i < 5 for i in range(6)}, 10: False, 11: True}
+
+
+def test_newest_rows_of_changed_keys_only(spark, folder):
+    rng = random.Random(5)
+    data = [(rng.randrange(20), int(T0.timestamp()) + rng.randrange(10_000), i, f"v{i}") for i in range(400)]
+    old = (3, 1, 900, "older than all others of a full list")
+    parts = [data[:200], data[200:390], [(7, int(T0.timestamp()) + 20_000, 500, None), old]]
+    schema = "u int, s long, id long, note string"
+    for part in parts:
+        spark.createDataFrame(part, schema).withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("u int, id long, note string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    table = stateful.NewestTable(spark, f"{folder}/feed", "u")
+    table.start(stream, "at", 5, "id", f"{folder}/check", partitions=2).awaitTermination()
+    every = spark.createDataFrame([r for p in parts for r in p], schema).withColumn("at", F.timestamp_seconds("s")).drop("s")
+    want = db.latest(every, "u", "at", 5, "id").select("u", "id", "note", "at", "rank")
+    assert rows(table.read().select("u", "id", "note", "at", "rank"), "u", "rank") == rows(want, "u", "rank")
+    assert {r["u"] for r in table.changes().filter("batch = 2").collect()} == {7}  # user 3's list did not change
+    assert table.changes().filter("batch = 2").count() == 5
+
+
+def test_feed_of_one_user(spark, folder):
+    data = [(i % 3, i, i) for i in range(30)]
+    spark.createDataFrame(data, "u int, at long, id long").coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("u int, at long, id long").parquet(f"{folder}/in")
+    with stateful.state_settings(spark, 2):
+        q = stateful.user_feed(stream, 1, "u", "at", 4, "id").writeStream.format("parquet").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.read.parquet(f"{folder}/out").select("u", "at", "rank"), "rank") == [(1, 28, 1), (1, 25, 2), (1, 22, 3), (1, 19, 4)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
