@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from ..functions import severity as sev
 from ..functions.columns import (
@@ -322,18 +322,14 @@ def non_unique_id(facts: DataFrame) -> DataFrame:
         F.format_string("id column '%s' repeats %d values", "column", repeats)))
 
 
-def pair_correlations(df: DataFrame, columns: list[str] | None = None, booleans: bool = False) -> DataFrame:
-    """(a, b, r, n) for every column pair a before b, over the rows where both are present; r is null when a side is constant.
+def pair_sums(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Row, np.ndarray]:
+    """(i, j, n, sx, sy, qx, qy, p) of every pair i < j: count, sums, squares and products of the centred values where
+    both are present; with the columns' mean, min, max and variance, and the centre.
 
     All pairs come from one scan: each task adds up the cross products of its rows as
     small matrices, columns centred beforehand, and sends one row per pair.
     Generated pair expressions would outgrow the code generator at about 30 pairs.
     """
-    df = nan_to_null(df)
-    columns = numeric_columns(df, booleans) if columns is None else columns
-    spark = df.sparkSession
-    if len(columns) < 2:
-        return spark.createDataFrame([], "a string, b string, r double, n long")
     fields = {f.name: f for f in df.schema}
     d = df.select([as_number(fields[c]).alias(f"x{i}") for i, c in enumerate(columns)])
     stats = d.agg(*[f(F.col(f"x{i}")).alias(f"{n}{i}") for i in range(len(columns))
@@ -358,6 +354,16 @@ def pair_correlations(df: DataFrame, columns: list[str] | None = None, booleans:
 
     sums = d.mapInPandas(cross, "i int, j int, n double, sx double, sy double, qx double, qy double, p double").groupBy(
         "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "p")])
+    return sums, stats, centre
+
+
+def pair_correlations(df: DataFrame, columns: list[str] | None = None, booleans: bool = False) -> DataFrame:
+    """(a, b, r, n) for every column pair a before b, over the rows where both are present; r is null when a side is constant."""
+    df = nan_to_null(df)
+    columns = numeric_columns(df, booleans) if columns is None else columns
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    sums, stats, _ = pair_sums(df, columns)
     names = F.array(*map(F.lit, columns))
     constant = [i for i in range(len(columns)) if stats[f"lo{i}"] is None or stats[f"lo{i}"] == stats[f"hi{i}"]]
     spread = F.array(*[F.lit(v) if (v := stats[f"v{i}"]) is not None else F.lit(0.0) for i in range(len(columns))])

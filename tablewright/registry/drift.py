@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stage import shared_dir
-from ..operators import drift as dr
+from ..operators import distribution as di, drift as dr
 from ..sources.sinks import BaselineStore
 from .common import big, r, rounded, table, unions
 
@@ -187,3 +187,72 @@ def _rotation(s, d) -> DataFrame:
 QUERIES["dr_rotation"] = _rotation
 SQL["dr_rotation"] = f"""SELECT step, clean_runs, version, n AS baseline_rows FROM (VALUES (0, 0, 0::BIGINT), (1, 1, 1), (2, 2, 2),
     (3, 3, 3), (4, 0, 4), (5, 0, 5)) t(step, clean_runs, version), (SELECT count(*) AS n FROM {B} b) c"""
+
+
+# Distances of whole distributions: every numeric column of both sides
+_NUM = ["o_custkey", "o_totalprice", "o_orderkey"]
+_NORMAL = lambda z: f"""(1 - sqrt(2 / pi()) * abs({z}) / 3000 * list_sum(list_transform(range(0, 1001),
+    lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs({z}) * i / 1000, 2) / 2))))"""
+
+
+def _ks(s, d) -> DataFrame:
+    base, now = _tables(s, d)
+    return rounded(di.ks(di.value_table(now, _NUM), di.value_table(base, _NUM), ranges=6))
+
+
+QUERIES["dr_ks"] = _ks
+SQL["dr_ks"] = unions([f"""SELECT '{c}' AS "column", n_base, n_current, {r("d")} AS distance, "at", {r("""CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1,
+      2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x))))) END""")} AS p_value
+    FROM (SELECT n_base, n_current, max(gap) AS d, arg_min(v, (-gap, v)) AS "at", max(gap) * sqrt(n_base * 1.0 * n_current / (n_base + n_current)) AS x FROM (
+      SELECT v, (SELECT count({c}) FROM {B} b) AS n_base, (SELECT count({c}) FROM {N} n) AS n_current,
+        abs(sum(sum(b)) OVER (ORDER BY v)::DOUBLE / (SELECT count({c}) FROM {B} b) - sum(sum(1 - b)) OVER (ORDER BY v)::DOUBLE / (SELECT count({c}) FROM {N} n)) AS gap
+      FROM (SELECT {c}::DOUBLE AS v, 1 AS b FROM {B} b UNION ALL SELECT {c}::DOUBLE, 0 FROM {N} n) u WHERE v IS NOT NULL GROUP BY v) g
+      GROUP BY n_base, n_current) t""" for c in _NUM])
+
+
+def _stored(s, d, name: str) -> DataFrame:
+    """A table the baseline keeps, written and read back."""
+    store = BaselineStore(s, f"{shared_dir(s)}/baseline-{uuid.uuid4().hex}")
+    base = _tables(s, d)[0]
+    store.save("orders", dr.profile(base), extra=di.measure(base, _NUM))
+    return store.extra("orders", name)
+
+
+# Bins are the baseline's: its own quantiles, open at both ends
+QUERIES["dr_binned_psi"] = lambda s, d: rounded(di.binned_psi(_tables(s, d)[1], _stored(s, d, "bins")))
+_BINNED = lambda c, t: f"""(SELECT bin, count(*) / (SELECT count({c}) FROM {t} t)::DOUBLE AS share FROM (
+      SELECT len(list_filter(e, lambda x: {c}::DOUBLE > x)) AS bin FROM {t} t, edges WHERE {c} IS NOT NULL) z GROUP BY bin)"""
+SQL["dr_binned_psi"] = unions([f"""SELECT '{c}' AS "column", {r("sum((c - b) * ln(c / b))")} AS psi FROM (
+    WITH edges AS (SELECT list_sort(list_distinct([{", ".join(f"quantile_cont({c}::DOUBLE, {i / 10})" for i in range(1, 10))}])) AS e FROM {B} b)
+    SELECT CASE WHEN coalesce(b.share, 0) > 0 THEN b.share ELSE 0.0001 END AS b, CASE WHEN coalesce(n.share, 0) > 0 THEN n.share ELSE 0.0001 END AS c
+    FROM range(10) g(bin) JOIN edges ON g.bin <= len(e) LEFT JOIN {_BINNED(c, B)} b USING (bin) LEFT JOIN {_BINNED(c, N)} n USING (bin)) t""" for c in _NUM])
+
+
+# Correlations of a later part whose one pair is tied together, against the stored co-moments
+def _tied(s, d) -> DataFrame:
+    now = _tables(s, d)[1]
+    return now.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") / 100).otherwise(F.col("o_custkey").cast("double")))
+
+
+QUERIES["dr_correlation"] = lambda s, d: rounded(di.correlation_drift(di.co_moments(_tied(s, d), _NUM), _stored(s, d, "moments")))
+_PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1:]]
+_TIED = f"""(SELECT * REPLACE (CASE WHEN o_orderkey::BIGINT % 2 = 0 THEN o_totalprice / 100 ELSE o_custkey::DOUBLE END AS o_custkey) FROM {N} n)"""
+SQL["dr_correlation"] = unions([f"""SELECT a, b, {r("rb")} AS r_base, {r("rc")} AS r_current, nb AS n_base, nc AS n_current, {r("z")} AS z, {r(_NORMAL("z"))} AS p_value
+    FROM (SELECT *, (atanh(rc) - atanh(rb)) / sqrt(1.0 / (nb - 3) + 1.0 / (nc - 3)) AS z FROM (SELECT '{x}' AS a, '{y}' AS b,
+      (SELECT corr({x}, {y}) FROM {B} b) AS rb, (SELECT corr({x}, {y}) FROM {_TIED} n) AS rc,
+      (SELECT count(*) FROM {B} b WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS nb,
+      (SELECT count(*) FROM {_TIED} n WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS nc) t) u""" for x, y in _PAIRS])
+
+
+def _merged(s, d) -> DataFrame:
+    """Co-moments of three parts of the line items, merged."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    m = di.merge_moments(*[di.co_moments(li.filter(F.col("l_orderkey") % 3 == k).drop("l_orderkey")) for k in range(3)])
+    share = lambda c: F.col(c) / F.col("n")
+    return rounded(m.select("a", "b", "n", "mean_a", "mean_b", share("s_aa").alias("var_a"), share("s_bb").alias("var_b"), share("s_ab").alias("cov")), 4)
+
+
+QUERIES["dr_moments"] = _merged
+SQL["dr_moments"] = unions([f"""SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {r(f"avg({a})", 4)} AS mean_a, {r(f"avg({b})", 4)} AS mean_b,
+    {r(f"var_pop({a})", 4)} AS var_a, {r(f"var_pop({b})", 4)} AS var_b, {r(f"covar_pop({a}, {b})", 4)} AS cov FROM lineitem"""
+    for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))])

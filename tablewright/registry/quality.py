@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import sketches as sk
+from ..functions.columns import col
+from ..functions.stage import shared_dir
 from ..operators import quality as q
 from .common import big, dirty, joined, r, rounded, table, unions, view
 
@@ -229,3 +234,32 @@ SQL["recommend_cleaning"] = _PROFILE + """, s AS (SELECT *, 100 - missing_pct -
         ',Statistical methods best for outlier handling'
       WHEN score < 60 THEN 'Domain-specific cleaning needed'
       ELSE 'Data quality is acceptable for basic cleaning' END AS reasons FROM s"""
+
+
+# Sketches of six parts, merged: exact facts as they are, sketched ones as whether they are within the stated error
+def _sketched(s, d) -> DataFrame:
+    root = f"{shared_dir(s)}/sketches-{uuid.uuid4().hex}"
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("o_part"))
+    store = sk.SketchStore(s, root)
+    for part in range(6):
+        store.add(str(part), o.filter(F.col("o_orderkey") % 6 == part))
+    found = sk.profile(store.read())
+    names = o.columns
+    # the rank that the sketched quantiles have in the table itself, and the distinct counts
+    row = {r["column"]: r for r in found.collect()}
+    real = o.agg(*[F.count_distinct(col(c)).alias(f"d_{c}") for c in names], *[
+        (F.count_if(col(c) <= row[c][q]) / F.count(col(c))).alias(f"{q}_{c}") for c in names if row[c]["q25"] is not None for q in ("q25", "q50", "q75")]).first().asDict()
+    near = [(c, all(abs(real[f"{q}_{c}"] - p) <= sk.RANK_ERROR for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)) if row[c][q] is not None),
+             abs(row[c]["distinct"] - real[f"d_{c}"]) <= sk.DISTINCT_ERROR * real[f"d_{c}"]) for c in names]
+    ok = s.createDataFrame(near, "_c string, quantiles_near boolean, distinct_near boolean")
+    return rounded(found.join(F.broadcast(ok), F.col("column") == F.col("_c")).select(
+        "column", "dtype", "rows", "n", "nulls", "lo", "hi", "mean", "std", "quantiles_near", "distinct_near"), 4)
+
+
+QUERIES["dq_sketches"] = _sketched
+SQL["dq_sketches"] = unions([f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) AS rows, count(x) AS n, count(*) - count(x) AS nulls, """ + (
+    ", ".join(f"{r(f'{f}(x)', 4)} AS {n}" for f, n in (("min", "lo"), ("max", "hi"), ("avg", "mean"), ("stddev_samp", "std"))) if t != "string"
+    else ", ".join(f"NULL::DOUBLE AS {n}" for n in ("lo", "hi", "mean", "std"))) + f""", true AS quantiles_near, true AS distinct_near
+    FROM (SELECT {e} AS x FROM orders) t""" for c, t, e in (
+        ("o_orderkey", "bigint", "o_orderkey"), ("o_custkey", "bigint", "o_custkey"), ("o_totalprice", "double", "o_totalprice"),
+        ("o_orderpriority", "string", "o_orderpriority"), ("o_part", "double", "CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END"))])

@@ -84,6 +84,28 @@ SQL["src_text_lines"] = "SELECT count(*) AS lines, true AS from_one, true AS den
 QUERIES["src_text_table"] = lambda s, d: rd.read_text(s, _text(s, d, False))
 SQL["src_text_table"] = "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE '' END AS p FROM orders"
 
+
+
+def _mixed_text(s, d) -> DataFrame:
+    """Comma, tab and plain files in one folder, as one scan."""
+    root = _folder(s, "text")
+    o = table(s, d, "orders")
+    cells = lambda k, *names: o.filter(F.col("o_orderkey") % 3 == k).select(*[F.col(c).cast("string").alias(n) for c, n in names])
+    priority = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))
+    o = o.withColumn("p", priority).withColumn("note", F.concat(F.lit('a "b", '), F.col("o_custkey")))
+    cells(0, ("o_orderkey", "k"), ("p", "p"), ("note", "note")).write.option("header", True).option("escape", '"').csv(f"{root}/comma")
+    cells(1, ("o_orderkey", "k"), ("p", "q")).write.option("header", True).option("sep", "\t").csv(f"{root}/tab")
+    o.filter("o_orderkey % 3 = 2").select(F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.concat_ws(" ", F.lit("order"), "o_orderkey"))).write.text(f"{root}/plain")
+    d = rd.read_text_maps(s, root)
+    return d.select(F.element_at(F.split("file", "/"), -2).alias("kind"), "table", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in ("k", "p", "q", "note", "Content")])
+
+
+QUERIES["src_text_mixed"] = _mixed_text
+SQL["src_text_mixed"] = """WITH o AS (SELECT *, o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority ELSE '' END AS pr FROM orders)
+    SELECT 'comma' AS kind, true AS "table", key AS k, pr AS p, NULL::VARCHAR AS q, 'a "b", ' || o_custkey AS note, NULL::VARCHAR AS "Content" FROM o WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT 'tab', true, key, NULL, pr, NULL, NULL FROM o WHERE o_orderkey % 3 = 1
+    UNION ALL SELECT 'plain', false, NULL, NULL, NULL, NULL, 'order ' || key FROM o WHERE o_orderkey % 3 = 2 AND o_orderkey % 5 <> 0"""
+
 # SRC-5: one JSON document per user and day
 _doc = lambda s, d, item: table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
     F.to_json(F.collect_list(item), {"ignoreNullFields": "false"}).alias("doc"))

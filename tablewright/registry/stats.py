@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import forecast as fc, models as m, prescribe as p, programs as lp, stats as st
+from ..operators import forecast as fc, models as m, prescribe as p, programs as lp, sensitivity as se, significance as si, smoothing as sm, stats as st
 from .common import big, dirty, joined, r, rounded, table, unions, view
 
 QUERIES, SQL = {}, {}
@@ -301,3 +301,73 @@ SQL["tm_scenarios"] = f"""SELECT p_partkey, {r("roi", 6)} AS roi, {r("(b - c) *
     CASE WHEN roi >= 50 THEN 'Highly Recommended' WHEN roi >= 20 THEN 'Recommended' WHEN roi >= 0 THEN 'Consider' ELSE 'Avoid' END
     AS recommendation FROM (SELECT *, (b - c) / c * 100 AS roi FROM (SELECT p_partkey, p_retailprice AS c,
     p_retailprice * (p_size + 70) / 100 AS b, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 10) / 10.0::DOUBLE END AS p FROM part) t) u"""
+
+
+# Many tests at once: an invented p-value per line item, a group per return flag, one value of a third of them
+_P = "CASE WHEN (l_orderkey + l_linenumber) % 17 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN 0.75 ELSE pow(CAST((l_orderkey * 7919 + l_linenumber * 104729) % 10007 AS DOUBLE) / 10007, 3) END"
+QUERIES["st_adjusted"] = lambda s, d: rounded(si.adjust(table(s, d, "lineitem").select(
+    "l_orderkey", "l_linenumber", "l_returnflag", F.expr(_P).cast("double").alias("p")), "p", ["l_returnflag"], ranges=5).select(
+    "l_orderkey", "l_linenumber", "tests", "adjusted"), 9)
+SQL["st_adjusted"] = f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, CAST({_P} AS DOUBLE) AS p FROM lineitem),
+    k AS (SELECT *, count(p) OVER (PARTITION BY g) AS m, count(p) OVER (PARTITION BY g, p IS NULL ORDER BY p) AS rank FROM t)
+    SELECT l_orderkey, l_linenumber, CASE WHEN p IS NOT NULL THEN m END AS tests, CASE WHEN p IS NOT NULL THEN
+      {r("least(1.0, min(p * m / rank) OVER (PARTITION BY g, p IS NULL ORDER BY p DESC))", 9)} END AS adjusted FROM k"""
+QUERIES["st_bonferroni"] = lambda s, d: rounded(si.adjust(table(s, d, "lineitem").select(
+    "l_returnflag", F.expr(_P).cast("double").alias("p")), "p", ["l_returnflag"], method="any").groupBy("l_returnflag", "tests").agg(
+    F.count_if(F.col("adjusted") < 0.05).alias("found"), F.min("adjusted").alias("least")).filter("tests is not null"), 9)
+SQL["st_bonferroni"] = f"""SELECT l_returnflag, m AS tests, count(*) FILTER (least(1.0, p * m) < 0.05) AS found, {r("min(least(1.0, p * m))", 9)} AS least FROM (
+    SELECT l_returnflag, p, count(*) OVER (PARTITION BY l_returnflag) AS m FROM (SELECT l_returnflag, CAST({_P} AS DOUBLE) AS p FROM lineitem) t
+    WHERE p IS NOT NULL) u GROUP BY 1, 2"""
+
+
+# Smoothing: orders a day by priority, cut into ranges; the recursion follows the definition
+def _daily(s, d) -> DataFrame:
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    return table(s, d, "orders").groupBy("o_orderpriority", day.alias("day")).agg(F.count("*").alias("n"))
+
+
+_smooth = lambda s, d, ranges=7: sm.smooth(_daily(s, d), "day", "n", ["o_orderpriority"], ranges=ranges)
+QUERIES["tm_smooth"] = lambda s, d: rounded(_smooth(s, d))
+_HOLT = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY day) AS i FROM (
+      SELECT o_orderpriority, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS day, count(*) AS n FROM orders GROUP BY 1, 2) g),
+    h AS (SELECT o_orderpriority, i, day, n::DOUBLE AS y, n::DOUBLE AS l, 0.0::DOUBLE AS t, NULL::DOUBLE AS fitted FROM e WHERE i = 1
+      UNION ALL SELECT e.o_orderpriority, e.i, e.day, e.n::DOUBLE, 0.3 * e.n + 0.7 * (h.l + h.t),
+        0.1 * (0.3 * e.n + 0.7 * (h.l + h.t) - h.l) + 0.9 * h.t, h.l + h.t FROM h JOIN e ON e.o_orderpriority = h.o_orderpriority AND e.i = h.i + 1)"""
+SQL["tm_smooth"] = f"""{_HOLT} SELECT o_orderpriority, day::DOUBLE AS day, y AS n, {r("l")} AS level, {r("t")} AS trend, {r("fitted")} AS fitted,
+    {r("y - fitted")} AS residual FROM h"""
+QUERIES["tm_interval"] = lambda s, d: rounded(sm.forecast(_smooth(s, d), "day", 5, ["o_orderpriority"]))
+SQL["tm_interval"] = f"""{_HOLT}, v AS (SELECT o_orderpriority, max(day) AS last, arg_max(l, day) AS l, arg_max(t, day) AS t, avg((y - fitted) * (y - fitted)) AS v
+      FROM h GROUP BY 1)
+    SELECT o_orderpriority, k::INTEGER AS step, (last + k)::DOUBLE AS x, {r("l + k * t")} AS y,
+      {r("l + k * t - 1.959963984540054 * sqrt(v * (1 + coalesce(list_sum(list_transform(range(1, k), lambda j: pow(0.3 + 0.03 * j, 2))), 0)))")} AS lo,
+      {r("l + k * t + 1.959963984540054 * sqrt(v * (1 + coalesce(list_sum(list_transform(range(1, k), lambda j: pow(0.3 + 0.03 * j, 2))), 0)))")} AS hi
+    FROM v, range(1, 6) g(k)"""
+QUERIES["tm_coverage"] = lambda s, d: rounded(sm.coverage(_smooth(s, d, 3), ["o_orderpriority"]))
+SQL["tm_coverage"] = f"""{_HOLT} SELECT o_orderpriority, count(fitted) AS points, {r("avg((abs(y - fitted) <= 1.959963984540054 * s)::INTEGER)")} AS inside
+    FROM (SELECT *, sqrt(avg((y - fitted) * (y - fitted)) OVER (PARTITION BY o_orderpriority)) AS s FROM h) x WHERE fitted IS NOT NULL GROUP BY 1"""
+
+# Scenarios of the parts: how the expected value and the first place of a size react to each assumption
+_BOUNDS = {"cost": (0.8, 1.2), "benefit": (0.9, 1.3), "probability": (0.5, 1.1)}
+_case = lambda s, d: table(s, d, "part").select(
+    "p_partkey", "p_size", F.col("p_retailprice").alias("cost"), (F.col("p_retailprice") * (F.col("p_size") + 70) / 100).alias("benefit"),
+    ((F.col("p_partkey") % 10 + 1) / 10).alias("probability"))
+_CASE = """(SELECT p_partkey, p_size, p_retailprice AS cost, p_retailprice * (p_size + 70) / 100 AS benefit, (p_partkey % 10 + 1) / 10 AS probability FROM part)"""
+_EV = lambda **m: f"(benefit * {m.get('benefit', 1.0)} - cost * {m.get('cost', 1.0)}) * (probability * {m.get('probability', 1.0)})"
+QUERIES["tm_one_at_a_time"] = lambda s, d: rounded(se.one_at_a_time(_case(s, d), _BOUNDS).select(
+    "p_partkey", "factor", "base", "low", "high", "swing", "elasticity"))
+SQL["tm_one_at_a_time"] = unions([f"""SELECT p_partkey, '{f}' AS factor, {r(_EV())} AS base, {r(_EV(**{f: lo}))} AS low, {r(_EV(**{f: hi}))} AS high,
+    {r(f"abs({_EV(**{f: hi})} - {_EV(**{f: lo})})")} AS swing, {r(f"({_EV(**{f: hi})} - {_EV(**{f: lo})}) / nullif({_EV()} * {hi - lo}, 0)")} AS elasticity
+    FROM {_CASE} t""" for f, (lo, hi) in _BOUNDS.items()])
+QUERIES["tm_pairwise"] = lambda s, d: rounded(se.pairwise(_case(s, d), _BOUNDS).drop("p_size", "cost", "benefit", "probability"))
+_CORNERS = lambda a, b: {n: _EV(**{a: _BOUNDS[a][i], b: _BOUNDS[b][j]}) for n, (i, j) in
+                         {"low_low": (0, 0), "low_high": (0, 1), "high_low": (1, 0), "high_high": (1, 1)}.items()}
+SQL["tm_pairwise"] = unions([f"""SELECT p_partkey, '{a}' AS factor_a, '{b}' AS factor_b, {", ".join(f"{r(v)} AS {n}" for n, v in _CORNERS(a, b).items())},
+    {r(f"least({', '.join(_CORNERS(a, b).values())})")} AS worst, {r(f"greatest({', '.join(_CORNERS(a, b).values())})")} AS best,
+    {r(f"{_CORNERS(a, b)['high_high']} - {_EV(**{a: _BOUNDS[a][1]})} - {_EV(**{b: _BOUNDS[b][1]})} + {_EV()}")} AS interaction FROM {_CASE} t"""
+    for a, b in (("cost", "benefit"), ("cost", "probability"), ("benefit", "probability"))])
+QUERIES["tm_switch"] = lambda s, d: rounded(se.switching_points(_case(s, d), "p_partkey", _BOUNDS, ["p_size"]))
+SQL["tm_switch"] = f"""WITH t AS (SELECT *, {_EV()} AS base FROM {_CASE} x), o AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY base DESC, p_partkey) AS k FROM t),
+    p AS (SELECT a.*, b.p_partkey AS rival, b.base AS rival_base FROM o a JOIN o b ON a.p_size = b.p_size AND b.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END)
+    """ + unions([f"""SELECT p_size, p_partkey, '{f}' AS factor, {r("base")} AS base, rival, {r("rival_base")} AS rival_base, {r("m")} AS switch,
+      coalesce(m BETWEEN {lo} AND {hi}, false) AS reachable FROM (SELECT *, (rival_base - {_EV(**{f: 0.0})}) / nullif(base - {_EV(**{f: 0.0})}, 0) AS m FROM p) x"""
+      for f, (lo, hi) in _BOUNDS.items()])

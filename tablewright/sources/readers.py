@@ -6,7 +6,6 @@ import re
 import xml.parsers.expat
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -14,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.columns import NUMBER_TEXT, col
 from ..functions.stage import staged
+from . import text_tables
 
 # Cell texts that mean "missing".
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 SAFE_KEY = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
-SPLITS_TO_BROADCAST = 1_000_000
 
 
 class SourceError(ValueError):
@@ -93,59 +92,38 @@ def read_strict_csv(spark: SparkSession, path, schema: T.StructType | None = Non
     return d.filter(~bad).drop("_corrupt_record"), d.filter(bad).select(F.col("_corrupt_record").alias("line"))
 
 
-def _separator(line: str) -> str | None:
-    """Tab or comma, the commoner one; None if the line has neither."""
-    return None if "," not in line and "\t" not in line else "\t" if line.count("\t") > line.count(",") else ","
+def read_text_maps(spark: SparkSession, path) -> DataFrame:
+    """SRC-4 as (file, line, table, fields): one scan for any number of files, however many shapes they have.
 
-
-def read_text(spark: SparkSession, path) -> DataFrame:
-    """SRC-4: a delimited table when the first non-blank line of a file has a comma or tab, else (file, Line, Content).
-
-    Each file decides by its own first line; files with equal first lines are read together. Files of several shapes
-    give the columns of all of them, null where a file has no such column.
+    A file whose first non-blank line has a comma or a tab is a table: fields are its cells by name, '' where empty.
+    Another file gives its non-blank lines as the field Content. `line` numbers the rows of a file from 1.
     """
-    lines = _load(spark.read.text, path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
-    firsts = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).filter(
-        F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("line")).collect()  # a row per file
-    shapes: dict[tuple[str, str] | None, list[str]] = {}
-    for r in sorted(firsts, key=lambda r: r["file"]):
-        sep = _separator(r["line"])
-        # Names in metadata are escaped as in URIs; a reader takes plain names, in which some characters are patterns.
-        name = re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(r["file"]))
-        shapes.setdefault(None if sep is None else (sep, r["line"]), []).append(name)
-    parts = []
-    for shape, files in shapes.items():
-        files = path if len(shapes) == 1 else files
-        if shape is None:
-            parts.append(number_lines(_load(spark.read.text, files)))
-        else:
-            reader = spark.read.option("header", True).option("sep", shape[0]).option("escape", '"')
-            parts.append(_load(reader.csv, files).na.fill(""))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else number_lines(lines)
+    paths = [path] if isinstance(path, str) else list(path)
+    try:
+        absent = text_tables.missing(paths)
+    except (OSError, ValueError) as e:
+        raise SourceError(f"cannot read {path}: {e}") from e
+    if absent or not paths:
+        raise SourceError(f"cannot read {absent or paths}: nothing there")
+    return text_tables.scan(spark, paths)
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Number the non-blank lines of each file from 1.
+def read_text(spark: SparkSession, path) -> DataFrame:
+    """SRC-4: a delimited table when the first non-blank line of a file has a comma or tab, else (file, Line, Content).
 
-    A file is read in splits; lines are numbered inside their split, and the line
-    counts of the earlier splits of the file (one row per split) are added.
+    Each file decides by its own first line. Files of several shapes give the columns of all of them, null where a file
+    has no such column; with very many shapes take `read_text_maps`.
     """
-    d = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
-                     F.col("value").alias("Content")).filter(F.trim("Content") != "")
-    d = d.withColumn("_id", F.monotonically_increasing_id())
-    splits = d.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).collect()
-    offset, table, last = 0, [], None
-    for r in sorted(splits, key=lambda r: (r["file"], r["_at"])):
-        offset = 0 if r["file"] != last else offset
-        last = r["file"]
-        table.append((r["file"], r["_at"], r["_first"], offset))
-        offset += r["_n"]
-    small = lines.sparkSession.createDataFrame(table, "file string, _at long, _first long, _off long")
-    if len(table) <= SPLITS_TO_BROADCAST:
-        small = F.broadcast(small)
-    return d.join(small, ["file", "_at"]).select(
-        "file", (F.col("_id") - F.col("_first") + F.col("_off") + 1).alias("Line"), "Content")
+    d = read_text_maps(spark, path)
+    # A row per column name and one for plain files, whatever the number of files; every file shows its shape in row 1.
+    shown = d.filter("line = 1").select("table", F.posexplode(F.map_keys("fields")).alias("p", "name"))
+    shapes = shown.groupBy("table", "name").agg(F.min("p").alias("p")).orderBy("p", "name").collect()
+    names = [r["name"] for r in shapes if r["table"]]
+    plain = len(names) < len(shapes) or not names
+    cells = [F.when(F.col("table"), F.try_element_at("fields", F.lit(n))).alias(n) for n in names]
+    line = [F.when(~F.col("table"), F.col("file")).alias("file"), F.when(~F.col("table"), F.col("line")).alias("Line"),
+            F.when(~F.col("table"), F.try_element_at("fields", F.lit(text_tables.CONTENT))).alias("Content")]
+    return d.select(*cells, *(line if plain else []))
 
 
 # ---------------------------------------------------------------- JSON

@@ -145,13 +145,26 @@ class BaselineStore:
         self.spark.createDataFrame([(version, profile, rows, clean_runs, created or now, now)], self.VERSIONS).coalesce(
             1).write.mode("append").parquet(f"{self._dir(key)}/versions")
 
-    def save(self, key: str, profile: dict, clean_runs: int = 0) -> None:
-        """Store a profile as the new baseline. The version row comes last, so a failed write leaves the old one."""
+    def extra(self, key: str, name: str) -> DataFrame:
+        """A further table that was saved with the baseline, such as `distribution.measure` gives."""
+        head = self._latest(key)
+        if head is None:
+            raise DriftError(f"there is no baseline of {key!r}")
+        try:
+            return self.spark.read.parquet(f"{self._dir(key)}/profiles/{head['profile']}/extra/{check_key(name)}")
+        except AnalysisException as e:
+            raise DriftError(f"the baseline of {key!r} has no table {name!r}") from e
+
+    def save(self, key: str, profile: dict, clean_runs: int = 0, extra: dict[str, DataFrame] | None = None) -> None:
+        """Store a profile, with further tables by name, as the new baseline. The version row comes last, so a failed
+        write leaves the old one."""
         head = self._latest(key)
         name = uuid.uuid4().hex
         path = f"{self._dir(key)}/profiles/{name}"
         profile["columns"].coalesce(1).write.parquet(f"{path}/columns")
         profile["categories"].write.parquet(f"{path}/categories")
+        for table, df in (extra or {}).items():
+            df.write.parquet(f"{path}/extra/{check_key(table)}")
         self._write(key, name, profile["rows"], clean_runs, None, head["version"] + 1 if head else 0)
 
     def touch(self, key: str, base: dict, clean_runs: int) -> None:

@@ -45,6 +45,33 @@ def test_text_shapes(spark, folder):
     assert rows(lines.select("Line", "Content"), "Line") == [(1, "first"), (2, "second"), (3, "third")]
 
 
+def test_any_number_of_text_files_is_one_scan(spark, folder, capsys):
+    os.makedirs(f"{folder}/in")
+    for i in range(60):
+        write(f"{folder}/in", f"{i:02d}.txt", f"Chapter {i}, the {i}th\nfirst line, of {i}\nsecond\n")
+    d = rd.read_text_maps(spark, f"{folder}/in")
+    d.explain()
+    assert capsys.readouterr().out.count("BatchScan") == 1 and d.rdd.getNumPartitions() == 1  # small files share a task
+    got = rows(d.select("file", "line", "table", F.map_values("fields").alias("v")), "file", "line")
+    assert [(r[1], r[2], list(r[3])) for r in got[:2]] == [(1, True, ["first line", " of 0"]), (2, True, ["second", ""])] and len(got) == 120
+
+
+def test_text_cells_with_line_ends_repeated_names_and_odd_rows(spark, folder):
+    write(folder, "t.txt", "\ufeff\n  \na,a,b\r\n\"x\ny\",2\r\n\r\n   \r\n1,2,3,4\n")
+    got = rows(rd.read_text_maps(spark, f"{folder}/t.txt").select("line", "fields"), "line")
+    assert got == [(1, {"a": "x\ny", "a_1": "2", "b": ""}), (2, {"a": "1", "a_1": "2", "b": "3"})]
+    with pytest.raises(rd.SourceError):
+        rd.read_text(spark, f"{folder}/none.txt")
+    os.makedirs(f"{folder}/empty")
+    assert rd.read_text(spark, f"{folder}/empty").collect() == []
+
+
+def test_files_are_packed_by_size_and_never_cut():
+    from tablewright.sources.text_tables import packed
+    assert packed([("a", 5), ("b", 5), ("c", 30), ("d", 1), ("e", 1)], 12) == [["a", "b"], ["c"], ["d", "e"]]
+    assert packed([], 12) == []
+
+
 def test_each_text_file_has_its_own_shape(spark, folder):
     os.makedirs(f"{folder}/in")
     for name, text in (("a.txt", "k,p\n1,x\n2,\n"), ("b [1] %.txt", "\nk\tq\n3\ty,z\n"), ("c.txt", "only\n\nplain\n"), ("d.txt", "k,p\n4,w\n"),
