@@ -99,7 +99,7 @@ def smooth(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), level: float
     on = [F.lit(True), *same("d", "h")]
     cut = d.alias("d").join(F.broadcast(held.alias("h")), _all(on)).select("d.*", (F.col(RANGE) == F.col("_lo")).alias("first"))
     starts = cut.groupBy(RANGE, *names).applyInPandas(block, block_type)
-    starts = (starts.groupBy(*names) if names else starts.groupBy(F.lit(0))).applyInPandas(chain, start_type)  # a row a range and cut series
+    starts = starts.groupBy(*names).applyInPandas(chain, start_type)  # a row a range and cut series
     on = [F.col(f"d.{RANGE}") == F.col(f"s.{RANGE}"), *same("d", "s")]
     ready = d.alias("d").join(F.broadcast(starts.alias("s")), _all(on), "left").select("d.*", "s.l0", "s.t0")
     out = ready.groupBy(RANGE).applyInPandas(points, point_type)
