@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +32,18 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """What runs inside hands Arrow batches of about `size` to Python tasks, so texts are held few at a time on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null, empty and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)

@@ -1,9 +1,17 @@
-"""64-bit hashes of stretches of bytes by array operations, equal on every machine."""
+"""64-bit hashes of stretches of bytes by array operations, equal on every machine.
+
+The sums are polynomials modulo 2 ** 64: fast, but long regular words of two letters can be built that collide under any
+base. So stretches above LONG bytes are to be hashed by BLAKE2b instead, as `shingle_sets` does.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+LONG = 64
+
 _RNG = np.random.default_rng(5)
 #: A random odd value for each byte, and the base of the polynomial with its inverse modulo 2 ** 64.
 VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -65,6 +73,8 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     start, stop = word_spans(buf)
     word = stretches(prefix(buf), start, stop)
+    for i in np.flatnonzero(stop - start > LONG).tolist():
+        word[i] = int.from_bytes(hashlib.blake2b(buf[start[i]:stop[i]], digest_size=8).digest(), "little")
     a = np.searchsorted(start, last - size)  # words of text i are a[i]:b[i]
     b = np.searchsorted(start, last)
     n = len(word)

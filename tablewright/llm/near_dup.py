@@ -21,10 +21,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.common import BROADCAST_IDS, parts, row_key, spread, staged, without
-from tablewright.llm.components import components
+from tablewright.llm.common import BROADCAST_IDS, parts, row_key, small_batches, spread, staged, without
+from tablewright.llm.components import components, extended
 from tablewright.llm.hashing import shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -88,32 +88,38 @@ def bit_signature(s: np.ndarray, a: np.ndarray) -> bytes:
     return np.packbits(np.concatenate([low, high]) * np.uint32(0x9E3779B1) >> np.uint32(31) == 1).tobytes()
 
 
+def tag() -> Column:
+    """A number by which a row is found again; rows that share it are told apart by their digests."""
+    return F.xxhash64("doc_id", "text")
+
+
 def of_nodes(docs: DataFrame, wanted: DataFrame, width: int, make, name: str) -> DataFrame:
-    """(digest, value) of the wanted nodes (digest, rep), made from their sets by `make`; a task gives each node once at most."""
+    """(node, value) of the wanted nodes (node, digest, tag), made from their sets by `make`; a task gives each node once at most."""
     small = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("rep").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    ids = wanted.select("node", F.col("digest").alias("_digest"), F.col("tag").alias("_tag"))
+    rows = docs.select("text", tag().alias("_row")).join(F.broadcast(ids) if small else ids, F.col("_row") == F.col("_tag"))
 
     def task(batches):
         seen = set()
         for batch in batches:
             for b in parts(batch, "text", GROUP_BYTES):
                 out = {}
-                for d, s in zip(b.column("_digest").to_pylist(), shingle_sets(b.column("text").to_pylist(), width)):
-                    if d not in seen and digest(s) == d:
-                        seen.add(d)
-                        out[d] = make(s)
+                for k, d, s in zip(b.column("node").to_pylist(), b.column("_digest").to_pylist(), shingle_sets(b.column("text").to_pylist(), width)):
+                    if k not in seen and digest(s) == d:
+                        seen.add(k)
+                        out[k] = make(s)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["node", "value"])
 
-    return staged(rows.select("text", "_digest").mapInArrow(task, "digest binary, value binary").dropDuplicates(["digest"]), name)
+    with small_batches(docs.sparkSession):
+        return staged(rows.select("text", "node", "_digest").mapInArrow(task, "node long, value binary").dropDuplicates(["node"]), name)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets meet the threshold."""
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    sets = of_nodes(docs, staged(nodes.join(ends, "digest").select("digest", "rep"), "wanted"), width, lambda s: s.tobytes(), "sets")
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("value").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("value").alias("sb")), "b")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = of_nodes(docs, staged(nodes.join(ends, "node").select("node", "digest", "tag"), "wanted"), width, lambda s: s.tobytes(), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("value").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("value").alias("sb")), "b")
 
     def task(batches):
         for batch in batches:
@@ -125,7 +131,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(both.mapInArrow(task, "a binary, b binary").distinct(), "links")
+    with small_batches(docs.sparkSession):
+        return staged(both.mapInArrow(task, "a long, b long").distinct(), "links")
 
 
 def cutoff(percent: int, values: int) -> int:
@@ -137,7 +144,7 @@ def cutoff(percent: int, values: int) -> int:
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> DataFrame:
     """The pairs whose signatures may belong to similar sets."""
     least = cutoff(percent, values)
-    both = pairs.join(nodes.select(F.col("digest").alias("a"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("digest").alias("b"), F.col("sig").alias("sb")), "b")
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
 
     def task(batches):
         for b in batches:
@@ -145,12 +152,12 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> Dat
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sa", "sb"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return both.mapInArrow(task, "a binary, b binary")
+    return both.mapInArrow(task, "a long, b long")
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (key, digest, label) of the buckets in which components meet, and these buckets' sizes and largest component."""
-    m = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "band", "digest", F.coalesce("label", "digest").alias("label"))
+    """Members (key, band, node, label) of the buckets in which components meet, and these buckets' sizes and largest component."""
+    m = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "label")).alias("top")).filter("kinds > 1")
     per = staged(per.select("key", "size", F.col("top.label").alias("main"), F.col("top.c").alias("most")), "buckets")
@@ -160,8 +167,8 @@ def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
 def next_pairs(m: DataFrame, per: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) per node outside the largest component of its buckets: the member of such a component it meets most often."""
     m = m.join(per, "key")
-    centre = m.filter("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "digest").alias("h"), "digest"))["digest"].alias("a"))
-    met = m.filter("label <> main").select("key", F.col("digest").alias("b")).join(centre, "key").groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"))
+    centre = m.filter("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node"))["node"].alias("a"))
+    met = m.filter("label <> main").select("key", F.col("node").alias("b")).join(centre, "key").groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"))
     return met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
@@ -172,12 +179,12 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
     comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks. A pair is listed in
     the first bucket that it shares only.
     """
-    wanted = staged(nodes.select("digest", "rep").join(m.select("digest").distinct(), "digest"), "wanted")
+    wanted = staged(nodes.select("node", "digest", "tag").join(m.select("node").distinct(), "node"), "wanted")
     mult = multipliers(BITS)
     bits = of_nodes(docs, wanted, width, lambda s: bit_signature(s, mult), "bits").withColumnRenamed("value", "bits")
     per = per.select("key", "size", "main", F.ceil(F.col("most") / block).alias("nm"), F.ceil((F.col("size") - F.col("most")) / block).alias("no"))
-    m = m.join(per, "key").join(bits.join(nodes.select("digest", "sig"), "digest"), "digest")
-    at = F.pmod(F.xxhash64("digest", F.lit(3)), F.when(F.col("label") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int")
+    m = m.join(per, "key").join(bits.join(nodes.select("node", "sig"), "node"), "node")
+    at = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("label") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int")
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     zero = F.lit(0)
@@ -197,7 +204,7 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
         bits = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1)
         sig = np.frombuffer(b"".join([r[5] for r in rows]), "<u2").reshape(len(rows), -1)
         sig = sig[:, :sig.shape[1] // rows_of_band * rows_of_band].reshape(len(rows), -1, rows_of_band)
-        number: dict[bytes, int] = {}
+        number: dict[int, int] = {}
         label = np.array([number.setdefault(r[3], len(number)) for r in rows])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
@@ -213,15 +220,15 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
 
     def task(batches):
         rows, out = [], set()
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=schema)
             out.clear()
             return batch
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("cell_id", "side", "digest", "label", "bits", "sig", "band"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell_id", "side", "node", "label", "bits", "sig", "band"))):
                 if rows and r[0] != rows[0][0]:
                     out.update(compare(rows))
                     rows = []
@@ -232,38 +239,40 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
             out.update(compare(rows))
         yield flush()
 
-    cells = m.select("cell_id", "side", "digest", "label", "bits", "sig", "band").repartition("cell_id").sortWithinPartitions("cell_id")
-    return cells.mapInArrow(task, "a binary, b binary").distinct()
+    cells = m.select("cell_id", "side", "node", "label", "bits", "sig", "band").repartition("cell_id").sortWithinPartitions("cell_id")
+    return cells.mapInArrow(task, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and per digest (digest, rep, label): its smallest doc_id and its class."""
     rows = band_rows(percent, values)
-    base = staged(signatures(docs, width, values), "signatures")
-    nodes = staged(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
+    with small_batches(docs.sparkSession):
+        base = staged(signatures(docs.withColumn("tag", tag()), width, values), "signatures")
+    nodes = base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"), F.first("sig").alias("sig"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = values // rows
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
-    met = nodes.select("digest", F.posexplode(key).alias("band", "key"))
-    centres = met.groupBy("key").agg(F.min("digest").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    met = nodes.select("node", F.posexplode(key).alias("band", "key"))
+    centres = met.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = staged(met.join(centres, "key"), "buckets")
     # Per node the bucket minimum it meets most often.
-    shared = members.filter("digest <> centre").groupBy(F.col("digest").alias("b"), F.col("centre").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    shared = members.filter("node <> centre").groupBy(F.col("node").alias("b"), F.col("centre").alias("a")).agg(F.count(F.lit(1)).alias("c"))
     first = shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = confirmed(staged(likely(first, nodes, percent, values), "pairs"), docs, nodes, width, percent)
     labels = staged(components(links), "labels")
-    members = members.select("key", "band", "digest")
+    m, per = labelled(members.select("key", "band", "node"), labels)
     for turn in range(ROUNDS):
-        m, per = labelled(members, labels)
+        if per.isEmpty():
+            break
         new = confirmed(staged(likely(next_pairs(m, per, turn), nodes, percent, values), "pairs"), docs, nodes, width, percent)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        labels = staged(components(links), "labels")
-        members = m.select("key", "band", "digest")
-    m, per = labelled(members, labels)
-    links = links.unionByName(confirmed(staged(remaining(m, per, docs, nodes, width, percent, block, rows), "pairs"), docs, nodes, width, percent))
-    labels = staged(components(links), "labels")
-    group = nodes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
+        labels = staged(extended(labels, new), "labels")
+        m, per = labelled(m.select("key", "band", "node"), labels)
+    if not per.isEmpty():
+        new = confirmed(staged(remaining(m, per, docs, nodes, width, percent, block, rows), "pairs"), docs, nodes, width, percent)
+        labels = staged(extended(labels, new), "labels")
+    group = nodes.select("node", "digest", "rep").join(labels, "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label"))
     return base, group
 
 

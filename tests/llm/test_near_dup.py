@@ -1,10 +1,13 @@
 """Operator 4 against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pytest
 
 from tablewright.llm import near_dup
+from tablewright.llm.components import components, extended
 from tablewright.llm.hashing import shingle_sets
 
 
@@ -96,3 +99,62 @@ def test_op4_groups_blocks_and_edges(spark, docs_of, edge):
         same(spark, docs_of(rows), rows, 3, 85, block=block)
     same(spark, docs_of(rows), rows, 5, 80)
     assert near_dup.near_duplicates(docs_of([])).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_regular_words_are_told_apart(n):
+    word = thue_morse(n)
+    a, b = shingle_sets([word, word.translate(str.maketrans("ab", "ba"))], 3)
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+def test_regular_words_are_not_linked(spark, docs_of):
+    word = thue_morse(1024)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    same(spark, docs_of(rows), rows, 3, 85)
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few, many = (sorted(map(tuple, components(df, few=n).select("node", "label").collect())) for n in (10 ** 6, 0))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert few == many == sorted((x, find(x)) for x in parent)
+    half = components(df.limit(0))
+    assert half.count() == 0
+    start = spark.createDataFrame(few, "node long, label long")
+    more = [(few[0][0], 1000), (7000, 7001), (7001, few[5][0])]
+    got = {r["node"]: r["label"] for r in extended(start, spark.createDataFrame(more, "a long, b long")).collect()}
+    want = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges + more, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_many_null_ids(spark, docs_of):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    base = rng.choices(words, k=100)
+    texts = [" ".join(w if rng.random() > 0.01 else rng.choice(words) for w in base) for _ in range(400)]
+
+    def took(rows):
+        start = time.time()
+        near_dup.near_duplicates(docs_of(rows), width=3, percent=85).collect()
+        return time.time() - start
+
+    own, none = [(i, t) for i, t in enumerate(texts)], [(None, t) for t in texts]
+    took(own)
+    assert took(none) < 2 * took(own) + 5
+    same(spark, docs_of(none), none, 3, 85)
