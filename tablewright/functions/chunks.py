@@ -1,8 +1,7 @@
 """Order-dependent work on large tables: positions, range chunks, carries and prefix sums.
 
 A window over one key would send all rows of a hot key through one task. Here the
-order column is cut into chunks of about equal row count at approximate
-quantiles; windows run inside (key, chunk), and what crosses a chunk border
+order column is cut into chunks of about equal row count; windows run inside (key, chunk), and what crosses a chunk border
 travels as a small table with one row per (key, chunk).
 """
 
@@ -13,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .columns import col, is_date
+from .ranges import RANGE, Running, running, with_range
 
 CHUNK_ROWS = 1_000_000
-MAX_CHUNKS = 8192
 POS = "_pos"
 CHUNK = "_chunk"
 
@@ -61,25 +60,15 @@ def order_number(df: DataFrame, name: str) -> Column:
 
 
 def with_chunk(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS, name: str = CHUNK) -> DataFrame:
-    """Add a chunk number that grows with the order column."""
-    chunks = max(1, min(MAX_CHUNKS, -(-df.count() // chunk_rows)))
+    """Add a chunk number that grows with the order column; as many chunks as the rows need.
+
+    A table of several chunks is dealt by ranges of the order column and written, so that its chunks are fixed.
+    """
+    chunks = max(1, -(-df.count() // chunk_rows))
     if chunks == 1:
         return df.withColumn(name, F.lit(0))
-    size = 1 << (chunks - 1).bit_length()
-    number = order_number(df, order)
-    cuts = df.agg(
-        F.percentile_approx(number, [i / size for i in range(1, size)], max(10_000, 10 * size)).alias("c")
-    ).first()["c"]
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    # Binary search as log2(size) plain projections: chunk = number of cuts <= order value.
-    out = df.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts])).withColumn(name, F.lit(0))
-    step = size >> 1
-    while step:
-        reached = F.coalesce(F.get("_cuts", F.col(name) + (step - 1)) <= number, F.lit(False))
-        out = out.withColumn(name, F.col(name) + F.when(reached, step).otherwise(0))
-        step >>= 1
-    return out.drop("_cuts")
+    dealt = with_range(df.withColumn("_order_number", order_number(df, order)), ["_order_number"], chunks)
+    return dealt.drop("_order_number").withColumnRenamed(RANGE, name)
 
 
 def forward_fill(
@@ -108,7 +97,7 @@ def forward_fill(
         cond = col(k).eqNullSafe(F.col(f"_k{i}"))
         on = cond if on is None else on & cond
     if not keys:
-        carry = F.broadcast(carry)  # at most MAX_CHUNKS rows
+        carry = F.broadcast(carry)  # a row per chunk of `chunk_rows` rows
     joined = d.join(carry, on, "left")
     return joined.select(
         [F.coalesce(F.col(f"`_f_{c}`"), F.col(f"_c{columns.index(c)}")).alias(c) if c in columns else col(c)
@@ -131,10 +120,7 @@ def with_previous(
     """
     d = with_chunk(df.withColumn("_v", value), order, chunk_rows)
     group = [*keys, CHUNK]
-    back = Window.partitionBy(*map(col, group)).orderBy(col(order).desc())
-    tails = (
-        d.select(*map(col, group), col(order).alias("_o"), "_v")
-    )
+    tails = d.select(*map(col, group), col(order).alias("_o"), "_v")
     back = Window.partitionBy(*map(col, group)).orderBy(F.desc("_o"))
     tails = tails.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= count)
     per_key = Window.partitionBy(*map(col, keys)).orderBy(CHUNK, "_o").rowsBetween(-count, -1)
@@ -150,7 +136,7 @@ def with_previous(
         cond = col(k).eqNullSafe(F.col(f"_k{i}"))
         on = cond if on is None else on & cond
     if not keys:
-        halo = F.broadcast(halo)  # at most MAX_CHUNKS rows of `count` values
+        halo = F.broadcast(halo)  # a row of `count` values per chunk of `chunk_rows` rows
     inside = Window.partitionBy(*map(col, group)).orderBy(col(order)).rowsBetween(-count, -1)
     joined = d.withColumn("_in", F.collect_list("_v").over(inside)).join(halo, on, "left")
     both = F.concat(F.coalesce("_halo", F.array().cast("array<double>")), "_in")
@@ -158,19 +144,7 @@ def with_previous(
     return joined.withColumn(name, F.slice(both, short, count)).select(*map(col, df.columns), name)
 
 
-def prefix_sums(counts: DataFrame, value: str, n: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def prefix_sums(counts: DataFrame, value: str, n: str, ranges: int | None = None) -> DataFrame:
     """Add `_below`: sum of `n` over all smaller values. One row per value expected."""
-    d = with_chunk(counts, value, chunk_rows)
-    w = Window.partitionBy(CHUNK).orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(CHUNK).agg(F.sum(n).alias("_s"))  # at most MAX_CHUNKS rows
-    offsets = sums.select(
-        F.col(CHUNK),
-        F.coalesce(F.sum("_s").over(
-            Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    return (
-        d.join(F.broadcast(offsets), CHUNK)
-        .withColumn("_below", F.col("_off") + F.coalesce(F.sum(n).over(w), F.lit(0)))
-        .drop(CHUNK, "_off")
-    )
+    d = running(counts, [], value, {"_below": Running(col(n))}, ranges)
+    return d.withColumn("_below", F.col("_below") - col(n))

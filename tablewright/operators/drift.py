@@ -250,24 +250,24 @@ def alerts(findings: DataFrame, thresholds: dict[str, float], dataset: str) -> D
         F.lit(dataset).alias("dataset"))
 
 
-def run(df: DataFrame, store, key: str) -> dict[str, DataFrame] | None:
-    """DR-11: compare with the stored baseline and rotate it.
+def run(df: DataFrame, store, key: str, batch: int | None = None) -> dict[str, DataFrame] | None:
+    """DR-11: compare with the stored baseline and rotate it. A stream batch that comes again changes nothing.
 
     No baseline: create one, return None. A high finding resets the counter; the
     fourth clean run in a row makes the current profile the new baseline.
     """
-    base = store.load(key)
+    base = store.load(key, before=batch)
     current = profile(df)
     if base is None:
-        store.save(key, current, clean_runs=0)
+        store.save(key, current, clean_runs=0, batch=batch)
         return None
     report = compare(current, base)
     high = report["summary"].first()["overall_severity"] == sev.HIGH
     runs = 0 if high else base["clean_runs"] + 1
     if runs >= ROTATE_AFTER:
-        store.save(key, current, clean_runs=0)
+        store.save(key, current, clean_runs=0, batch=batch)
     else:
-        store.touch(key, base, runs)
+        store.touch(key, base, runs, batch=batch)
     return report
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import chunks
 from ..operators import cleaning as c, forest, neighbours, quality as q
 from .common import big, dirty, joined, r, rounded, table, unions, view
 
@@ -105,6 +106,12 @@ QUERIES["cl_ffill_global"] = lambda s, d: c.impute_nulls(dirty(s, d, "events"),
     "event_id", "value")
 SQL["cl_ffill_global"] = f"""SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY event_id) AS value FROM {EVENTS} v"""
 
+# the same over many chunks
+QUERIES["cl_ffill_chunks"] = lambda s, d: chunks.forward_fill(dirty(s, d, "events").select("event_id", "user_id", "value"), ["value"], "event_id", ["user_id"], 700)
+SQL["cl_ffill_chunks"] = SQL["cl_ffill"]
+QUERIES["cl_ffill_global_chunks"] = lambda s, d: chunks.forward_fill(dirty(s, d, "events").select("event_id", "value"), ["value"], "event_id", chunk_rows=700)
+SQL["cl_ffill_global_chunks"] = SQL["cl_ffill_global"]
+
 
 # CL-11 to CL-13
 def _cleaned(s, d) -> dict:

@@ -96,23 +96,46 @@ SQL["st_spearman_gaps"] = f"""SELECT 'o_custkey' AS a, 'o_totalprice' AS b, {r("
     FROM (SELECT {_rank("o_custkey")} AS x, {_rank("o_totalprice")} AS y FROM {ORDERS} v WHERE o_totalprice IS NOT NULL) t"""
 
 # ST-9 to ST-12
-_test = lambda df: rounded(df.select("test_type", "statistic", "degrees_of_freedom", "n"))
+_test = lambda df: rounded(df.select("test_type", "statistic", "p_value", "is_significant", "degrees_of_freedom", "n"))
+
+
+def _below(density, x: str, steps: int = 4000) -> str:
+    """Integral of a density from 0 to x by Simpson's rule: another way than the continued fractions of the library."""
+    at = f"(({x}) * i / {steps})"
+    return f"""(({x}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4
+      ELSE 2 END) * {density(at)})))"""
+
+
+_T = lambda t, v: "1 - 2 * " + _below(
+    lambda x: f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ({v} + 1) / 2 * ln(1 + {x} * {x} / {v})) / sqrt({v} * pi())", f"abs({t})")
+_F = lambda f, a, b: "1 - " + _below(
+    lambda x: f"exp(lgamma(({a} + {b}) / 2) - lgamma({a} / 2) - lgamma({b} / 2) + {a} / 2 * ln({a} / {b}) - ({a} + {b}) / 2 * ln(1 + {a} * {x} / {b})) * pow({x}, {a} / 2 - 1)", f)
+# the square root of a chi-square value has a density without a pole
+_C = lambda c, k: "1 - " + _below(lambda x: f"exp((1 - {k} / 2) * ln(2) - lgamma({k} / 2) - {x} * {x} / 2) * pow({x}, {k} - 1)", f"sqrt({c})")
+
+
+def _tested(kind: str, inner: str, p: str) -> str:
+    """The result of a test from one row (s, d1, n, ...) and its p-value."""
+    return f"""SELECT '{kind}' AS test_type, {r("s")} AS statistic, {r("p")} AS p_value, p < 0.05 AS is_significant, d1 AS degrees_of_freedom, n
+    FROM (SELECT *, {p} AS p FROM ({inner}) x) y"""
+
+
 QUERIES["st_pearson_t"] = lambda s, d: _test(st.hypothesis_test(table(s, d, "part"), "p_retailprice", "p_size"))
-SQL["st_pearson_t"] = f"""SELECT 'Pearson Correlation Test' AS test_type, {r("corr(p_retailprice, p_size)")} AS statistic,
-    (count(*) - 2)::DOUBLE AS degrees_of_freedom, count(*) AS n FROM part"""
+SQL["st_pearson_t"] = _tested("Pearson Correlation Test", "SELECT corr(p_retailprice, p_size) AS s, (count(*) - 2)::DOUBLE AS d1, count(*) AS n FROM part",
+                              _T("(s * sqrt(d1 / (1 - s * s)))", "d1"))
 _two = lambda s, d: table(s, d, "labels").withColumn("kind", F.when(F.col("quality") == 1, "good").otherwise("bad")).join(
     table(s, d, "documents"), "doc_id")
 QUERIES["st_ttest_t"] = lambda s, d: _test(st.hypothesis_test(_two(s, d), "n_chars", "kind"))
 _TWO = "(SELECT n_chars, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS kind FROM labels JOIN documents USING (doc_id))"
 SQL["st_ttest_t"] = f"""WITH g AS (SELECT kind, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM {_TWO} t GROUP BY kind),
     a AS (SELECT * FROM g WHERE kind = 'bad'), b AS (SELECT * FROM g WHERE kind = 'good')
-    SELECT 'Two-sample T-test' AS test_type, {r("(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n))")}
-      AS statistic, (a.n + b.n - 2)::DOUBLE AS degrees_of_freedom, a.n + b.n AS n FROM a, b"""
+    """ + _tested("Two-sample T-test", """SELECT (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS s,
+      (a.n + b.n - 2)::DOUBLE AS d1, a.n + b.n AS n FROM a, b""", _T("s", "d1"))
 QUERIES["st_anova_f"] = lambda s, d: _test(st.hypothesis_test(table(s, d, "orders"), "o_totalprice", "o_orderpriority"))
 SQL["st_anova_f"] = f"""WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1),
     t AS (SELECT avg(o_totalprice) AS a FROM orders)
-    SELECT 'One-way ANOVA' AS test_type, {r("(sum(n * pow(m - a, 2)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*)))")}
-      AS statistic, (count(*) - 1)::DOUBLE AS degrees_of_freedom, {big("sum(n)")} AS n FROM g, t"""
+    """ + _tested("One-way ANOVA", f"""SELECT (sum(n * pow(m - a, 2)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS s,
+      (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2, {big("sum(n)")} AS n FROM g, t""", _F("s", "d1", "d2"))
 
 
 def _chi2(table_sql, a, b, yates) -> str:
@@ -122,9 +145,8 @@ def _chi2(table_sql, a, b, yates) -> str:
       ra AS (SELECT a, count(*) AS r FROM v GROUP BY a), cb AS (SELECT b, count(*) AS c FROM v GROUP BY b),
       n AS (SELECT count(*) AS t FROM v), o AS (SELECT a, b, count(*) AS o FROM v GROUP BY a, b),
       x AS (SELECT r, c, t, coalesce(o, 0) AS o FROM ra CROSS JOIN cb CROSS JOIN n LEFT JOIN o USING (a, b))
-      SELECT 'Chi-square Test of Independence' AS test_type, {r(f"sum(pow({gap}, 2) / ({e}))")} AS statistic,
-      ((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1)::DOUBLE AS degrees_of_freedom,
-      any_value(t) AS n FROM x"""
+      """ + _tested("Chi-square Test of Independence", f"""SELECT sum(pow({gap}, 2) / ({e})) AS s,
+        ((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1)::DOUBLE AS d1, any_value(t) AS n FROM x""", _C("s", "d1"))
 
 
 QUERIES["st_chi2"] = lambda s, d: _test(st.hypothesis_test(table(s, d, "orders"), "o_orderpriority", "o_orderstatus"))
@@ -249,6 +271,9 @@ QUERIES["tm_ma_global"] = lambda s, d: rounded(fc.moving_average(table(s, d, "ev
     "event_id", "moving_avg"))
 SQL["tm_ma_global"] = f"""SELECT event_id, {r("ma")} AS moving_avg FROM (SELECT event_id, avg(value) OVER (ORDER BY event_id
     ROWS 4 PRECEDING) AS ma, row_number() OVER (ORDER BY event_id) AS k FROM events) t WHERE k >= 5"""
+QUERIES["tm_ma_chunks"] = lambda s, d: rounded(fc.moving_average(table(s, d, "events"), "event_id", "value", 3, ["user_id"], 700).select(
+    "event_id", "user_id", "moving_avg"))
+SQL["tm_ma_chunks"] = SQL["tm_ma"]
 QUERIES["tm_ma_forecast"] = lambda s, d: rounded(fc.moving_average_forecast(
     table(s, d, "events"), "event_id", "value", 3, 5, ["user_id"]))
 SQL["tm_ma_forecast"] = f"""WITH RECURSIVE t AS (SELECT user_id, list(value ORDER BY event_id) AS v, max(event_id) AS last FROM (

@@ -19,8 +19,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """SNK-2: append JSON files under dataset=<key>/run=<time>."""
+def write_alerts(alerts: DataFrame, path: str, dataset: str | None = None, batch: int | None = None) -> None:
+    """SNK-2: append JSON files under dataset=<key>/run=<time>; those of a stream batch replace dataset=<key>/run=batch-<id>."""
+    if batch is not None:
+        alerts.drop("dataset").write.mode("overwrite").json(f"{path}/dataset={dataset}/run=batch-{batch}")
+        return
     stamp = F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmss'Z'")
     alerts.withColumn("run", stamp).write.mode("append").partitionBy("dataset", "run").json(path)
 
@@ -105,7 +108,7 @@ class BaselineStore:
     `<root>/<key>/profiles/<id>` with the column and category tables.
     """
 
-    VERSIONS = ("version long, profile string, rows long, clean_runs int, created_at timestamp, updated_at timestamp")
+    VERSIONS = ("version long, profile string, rows long, clean_runs int, created_at timestamp, updated_at timestamp, batch long")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -113,7 +116,8 @@ class BaselineStore:
     def _dir(self, key: str) -> str:
         return f"{self.root}/{check_key(key)}"
 
-    def _latest(self, key: str):
+    def _latest(self, key: str, before: int | None = None):
+        """The highest version; with `before`, of those that no stream batch from that id on has made."""
         try:
             versions = self.spark.read.schema(self.VERSIONS).parquet(f"{self._dir(key)}/versions")
         except AnalysisException as e:
@@ -121,12 +125,15 @@ class BaselineStore:
                 return None
             raise
         try:
+            if before is not None:
+                versions = versions.filter(F.col("batch").isNull() | (F.col("batch") < before))
             return versions.orderBy(F.desc("version")).first()
         except Exception as e:
             raise DriftError(f"the baseline of {key!r} is unreadable: {type(e).__name__}") from e
 
-    def load(self, key: str) -> dict | None:
-        head = self._latest(key)
+    def load(self, key: str, before: int | None = None) -> dict | None:
+        """The baseline; with `before`, as it was before the stream batch of that id, however often that one came."""
+        head = self._latest(key, before)
         if head is None:
             return None
         path = f"{self._dir(key)}/profiles/{head['profile']}"
@@ -140,9 +147,9 @@ class BaselineStore:
         return {"rows": head["rows"], "columns": columns, "categories": categories, "clean_runs": head["clean_runs"],
                 "profile": head["profile"], "version": head["version"], "created_at": head["created_at"]}
 
-    def _write(self, key: str, profile: str, rows: int, clean_runs: int, created, version: int) -> None:
+    def _write(self, key: str, profile: str, rows: int, clean_runs: int, created, version: int, batch: int | None) -> None:
         now = dt.datetime.now(dt.timezone.utc)
-        self.spark.createDataFrame([(version, profile, rows, clean_runs, created or now, now)], self.VERSIONS).coalesce(
+        self.spark.createDataFrame([(version, profile, rows, clean_runs, created or now, now, batch)], self.VERSIONS).coalesce(
             1).write.mode("append").parquet(f"{self._dir(key)}/versions")
 
     def extra(self, key: str, name: str) -> DataFrame:
@@ -155,7 +162,8 @@ class BaselineStore:
         except AnalysisException as e:
             raise DriftError(f"the baseline of {key!r} has no table {name!r}") from e
 
-    def save(self, key: str, profile: dict, clean_runs: int = 0, extra: dict[str, DataFrame] | None = None) -> None:
+    def save(self, key: str, profile: dict, clean_runs: int = 0, extra: dict[str, DataFrame] | None = None,
+             batch: int | None = None) -> None:
         """Store a profile, with further tables by name, as the new baseline. The version row comes last, so a failed
         write leaves the old one."""
         head = self._latest(key)
@@ -165,8 +173,9 @@ class BaselineStore:
         profile["categories"].write.parquet(f"{path}/categories")
         for table, df in (extra or {}).items():
             df.write.parquet(f"{path}/extra/{check_key(table)}")
-        self._write(key, name, profile["rows"], clean_runs, None, head["version"] + 1 if head else 0)
+        self._write(key, name, profile["rows"], clean_runs, None, head["version"] + 1 if head else 0, batch)
 
-    def touch(self, key: str, base: dict, clean_runs: int) -> None:
+    def touch(self, key: str, base: dict, clean_runs: int, batch: int | None = None) -> None:
         """Keep the profile, change the counter."""
-        self._write(key, base["profile"], base["rows"], clean_runs, base["created_at"], base["version"] + 1)
+        head = self._latest(key)
+        self._write(key, base["profile"], base["rows"], clean_runs, base["created_at"], head["version"] + 1, batch)

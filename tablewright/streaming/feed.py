@@ -59,18 +59,22 @@ def start_intake(requests: DataFrame, keys: DataFrame, events_path: str, rejects
 
 def scheduled_drift(stream: DataFrame, store, key: str, thresholds: dict[str, float], alert_path: str,
                     checkpoint: str, **trigger) -> StreamingQuery:
-    """SS-11: a drift run with alerts per arriving batch; a failed run is logged and does not stop the next."""
+    """SS-11: a drift run with alerts per arriving batch; a failed run is logged and does not stop the next.
+
+    Versions of the baseline and alerts carry the batch id, so a batch that is delivered twice is compared with the same
+    baseline again and replaces its own alerts. A store serves one stream.
+    """
 
     def once(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         batch.persist()  # a run reads the batch several times
         try:
-            report = drift.run(batch, store, key)
+            report = drift.run(batch, store, key, batch_id)
             if report is not None:
                 found = drift.alerts(report["findings"], thresholds, key)
                 if not found.isEmpty():
-                    write_alerts(found, alert_path)
+                    write_alerts(found, alert_path, key, batch_id)
         except Exception:
             log.exception("drift run of batch %s failed", batch_id)
         finally:

@@ -84,7 +84,7 @@ def test_previous_values_cross_chunks(series, chunk_rows):
 
 def test_prefix_sums(spark):
     df = spark.createDataFrame([(float(i), i % 4 + 1) for i in range(200)], "v double, n long").repartition(4)
-    got = {r["v"]: r["_below"] for r in chunks.prefix_sums(df, "v", "n", chunk_rows=9).collect()}
+    got = {r["v"]: r["_below"] for r in chunks.prefix_sums(df, "v", "n", ranges=9).collect()}
     total = 0
     for i in range(200):
         assert got[float(i)] == total

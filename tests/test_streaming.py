@@ -7,7 +7,8 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tablewright.operators import dashboard as db
+from tablewright.operators import dashboard as db, drift
+from tablewright.sources import sinks as sk
 from tablewright.sources.sinks import BaselineStore
 from tablewright.streaming import feed, intake, quota, stateful
 
@@ -159,6 +160,26 @@ def test_scheduled_runs_survive_a_failure(spark, folder):
     go()  # logged, not raised
 
 
+def test_a_batch_delivered_twice_changes_nothing(spark, folder):
+    store = BaselineStore(spark, f"{folder}/base")
+    data = [spark.createDataFrame([(float(f * (i + 1)),) for i in range(50)], "x double") for f in (1, 1.01, 2, 1, 1, 1, 1.02)]
+
+    def state():
+        b = store.load("k")
+        return b["clean_runs"], b["rows"], rows(b["columns"].select("column", "mean"))
+
+    for n, df in enumerate(data):
+        seen = []
+        for _ in range(3 if n in (0, 2, 6) else 1):
+            report = drift.run(df, store, "k", n)
+            if report is not None:
+                sk.write_alerts(drift.alerts(report["findings"], {"x": 0.2}, "k"), f"{folder}/alerts", "k", n)
+            seen.append(state())
+        assert all(s == seen[0] for s in seen)
+    assert seen[0][0] == 0 and seen[0][2] == [("x", pytest.approx(25.5 * 1.02))]  # the fourth clean run in a row rotated once
+    assert spark.read.json(f"{folder}/alerts").count() == 1
+
+
 # ---- application tables
 
 def test_tenant_scope_and_checks(spark):
