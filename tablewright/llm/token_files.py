@@ -10,6 +10,7 @@ were committed, so a lost executor leaves at most an unread file.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.llm.common import new_folder
+from tablewright.llm.common import new_folder, small_batches
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
 #: Pieces that a Python worker remembers (some 30 bytes each); beyond it forgets and starts anew.
@@ -31,6 +32,8 @@ WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 JOINED = 1_000
+#: Bytes compared with their pieces at a time.
+COMPARED = 1 << 18
 #: Bytes of text encoded together, about, and texts at most.
 GROUP_BYTES, GROUP = 3 << 19, 4_000
 
@@ -68,6 +71,7 @@ class Encoder:
     def _forget(self) -> None:
         self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.bytes, self.starts, self.widths = bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _powers(self, n: int):
         if len(self._power[0]) < n:
@@ -75,6 +79,32 @@ class Encoder:
             self._power = tuple(np.concatenate([[np.uint64(1)], np.full(m - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (self.base, self.inverse))
         return self._power
 
+    def _unequal(self, buf, start, stop, where, of, slot, here) -> np.ndarray:
+        """Pieces whose bytes are not those of the first piece, or of the remembered piece, with their hash."""
+        size, n = stop - start, len(buf) - 1  # the pieces lie side by side and cover the bytes
+        lead = where[of]
+        wrong = size != size[lead]
+        back = np.where(wrong, 0, start[lead] - start)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(stop, np.arange(COMPARED, n, COMPARED)), [len(stop)]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            lo, hi = int(start[a]), int(stop[b - 1])
+            other = np.flatnonzero(buf[np.arange(lo, hi) + np.repeat(back[a:b], size[a:b])] != buf[lo:hi])
+            wrong[np.searchsorted(stop, other + lo, "right")] = True
+        seen = np.flatnonzero(here)
+        first, kept = where[seen], slot[seen]
+        bad = size[first] != self.widths[kept]
+        first, kept, own = first[~bad], kept[~bad], seen[bad]
+        if len(first):
+            long = size[first]
+            inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            store = np.frombuffer(self.bytes, np.uint8)
+            differ = buf[np.repeat(start[first], long) + inner] != store[np.repeat(self.starts[kept], long) + inner]
+            del store
+            own = np.concatenate([own, seen[~bad][np.unique(np.repeat(np.arange(len(first)), long)[differ])]])
+        if len(own):
+            wrong |= np.isin(of, own)
+        return np.flatnonzero(wrong)
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -136,15 +166,22 @@ class Encoder:
         h = (total[stop] - total[start]) * inverse[start]
         h ^= h >> np.uint64(29)
         h = h * self.base + (stop - start).astype(np.uint64)
-        different, where, of = np.unique(h, return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.hashes, different)
-        here = np.zeros(len(different), bool)
-        inside = slot < len(self.hashes)
-        here[inside] = self.hashes[slot[inside]] == different[inside]
+        while True:
+            different, where, of = np.unique(h, return_index=True, return_inverse=True)
+            slot = np.searchsorted(self.hashes, different)
+            here = np.zeros(len(different), bool)
+            inside = slot < len(self.hashes)
+            here[inside] = self.hashes[slot[inside]] == different[inside]
+            wrong = self._unequal(buf, start, stop, where, of, slot, here)
+            if not len(wrong):
+                break
+            for i in wrong.tolist():  # regular long pieces may share a sum: these go by BLAKE2b, and their bytes are compared again
+                h[i] = int.from_bytes(hashlib.blake2b(buf[start[i]:stop[i]], digest_size=8).digest(), "little")
         new = np.flatnonzero(~here)
         if len(new):
             whole = buf.tobytes()
-            ids = self._new([whole[a:b].decode() for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist())])
+            pieces = [whole[a:b] for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist())]
+            ids = self._new([p.decode() for p in pieces])
             sizes = np.array([len(x) for x in ids], np.int32)
             flat = np.concatenate(ids)
             if self.used + len(flat) > len(self.ids):
@@ -155,6 +192,10 @@ class Encoder:
             self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
             self.sizes = np.insert(self.sizes, at, sizes)
             self.used += len(flat)
+            long = np.array([len(p) for p in pieces], np.int64)
+            self.starts = np.insert(self.starts, at, len(self.bytes) + np.cumsum(long) - long)
+            self.widths = np.insert(self.widths, at, long)
+            self.bytes += b"".join(pieces)
             slot = np.searchsorted(self.hashes, different)
         count = self.sizes[slot][of].astype(np.int64)
         before = np.cumsum(count) - count
@@ -227,7 +268,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, ba
 
     rows = d.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, file string, part int, first bigint, n_tokens bigint")
     path = f"{folder}/index"
-    rows.write.parquet(path)
+    with small_batches(spark):
+        rows.write.parquet(path)
     index = spark.read.schema(rows.schema).parquet(path)
     # One row per file: running totals of the files before it.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

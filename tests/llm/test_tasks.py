@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+import pytest
+
 from tablewright.llm import chat, quality_rules, registry, token_files, toxicity
 from tablewright.llm.common import new_folder
 
@@ -123,6 +125,22 @@ def test_op7_against_the_tokenizer(spark, texts, docs_of, edge):
     assert token_files.round_trip(docs_of([]), path).count() == 0
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_op7_tells_regular_words_apart(n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    plain = Tokenizer.from_file(path)
+    want = lambda t: [*plain.encode(t, add_special_tokens=False).ids, 0]
+    encode = token_files.Encoder(path, 0)
+    for group in ([word, other, word + " " + other], [other], [word, f"x {other} y"]):  # in one group, and remembered
+        ids, sizes = encode(group)
+        assert ids.tolist() == [i for t in group for i in want(t)] and sizes.tolist() == [len(want(t)) for t in group]
+
+
 def test_op3_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
