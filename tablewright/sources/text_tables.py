@@ -83,9 +83,9 @@ def files_of(paths: list[str]) -> list[tuple[str, int]]:
 def packed(files: list[tuple[str, int]], size: int = PACK_BYTES) -> list[list[str]]:
     """Groups of files of about `size` bytes; a file is never cut, since a quoted cell may hold line ends."""
     groups: list[list[str]] = []
-    held = size
+    held = 0
     for path, n in files:
-        if held + n > size and (held or not groups):
+        if not groups or held and held + n > size:
             groups.append([])
             held = 0
         groups[-1].append(path)

@@ -72,6 +72,14 @@ def test_files_are_packed_by_size_and_never_cut():
     assert packed([], 12) == []
 
 
+def test_leading_empty_files_are_packed_with_the_others(spark, folder):
+    from tablewright.sources.text_tables import packed
+    assert packed([("a", 0), ("b", 0), ("c", 5)], 12) == [["a", "b", "c"]] and packed([("a", 0), ("b", 50)], 12) == [["a"], ["b"]]
+    write(folder, "a.txt", "")
+    path = write(folder, "b.txt", "one\n\ntwo\n")
+    assert sorted(r["Content"] for r in rd.read_text(spark, [f"{folder}/a.txt", path]).collect()) == ["one", "two"]
+
+
 def test_each_text_file_has_its_own_shape(spark, folder):
     os.makedirs(f"{folder}/in")
     for name, text in (("a.txt", "k,p\n1,x\n2,\n"), ("b [1] %.txt", "\nk\tq\n3\ty,z\n"), ("c.txt", "only\n\nplain\n"), ("d.txt", "k,p\n4,w\n"),
