@@ -345,6 +345,11 @@ SQL["ss_quota_state"] = f"""WITH RECURSIVE e AS ({_DELIVERED.format(events="even
     SELECT b, event_id, accepted FROM s WHERE i > 0"""
 
 
+def _state_parts(s) -> int:
+    """State partitions of a query: a task per core."""
+    return s.sparkContext.defaultParallelism
+
+
 # SS-8: the newest rows as lists in state; four micro-batches
 def _streamed_feed(s, d) -> stateful.NewestTable:
     root = _folder(s, "feed")
@@ -353,7 +358,7 @@ def _streamed_feed(s, d) -> stateful.NewestTable:
         src.filter(F.expr(f"event_id % 40 div 10 = {n}")).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = s.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     out = stateful.NewestTable(s, f"{root}/feed", "user_id")
-    out.start(stream, "ts", feed.FEED_ROWS, "event_id", f"{root}/check", 2).awaitTermination()
+    out.start(stream, "ts", feed.FEED_ROWS, "event_id", f"{root}/check", _state_parts(s)).awaitTermination()
     return out
 
 

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions.columns import col
@@ -22,6 +22,7 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass":
             # Timers are looked at with the next data; else a query over what is there now would never end.
             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 IDLE_MS, REPLAY_MS = 3_600_000, 600_000
+BUCKETS = 1024  # groups of keys of a feed
 
 
 @contextmanager
@@ -122,45 +123,79 @@ def quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, wind
     return df.groupBy(col(key)).transformWithStateInPandas(Windows(), schema, "Append", "ProcessingTime", initialState=first)
 
 
-def newest(df: DataFrame, key: str, time: str, k: int, tie: str | None = None) -> DataFrame:
+def _key_text(df: DataFrame, key: str) -> Column:
+    """A text that differs for different keys; '' for null."""
+    kind, k = df.schema[key].dataType, col(key)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        k = k + F.lit(0.0)  # one zero
+    if isinstance(kind, (T.ArrayType, T.StructType, T.VariantType)):
+        k = F.to_json(k, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    elif isinstance(kind, T.BinaryType):
+        k = F.hex(k)
+    text = F.unix_micros(k) if isinstance(kind, T.TimestampType) else k
+    return F.coalesce(F.concat(F.lit("="), text.cast("string")), F.lit(""))
+
+
+def newest(df: DataFrame, key: str, time: str, k: int, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """SS-8 / SS-9 with state variables: the newest `k` rows of every key that a micro-batch changed.
 
     The state of a key is the ordered list of its newest rows; older ones are evicted. A micro-batch gives the whole new
     list of each key whose list changed (column `rank`, newest first) and nothing for others. Null times are oldest.
+    Keys are dealt to `buckets` groups, so that a call serves many keys; a group holds a map from key to list, of which
+    only the keys that come are read and only the changed ones written. The number is fixed by a query's first start.
     """
     names = df.columns
-    schema = T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in df.schema.fields])
+    cell = T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in df.schema.fields])
+    value = T.StructType([T.StructField("rows", T.ArrayType(cell))])
     times = {f.name: isinstance(f.dataType, T.TimestampType) for f in df.schema.fields if _plain(f.dataType) != f.dataType}
+    # Columns travel under plain names: a batch renames those that begin with an underscore.
+    sent = {c: f"c{i}" for i, c in enumerate(names)}
+    whole = {f.name: f"null{i}" for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.IntegralType) and f.nullable}
     at, by, cells = names.index(time), names.index(tie) if tie else None, _cells
 
     def order(row: tuple) -> tuple:
         keys = (row[at],) if by is None else (row[at], row[by])
         return tuple((v is not None, v if v is not None else 0) for v in keys)
 
+    def read(part: pd.DataFrame, name: str) -> list:
+        values = cells(part[sent[name]])  # pandas would turn whole numbers among nulls into floats
+        return [None if gone else v for v, gone in zip(values, part[whole[name]])] if name in whole else values
+
     class Newest(StatefulProcessor):
         def init(self, handle) -> None:
-            self.rows = handle.getListState("rows", schema)
+            self.lists = handle.getMapState("lists", "key string", value)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-            best = old
-            for part in rows:  # never more than one batch of rows and k rows at a time
-                best = sorted([*best, *zip(*(cells(part[c]) for c in names))], key=order, reverse=True)[:k]
-            if best == old:
+            new: dict[str, list[tuple]] = {}
+            for part in rows:  # never more than one batch of rows and k rows a key at a time
+                came: dict[str, list[tuple]] = {}
+                for who, row in zip(part["who"], zip(*(read(part, c) for c in names))):
+                    came.setdefault(who, []).append(row)
+                for who, found in came.items():
+                    new[who] = sorted([*new.get(who, ()), *found], key=order, reverse=True)[:k]
+            changed: list[tuple] = []
+            for who, found in new.items():
+                held = self.lists.getValue((who,))
+                old = [] if held is None else [tuple(r) for r in held[0]]
+                best = sorted([*old, *found], key=order, reverse=True)[:k]
+                if best != old:
+                    self.lists.updateValue((who,), (best,))
+                    changed += [(*r, i) for i, r in enumerate(best, 1)]
+            if not changed:
                 return
-            self.rows.put(best)
-            out = pd.DataFrame(best, columns=names)
+            out = pd.DataFrame(changed, columns=[*names, "rank"], dtype=object)
             for c, zoned in times.items():
-                stamp = pd.to_datetime(out[c], unit="us", utc=zoned)
-                out[c] = stamp
-            out["rank"] = np.arange(1, len(out) + 1, dtype="int32")
-            yield out
+                out[c] = pd.to_datetime(out[c], unit="us", utc=zoned)
+            yield out.astype({"rank": "int32"})
 
         def close(self) -> None:
             pass
 
     result = T.StructType([*df.schema.fields, T.StructField("rank", T.IntegerType())])
-    return df.groupBy(col(key)).transformWithStateInPandas(Newest(), result, "Append", "None")
+    plain = {c: F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType)) if c in whole else col(c) for c in names}
+    d = df.select(_key_text(df, key).alias("who"), *[x.alias(sent[c]) for c, x in plain.items()], *[col(c).isNull().alias(n) for c, n in whole.items()])
+    return d.withColumn("bucket", F.pmod(F.xxhash64("who"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
+        Newest(), result, "Append", "None")
 
 
 class NewestTable:

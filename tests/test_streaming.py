@@ -313,3 +313,19 @@ def test_feed_of_one_user(spark, folder):
     q.awaitTermination()
     assert rows(spark.read.parquet(f"{folder}/out").select("u", "at", "rank"), "rank") == [(1, 28, 1), (1, 25, 2), (1, 22, 3), (1, 19, 4)]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_newest_serves_many_keys_of_a_bucket_and_keeps_whole_numbers(spark, folder):
+    big = 2**53 + 1
+    parts = [[(None, 1, big), ("a", 1, None), ("a", 2, big), ("b", None, 5), ("c", 3, 7)], [("b", 9, 6), ("c", 1, 1), (None, 4, big + 2)]]
+    for part in parts:
+        spark.createDataFrame(part, "u string, at long, id long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("u string, at long, id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with stateful.state_settings(spark, 2):
+        q = stateful.newest(stream, "u", "at", 2, "id", buckets=1).writeStream.format("parquet").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("u", "at", "id", "rank").collect()}
+    assert got == {(None, 1, big, 1), ("a", 2, big, 1), ("a", 1, None, 2), ("b", None, 5, 1), ("c", 3, 7, 1), ("c", 1, 1, 2),
+                   ("b", 9, 6, 1), ("b", None, 5, 2), (None, 4, big + 2, 1), (None, 1, big, 2)}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 10  # a row a key in the map, not a group a key
