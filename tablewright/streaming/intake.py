@@ -26,23 +26,34 @@ ERRORS = {
 NOT_JSON = "body is not a JSON object"
 
 
-def _field(v: Column, name: str) -> Column:
-    """One payload field as (text, kind, given); kind is text, number, boolean, nested or none.
+def _kind(t: Column) -> Column:
+    """text, number, boolean, nested or none, by the name of a variant's type."""
+    return (F.when(t == "VOID", "none").when(t == "STRING", "text").when(t == "BOOLEAN", "boolean")
+            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), "nested").otherwise("number"))
+
+
+def _parts(df: DataFrame, name: str, v: Column, fields: list[str], *more: Column) -> DataFrame:
+    """Add struct `name` of the payload fields as (text, kind, given), and of `more`; kind is as in `_kind`.
 
-    A field is given when it is not null, false, 0 or ''.
+    A field is given when it is not null, false, 0 or ''. Every step reads columns of the one before, since an
+    expression inside `once` that occurs twice is computed twice, and a nested field may be long.
     """
-    x = F.try_variant_get(v, f"$.{name}", "variant")
-    t = F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
-    kind = (F.when(t == "VOID", "none").when(t == "STRING", "text").when(t == "BOOLEAN", "boolean")
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), "nested").otherwise("number"))
-    text = F.when(kind != "nested", F.try_variant_get(v, f"$.{name}", "string"))
-    given = (F.when(kind == "none", False).when(kind == "nested", True).when(kind == "text", text != "")
-             .when(kind == "boolean", text == "true").otherwise(text.try_cast("double") != 0))
-    return F.struct(text.alias("text"), kind.alias("kind"), F.coalesce(given, F.lit(False)).alias("given"))
+    get = lambda n, kind: F.try_variant_get(v, f"$.{n}", kind)
+    d = once(df, "_t", F.struct(*[F.coalesce(F.schema_of_variant(get(n, "variant")), F.lit("VOID")).alias(n) for n in fields]))
+    d = once(d, "_k", F.struct(*[_kind(F.col("_t")[n]).alias(n) for n in fields])).drop("_t")
+    d = once(d, "_x", F.struct(*[F.when(F.col("_k")[n] != "nested", get(n, "string")).alias(n) for n in fields]))
+
+    def field(n: str) -> Column:
+        text, kind = F.col("_x")[n], F.col("_k")[n]
+        given = (F.when(kind == "none", False).when(kind == "nested", True).when(kind == "text", text != "")
+                 .when(kind == "boolean", text == "true").otherwise(text.try_cast("double") != 0))
+        return F.struct(text.alias("text"), kind.alias("kind"), F.coalesce(given, F.lit(False)).alias("given")).alias(n)
+
+    return once(d, name, F.struct(*map(field, fields), *more)).drop("_k", "_x")
 
 
 def event_time(field: Column) -> Column:
-    """A time text, or a JSON number of milliseconds, as timestamp; `field` comes from `_field`."""
+    """A time text, or a JSON number of milliseconds, as timestamp; `field` comes from `_parts`."""
     text, ms = field["text"], field["text"].try_cast("double")
     at = F.when(F.abs(ms) <= MAX_TIME_MS, F.timestamp_millis(ms.cast("long")))
     return F.when(field["kind"] == "number", at).otherwise(F.coalesce(F.try_to_timestamp(text), parse_date(text)))
@@ -53,10 +64,10 @@ def validate(df: DataFrame, body: str = "body") -> DataFrame:
     d = once(df, "_v", F.try_parse_json(col(body)))
     v = F.col("_v")
     # Compact JSON is never longer than the body, so only long bodies are written out again.
-    size = F.when(F.char_length(col(body)) > MAX_PAYLOAD, F.char_length(F.to_json(v))).otherwise(F.lit(0))
+    size = F.when(F.octet_length(col(body)) <= MAX_PAYLOAD, 0).when(
+        F.char_length(col(body)) > MAX_PAYLOAD, F.char_length(F.to_json(v))).otherwise(F.lit(0))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    d = once(d, "_f", F.struct(*[_field(v, n).alias(n) for n in ("timestamp", "source", "metrics")],
-                               size.alias("size"), is_object.alias("is_object")))
+    d = _parts(d, "_f", v, ["timestamp", "source", "metrics"], size.alias("size"), is_object.alias("is_object"))
     time, source, metrics = F.col("_f.timestamp"), F.col("_f.source"), F.col("_f.metrics")
     checks = [
         (~time["given"], "timestamp"), (~source["given"], "source"), (~metrics["given"], "metrics"),
@@ -99,8 +110,8 @@ def last_used(df: DataFrame, key: str = "key_hash", time: str = "ts") -> DataFra
 def event_rows(df: DataFrame, body: str = "body") -> DataFrame:
     """SS-7: rows of the live table from validated requests that carry a user_id."""
     v = F.col("_v")
-    return once(df, "_v", F.try_parse_json(col(body))).select(
-        event_time(_field(v, "timestamp")).alias("timestamp"),
+    return _parts(once(df, "_v", F.try_parse_json(col(body))), "_f", v, ["timestamp"]).select(
+        event_time(F.col("_f.timestamp")).alias("timestamp"),
         sanitize_source(F.try_variant_get(v, "$.source", "string")).alias("source"),
         F.to_json(F.try_variant_get(v, "$.metrics", "variant")).alias("metrics"),
         col(body).alias("raw_data"), "user_id", F.current_timestamp().alias("created_at"))

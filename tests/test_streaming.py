@@ -3,6 +3,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -329,3 +330,22 @@ def test_newest_serves_many_keys_of_a_bucket_and_keeps_whole_numbers(spark, fold
     assert got == {(None, 1, big, 1), ("a", 2, big, 1), ("a", 1, None, 2), ("b", None, 5, 1), ("c", 3, 7, 1), ("c", 1, 1, 2),
                    ("b", 9, 6, 1), ("b", None, 5, 2), (None, 4, big + 2, 1), (None, 1, big, 2)}
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 10  # a row a key in the map, not a group a key
+
+
+def test_admitted_requests_are_one_entry_a_micro_batch(spark, folder):
+    base = int(T0.timestamp() * 1000)
+    got, progress = feed_quota(spark, folder, [[("a", base + i, i) for i in range(100)], [("a", base + 1, 1), ("a", base + 200, 200)]])
+    assert sum(r[3] for r in got) == 6 and {r[2] for r in got if r[3]} == set(range(5))  # request 1 twice
+    assert progress[-1].stateOperators[0].numRowsTotal <= 5  # a window, its timers, one list of entries; five rows of ids before
+
+
+def test_stream_quota_sorts_by_time_and_any_tie():
+    times = pd.Series(pd.to_datetime([3, 1, 1, None, 2], unit="s"))
+    for tie in (pd.Series([0, 9, 8, 1, 2]), pd.Series([0.0, None, 8.0, 1.0, 2.0]), pd.Series(["a", None, "b", "c", "d"], dtype=object)):
+        assert quota._time_order(times, tie).tolist() == [2, 1, 4, 0, 3]
+
+
+def test_payload_fields_are_looked_up_once(spark):
+    d = intake.validate(spark.createDataFrame([("{}",)], "body string"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") + plan.count("schemaofvariant") + plan.count("schemaOfVariant") <= 8
