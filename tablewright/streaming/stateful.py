@@ -23,6 +23,7 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass":
             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 IDLE_MS, REPLAY_MS = 3_600_000, 600_000
 BUCKETS = 1024  # groups of keys of a feed
+IDS = 10_000  # admitted requests an entry holds
 
 
 @contextmanager
@@ -58,8 +59,8 @@ def quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, wind
           idle_ms: int = IDLE_MS, replay_ms: int = REPLAY_MS, state: DataFrame | None = None) -> DataFrame:
     """SS-4 with state variables: add `accepted`. Start the query inside `state_settings`.
 
-    `window` (start, count) is the window a key has open; `admitted` holds the admitted requests by their `tie`, and each
-    entry ends `replay_ms` after it was written. Requests of a micro-batch are taken in time order. Every request gets a
+    `window` (start, count) is the window a key has open; `admitted` holds the admitted requests by their `tie`: a
+    micro-batch appends its own as entries of at most IDS, and each ends `replay_ms` after it was written. Requests of a micro-batch are taken in time order. Every request gets a
     verdict: a late one counts in the window its key has open; one that was admitted before and comes again
     is admitted without being counted again. A timer clears the window of a key that was silent for `idle_ms`, so state
     holds active keys only; both spans are processing time and must exceed the lateness that is to be told apart.
@@ -68,14 +69,14 @@ def quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, wind
     `QuotaTable`.
     """
     names, id_type = df.columns, _plain(df.schema[tie].dataType)
-    map_key = T.StructType([T.StructField("id", id_type)])
+    entry = T.StructType([T.StructField("ids", T.ArrayType(id_type))])
     cells = _cells
 
     class Windows(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.window = handle.getValueState("window", "start long, count long, timer long")
-            self.admitted = handle.getMapState("admitted", map_key, "at long", ttlDurationMs=replay_ms)
+            self.admitted = handle.getListState("admitted", entry, ttlDurationMs=replay_ms)
 
         def _wake(self, now: int, old: int | None) -> int:
             if old:
@@ -91,7 +92,7 @@ def quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, wind
             d = pd.concat(list(rows), ignore_index=True).sort_values([time, tie], kind="stable", ignore_index=True)
             start, count, timer = self.window.get() if self.window.exists() else (None, 0, None)
             now = timerValues.getCurrentProcessingTimeInMs()
-            seen = {k[0] for k in self.admitted.keys()} if self.admitted.exists() else set()
+            seen, fresh = {i for e in self.admitted.get() for i in e[0]}, []
             ids, known = cells(d[tie]), d[time].notna().to_numpy()
             ms = d[time].to_numpy().astype("datetime64[ms]").astype("int64")
             accepted = np.zeros(len(d), bool)
@@ -105,7 +106,9 @@ def quota(df: DataFrame, key: str, time: str, tie: str, limit: int = LIMIT, wind
                         accepted[i], count = True, count + 1
                         if who is not None:
                             seen.add(who)
-                            self.admitted.updateValue((who,), (int(ms[i]),))
+                            fresh.append(who)
+            for i in range(0, len(fresh), IDS):
+                self.admitted.appendValue((fresh[i:i + IDS],))
             if start is not None:
                 self.window.update((start, count, self._wake(now, timer)))
             d["accepted"] = accepted
