@@ -1,4 +1,4 @@
-"""Regression and classification models on MLlib, their scores and the choice between them."""
+"""Regression and classification models, on MLlib but for forests of few features, their scores and the choice between them."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_number, col, long_rows, nan_to_null, numeric_columns
 from ..functions.stage import spread, staged
+from . import binned_forest
 
 # Fixed values.
 TEST_SHARE, SEED, TREES, MIN_ROWS = 20, 42, 100, 10
@@ -71,13 +72,18 @@ def regression_models(df: DataFrame, target: str, features: list[str] | None = N
     }
     prep = Pipeline(stages=_stages(features)).fit(train)
     ready, unseen = prep.transform(train), prep.transform(test)
+    thresholds = binned_forest.cuts(train, features)
     metrics, weights = [], []
     for name, est in fits.items():
-        model = est.fit(ready)
-        s = regression_scores(model.transform(unseen)).first()
+        if name == "random_forest" and binned_forest.fits(thresholds):
+            guess, values = binned_forest.regression(train, test, features, "_y", thresholds, max_depth, trees, SEED)
+        else:
+            model = est.fit(ready)
+            guess = model.transform(unseen)
+            values = (model.coefficients if name == "linear_regression" else model.featureImportances).toArray()
+        s = regression_scores(guess).first()
         metrics.append((name, s["r2_score"], s["rmse"], s["n"]))
-        values = model.coefficients if name == "linear_regression" else model.featureImportances
-        weights += [(name, f, float(v)) for f, v in zip(features, values.toArray())]
+        weights += [(name, f, float(v)) for f, v in zip(features, values)]
     spark = df.sparkSession
     return {"metrics": spark.createDataFrame(metrics, "model string, score double, rmse double, n long"),
             "importance": spark.createDataFrame(weights, "model string, feature string, value double")}
@@ -138,10 +144,17 @@ def classification_models(df: DataFrame, target: str, features: list[str] | None
     prep = Pipeline(stages=_stages(features)).fit(train)
     ready, unseen = prep.transform(train), prep.transform(test)
     names = F.array(*map(F.lit, codes.labels))
+    thresholds = binned_forest.cuts(train, features)
     metrics, reports, weights = [], [], []
     for name, est in fits.items():
-        model = est.fit(ready)
-        guess = staged(model.transform(unseen).select(
+        if name == "random_forest" and binned_forest.fits(thresholds, len(codes.labels)):
+            guess, values = binned_forest.classification(train, test, features, "_label", len(codes.labels), thresholds,
+                                                         max_depth, trees, SEED)
+        else:
+            model = est.fit(ready)
+            guess = model.transform(unseen)
+            values = model.featureImportances.toArray() if name == "random_forest" else []
+        guess = staged(guess.select(
             F.col("_y").alias("label"), F.get(names, F.col("prediction").cast("int")).alias("guess")))
         report = classification_report(guess, "label", "guess").withColumn("model", F.lit(name))
         s = guess.agg(F.avg((F.col("label") == F.col("guess")).cast("double")).alias("a"),
@@ -149,7 +162,7 @@ def classification_models(df: DataFrame, target: str, features: list[str] | None
         metrics.append((name, s["a"], s["n"]))
         reports.append(report)
         if name == "random_forest":
-            weights = [(name, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+            weights = [(name, f, float(v)) for f, v in zip(features, values)]
     spark = df.sparkSession
     return {"metrics": spark.createDataFrame(metrics, "model string, score double, n long"),
             "report": reduce(DataFrame.unionByName, reports),

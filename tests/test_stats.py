@@ -6,7 +6,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tablewright.operators import forecast as fc, intent as nl, models as m, prescribe as p, programs as lp, stats as s
+from tablewright.operators import binned_forest as bf, forecast as fc, intent as nl, models as m, prescribe as p, programs as lp, stats as s
 
 
 def test_t_test_known_value(spark):
@@ -217,3 +217,70 @@ def test_registered_models_have_the_default_forests(spark, monkeypatch):
     for name in ("ml_regression", "ml_best_regression", "ml_classification"):
         registered.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [(m.MAX_DEPTH, 100)] * 3
+
+
+def plain_tree(x, y, w, impurity, depth):
+    """Value per row of a tree grown by trying every threshold between values."""
+    out = np.zeros(len(y))
+    value = lambda k: (w[k] * y[k]).sum() / max(w[k].sum(), 1)
+    stack = [(np.arange(len(y)), 0)]
+    while stack:
+        rows_, level = stack.pop()
+        out[rows_] = value(rows_)
+        best = (1e-12, None)
+        for f in range(x.shape[1] if level < depth else 0):
+            for t in np.unique(x[rows_, f])[:-1]:
+                low = x[rows_, f] <= t
+                a, b = rows_[low], rows_[~low]
+                if w[a].sum() >= 1 and w[b].sum() >= 1:
+                    n = w[rows_].sum()
+                    gain = impurity(rows_) - (w[a].sum() * impurity(a) + w[b].sum() * impurity(b)) / n
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (a, b))
+        if best[1]:
+            stack += [(part, level + 1) for part in best[1]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["variance", "gini"])
+def test_trees_of_cells_equal_trees_of_rows(kind):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (300, 2))
+    w = rng.poisson(1.0, 300)
+    cells = x[:, 0] * 5 + x[:, 1]
+    if kind == "variance":
+        y = rng.normal(size=300) + x[:, 0] * x[:, 1]
+        spread = lambda k: np.average(y[k] ** 2, weights=w[k]) - np.average(y[k], weights=w[k]) ** 2
+        sums = np.stack([np.bincount(cells, v, 25) for v in (w, w * y, w * y * y)])
+        leaf, _ = bf._grow([5, 5], sums, bf._variance, 3, 2, rng)
+        got = leaf[1] / leaf[0]
+    else:
+        y = (rng.random(300) < 0.1 + 0.15 * x[:, 0]).astype(float)
+        spread = lambda k: 2 * np.average(y[k], weights=w[k]) * (1 - np.average(y[k], weights=w[k]))
+        sums = np.stack([np.bincount(cells, w * (y == v), 25) for v in (0, 1)])
+        leaf, _ = bf._grow([5, 5], sums, bf._gini, 3, 2, rng)
+        got = leaf[1] / leaf.sum(axis=0)
+    assert got[cells] == pytest.approx(plain_tree(x, y, w, spread, 3))
+
+
+def test_forests_of_few_features_are_grown_from_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame([(float(a), int(10 * b), bool(c > 0), float(a * a + int(10 * b) // 5), "up" if a * b > 0 else "down") for a, b, c in x],
+                               "a double, b int, c boolean, y double, label string").withColumn("c", F.col("c").cast("int"))
+    score = lambda out: {r["model"]: r["score"] for r in out["metrics"].collect()}["random_forest"]
+    share = lambda out: {r["feature"]: r["value"] for r in out["importance"].collect() if r["model"] == "random_forest"}
+    features = ["a", "b", "c"]
+    with monkeypatch.context() as patch:  # MLlib's forests of the same rows
+        patch.setattr(bf, "fits", lambda *a: False)
+        rows_r, rows_c = m.regression_models(df, "y", features, trees=20), m.classification_models(df, "label", features, trees=20)
+    monkeypatch.setattr(m.RandomForestRegressor, "fit", lambda *a: pytest.fail("rows are read once a level and tree"))
+    monkeypatch.setattr(m.RandomForestClassifier, "fit", lambda *a: pytest.fail("rows are read once a level and tree"))
+    out, again = m.regression_models(df, "y", features, trees=20), m.classification_models(df, "label", features, trees=20)
+    assert score(out) == pytest.approx(score(rows_r), abs=0.2) and score(again) == pytest.approx(score(rows_c), abs=0.15)  # as seeds differ
+    assert sum(share(out).values()) == pytest.approx(1)
+    assert share(out) == pytest.approx(share(rows_r), abs=0.25) and share(again) == pytest.approx(share(rows_c), abs=0.25)
+    assert again["report"].filter("label in ('up', 'down') and model = 'random_forest'").agg(F.sum("support")).first()[0] == \
+        again["metrics"].first()["n"]
+    assert len(bf.cuts(df, ["a"])[0]) == 31 and bf.cuts(df, ["c"]) == [[0.5]]
+    assert not bf.fits([[0.0] * 31] * 4)
