@@ -9,7 +9,8 @@ Equal sets are one node from the start. Within a bucket no list of all pairs is
      components. Some rounds more compare each node with one member of a larger component that it meets. A large group
      of copies is one component then;
   2. only nodes of different components that still meet in a bucket are compared by longer signatures of one bit a
-     value, in blocks of bounded size, and what is within six standard errors of the threshold goes on.
+     value, in blocks of bounded size. What is within six standard errors of the threshold is confirmed block by block
+     too: each node brings its set once a block, and only links that join two components there are listed.
 Every link is confirmed on the full sets. A link between nodes that share a bucket is thus either confirmed or lies
 inside one component already.
 """
@@ -29,8 +30,8 @@ from tablewright.llm.hashing import shingle_sets
 
 WIDTH, PERCENT = 5, 80
 VALUES, MISS = 192, 1e-6
-#: Members of a bucket compared at once, and bytes of text hashed at once.
-BLOCK = 1_000
+#: Members of a bucket compared at once, bytes of their sets, about, and bytes of text hashed at once.
+BLOCK, BLOCK_BYTES = 1_000, 1 << 24
 GROUP_BYTES = 1 << 20
 #: One-bit values of the longer signatures, and rounds before they are used.
 BITS, ROUNDS = 4096, 3
@@ -115,6 +116,11 @@ def of_nodes(docs: DataFrame, wanted: DataFrame, width: int, make, name: str) ->
         return staged(rows.select("text", "node", "_digest").mapInArrow(task, "node long, value binary").dropDuplicates(["node"]), name)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets meet the threshold."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -126,9 +132,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
             ok = []
             for b in parts(batch, "sa", GROUP_BYTES):
                 for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                    ok.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with small_batches(docs.sparkSession):
@@ -173,34 +177,40 @@ def next_pairs(m: DataFrame, per: DataFrame, turn: int) -> DataFrame:
 
 
 def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int, rows_of_band: int) -> DataFrame:
-    """Likely pairs of nodes that meet in a bucket and are in different components.
+    """Links between nodes that meet in a bucket and are in different components: in each block enough to join all components that links join.
 
     A bucket up to `block` members is one group. A larger one is cut: its largest component's members, who need no
-    comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks. A pair is listed in
-    the first bucket that it shares only.
+    comparison with each other, into blocks, and all others into blocks; groups are pairs of blocks. Members with large
+    sets are cut into smaller blocks. A pair is looked at in the first bucket that it shares only.
     """
     wanted = staged(nodes.select("node", "digest", "tag").join(m.select("node").distinct(), "node"), "wanted")
     mult = multipliers(BITS)
     bits = of_nodes(docs, wanted, width, lambda s: bit_signature(s, mult), "bits").withColumnRenamed("value", "bits")
-    per = per.select("key", "size", "main", F.ceil(F.col("most") / block).alias("nm"), F.ceil((F.col("size") - F.col("most")) / block).alias("no"))
-    m = m.join(per, "key").join(bits.join(nodes.select("node", "sig"), "node"), "node")
-    at = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("label") == F.col("main"), F.col("nm")).otherwise(F.col("no"))).cast("int")
+    m = m.join(per.select("key", "main", "size", "most"), "key").join(nodes.select("node", "sig", "n"), "node")
+    central = F.col("label") == F.col("main")
+    held = lambda x: F.ceil(8 * F.sum(F.when(x, F.col("n")).otherwise(0)) / BLOCK_BYTES)
+    heavy = m.groupBy("key").agg(held(central).alias("hm"), held(~central).alias("ho"))
+    m = m.drop("n").join(heavy, "key").join(bits, "node")
+    m = m.withColumn("nm", F.greatest(F.ceil(F.col("most") / block), "hm")).withColumn("no", F.greatest(F.ceil((F.col("size") - F.col("most")) / block), "ho"))
+    at = F.pmod(F.xxhash64("node", F.lit(3)), F.when(central, F.col("nm")).otherwise(F.col("no"))).cast("int")
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
     pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     zero = F.lit(0)
-    cells = F.when(F.col("size") <= block, F.array(pair(0, zero, zero))) \
-        .when(F.col("label") == F.col("main"), F.transform(span(F.col("no")), lambda j: pair(1, F.col("at"), j))) \
+    cells = F.when((F.col("size") <= block) & (F.col("hm") + F.col("ho") <= 2), F.array(pair(0, zero, zero))) \
+        .when(central, F.transform(span(F.col("no")), lambda j: pair(1, F.col("at"), j))) \
         .otherwise(F.concat(F.transform(span(F.col("nm")), lambda i: pair(1, i, F.col("at"))),
                             F.transform(span(F.col("no")), lambda j: pair(2, F.least(j, F.col("at")), F.greatest(j, F.col("at"))))))
     m = m.withColumn("at", at).withColumn("cell", F.explode(cells))
-    m = m.withColumn("side", F.when(F.col("cell.kind") == 0, 0).when(F.col("cell.kind") == 1, F.when(F.col("label") == F.col("main"), 0).otherwise(1)).otherwise(F.when(F.col("cell.i") == F.col("cell.j"), 0).when(F.col("at") == F.col("cell.i"), 0).otherwise(1)))
+    m = m.withColumn("side", F.when(F.col("cell.kind") == 0, 0).when(F.col("cell.kind") == 1, F.when(central, 0).otherwise(1)).otherwise(F.when(F.col("cell.i") == F.col("cell.j"), 0).when(F.col("at") == F.col("cell.i"), 0).otherwise(1)))
     m = m.withColumn("cell_id", F.xxhash64("key", "cell"))
     # Equal bits at the threshold, less six standard errors.
     same = (1 + percent / 100) / 2
     most_unequal = BITS - math.floor(BITS * same - 6 * math.sqrt(BITS * same * (1 - same)))
 
     def compare(rows):
+        """The nodes of a cell that take part in likely pairs: cell, node, label, and the other ends of the pairs listed with this node."""
         side = np.array([r[1] for r in rows])
+        node = np.array([r[2] for r in rows], np.int64)
         bits = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1)
         sig = np.frombuffer(b"".join([r[5] for r in rows]), "<u2").reshape(len(rows), -1)
         sig = sig[:, :sig.shape[1] // rows_of_band * rows_of_band].reshape(len(rows), -1, rows_of_band)
@@ -208,39 +218,94 @@ def remaining(m: DataFrame, per: DataFrame, docs: DataFrame, nodes: DataFrame, w
         label = np.array([number.setdefault(r[3], len(number)) for r in rows])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
+        both = not side.any()
+        ends: dict[int, bytes] = {}
         for lo in range(0, len(left), 16):
             own = left[lo:lo + 16]
             hit = np.bitwise_count(bits[own][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int32) <= most_unequal
             hit &= label[own][:, None] != label[right][None, :]
-            x, y = np.nonzero(hit)
-            first = (sig[own[x]] == sig[right[y]]).all(2).argmax(1) == rows[0][6]
-            for x, y in zip(own[x[first]].tolist(), right[y[first]].tolist()):
-                d, e = rows[x][2], rows[y][2]
-                yield (d, e) if d < e else (e, d)
+            if both:
+                hit &= own[:, None] < right[None, :]
+            for x, found in zip(own.tolist(), hit):
+                y = right[found]
+                y = y[(sig[x] == sig[y]).all(2).argmax(1) == rows[0][6]]
+                if len(y):
+                    ends[x] = node[y].tobytes()
+                    for k in y.tolist():
+                        ends.setdefault(k, b"")
+        return [(rows[0][0], rows[k][2], rows[k][3], v) for k, v in ends.items()]
 
     def task(batches):
-        rows, out = [], set()
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        rows, out = [], []
+        schema = pa.schema([("cell_id", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("ends", pa.binary())])
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
             out.clear()
             return batch
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("cell_id", "side", "node", "label", "bits", "sig", "band"))):
                 if rows and r[0] != rows[0][0]:
-                    out.update(compare(rows))
+                    out += compare(rows)
                     rows = []
-                    if len(out) > 20_000:
+                    if len(out) > 2_000:
                         yield flush()
                 rows.append(r)
         if rows:
-            out.update(compare(rows))
+            out += compare(rows)
         yield flush()
 
     cells = m.select("cell_id", "side", "node", "label", "bits", "sig", "band").repartition("cell_id").sortWithinPartitions("cell_id")
-    return cells.mapInArrow(task, "a long, b long").distinct()
+    with small_batches(docs.sparkSession):
+        found = staged(cells.mapInArrow(task, "cell_id long, node long, label long, ends binary"), "likely")
+    return joined(found, docs, nodes, width, percent)
+
+
+def joined(found: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on the full sets, of the likely pairs in cells (cell_id, node, label, ends): those that join two components in their cell."""
+    sets = of_nodes(docs, staged(nodes.join(found.select("node").distinct(), "node").select("node", "digest", "tag"), "wanted"), width, lambda s: s.tobytes(), "sets")
+
+    def links(rows):
+        sets = {r[1]: np.frombuffer(r[4], np.uint64) for r in rows}
+        label = {r[1]: r[2] for r in rows}
+        parent = {x: x for x in label.values()}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for _, a, _, ends, _ in rows:
+            for b in np.frombuffer(ends, np.int64).tolist():
+                x, y = find(label[a]), find(label[b])
+                if x != y and similar(sets[a], sets[b], percent):
+                    parent[x] = y
+                    yield a, b
+
+    def task(batches):
+        rows, out = [], []
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], ["a", "b"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("cell_id", "node", "label", "ends", "value"))):
+                if rows and r[0] != rows[0][0]:
+                    out += links(rows)
+                    rows = []
+                    if len(out) > 20_000:
+                        yield flush()
+                rows.append(r)
+        if rows:
+            out += links(rows)
+        yield flush()
+
+    members = found.join(sets, "node").select("cell_id", "node", "label", "ends", "value").repartition("cell_id").sortWithinPartitions("cell_id")
+    with small_batches(docs.sparkSession):
+        return staged(members.mapInArrow(task, "a long, b long").distinct(), "links")
 
 
 def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +313,7 @@ def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -
     rows = band_rows(percent, values)
     with small_batches(docs.sparkSession):
         base = staged(signatures(docs.withColumn("tag", tag()), width, values), "signatures")
-    nodes = base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"), F.first("sig").alias("sig"))
+    nodes = base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = values // rows
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
@@ -270,7 +335,7 @@ def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -
         labels = staged(extended(labels, new), "labels")
         m, per = labelled(m.select("key", "band", "node"), labels)
     if not per.isEmpty():
-        new = confirmed(staged(remaining(m, per, docs, nodes, width, percent, block, rows), "pairs"), docs, nodes, width, percent)
+        new = remaining(m, per, docs, nodes, width, percent, block, rows)
         labels = staged(extended(labels, new), "labels")
     group = nodes.select("node", "digest", "rep").join(labels, "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label"))
     return base, group

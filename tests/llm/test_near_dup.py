@@ -158,3 +158,22 @@ def test_many_null_ids(spark, docs_of):
     took(own)
     assert took(none) < 2 * took(own) + 5
     same(spark, docs_of(none), none, 3, 85)
+
+
+def test_op4_lists_no_pairs_of_a_group_below_the_threshold(spark, docs_of, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    base = rng.choices(vocabulary, k=300)
+    rows = [(i, " ".join(w if rng.random() > 0.013 else rng.choice(vocabulary) for w in base)) for i in range(150)]
+    listed, plain = [], near_dup.confirmed
+
+    def confirmed(pairs, *more):
+        listed.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(near_dup, "confirmed", confirmed)
+    same(spark, docs_of(rows), rows, 3, 95)
+    assert max(listed) <= len(rows)  # a pair a node at most
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 20_000)  # some eight sets
+    same(spark, docs_of(rows), rows, 3, 95)
+    assert max(listed) <= len(rows)
