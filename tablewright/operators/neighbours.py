@@ -41,6 +41,28 @@ def _matrix(values: pd.Series, width: int) -> np.ndarray:
     return np.array(values.tolist(), dtype=float).reshape(len(values), width)
 
 
+def _window(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Places in b, in order, of all rows that can be among the k nearest of a row of a; the rows of b share one null pattern."""
+    every = np.arange(len(b))
+    there = ~np.isnan(b[0])
+    if len(b) <= k or not there.any():
+        return every
+    g = int(np.where(there, np.ptp(np.where(there, b, 0.0), axis=0), -1.0).argmax())
+    some = b[::max(1, len(b) // 256)]
+    near = np.sort(_distances(a, some), axis=1)
+    if len(some) < k:
+        return every
+    reach = near[:, k - 1]  # by some rows of b: the k-th nearest of all is no farther
+    shared = (~np.isnan(a) & there).sum(axis=1)
+    # Widened by rounding size.
+    r = np.sqrt((reach * (1 + 1e-9) + 1e-12) * shared / a.shape[1]) * (1 + 1e-9) + 1e-9 * np.abs(a[:, g])
+    r, x = r[shared > 0], a[shared > 0, g]
+    lo, hi = (x - r).min(initial=np.inf), (x + r).max(initial=-np.inf)
+    if not len(x) or not np.isfinite(lo) or not np.isfinite(hi):
+        return every
+    return np.flatnonzero((b[:, g] >= lo) & (b[:, g] <= hi))
+
+
 def impute_neighbours(df: DataFrame, columns: list[str], k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """CL-22: fill numeric nulls with the mean of the k nearest rows that have the feature.
 
@@ -120,17 +142,24 @@ def impute_neighbours(df: DataFrame, columns: list[str], k: int = 5, block_rows:
             b = _matrix(have["v"], width)
             order = np.lexsort(np.nan_to_num(b, nan=-np.inf).T[::-1])  # ties go to the smaller vector
             b, n = b[order], have["n"].to_numpy()[order]
+            a = _matrix(asks["v"], width)
+            wide = int(np.where(np.isnan(b[0]), -1.0, np.ptp(np.nan_to_num(b), axis=0)).argmax())
+            by = np.argsort(a[:, wide], kind="stable")  # requests of a batch lie side by side
+            ids, features = asks["id"].to_numpy(), asks["feature"].to_numpy()
             for start in range(0, len(asks), BATCH):
-                part = asks.iloc[start:start + BATCH]
-                d = _distances(_matrix(part["v"], width), b)
-                for row, (i, f) in enumerate(zip(part["id"], part["feature"])):
-                    mine = np.flatnonzero(~np.isnan(d[row]) & ~np.isnan(b[:, f]))
+                part = by[start:start + BATCH]
+                kept = _window(a[part], b, k)
+                d = _distances(a[part], b[kept])
+                for row, (i, f) in enumerate(zip(ids[part], features[part])):
+                    mine = np.flatnonzero(~np.isnan(d[row]) & ~np.isnan(b[kept, f]))
+                    if len(mine) > k:
+                        mine = mine[d[row][mine] <= np.partition(d[row][mine], k - 1)[k - 1]]
                     for j in mine[np.argsort(d[row][mine], kind="stable")[:k]]:
                         out["id"].append(i)
                         out["feature"].append(f)
                         out["distance"].append(d[row][j])
-                        out["n"].append(int(n[j]))
-                        out["v"].append([None if np.isnan(x) else x for x in b[j]])
+                        out["n"].append(int(n[kept[j]]))
+                        out["v"].append([None if np.isnan(x) else x for x in b[kept[j]]])
         return pd.DataFrame(out)
 
     found = visits.groupBy("block", "copy").cogroup(served.groupBy("block", "copy")).applyInPandas(

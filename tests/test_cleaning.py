@@ -190,3 +190,21 @@ def test_isolation_forest_drops_the_odd_rows(spark):
     assert 890 <= len(kept) <= 910 and sum(i >= 950 for i in kept) == 0
     again = {r["i"] for r in forest.drop_isolated(df, ["a", "b"], 0.1).collect()}
     assert kept == again
+
+
+def test_window_of_a_block_holds_the_nearest_and_little_else():
+    from tablewright.operators import neighbours as nb
+
+    rng = np.random.default_rng(6)
+    for null in (None, 1):
+        b = np.column_stack([rng.integers(0, 100_000, 20_000), rng.integers(0, 50, 20_000), rng.normal(size=20_000)]).astype(float)
+        if null is not None:
+            b[:, null] = np.nan
+        a = b[np.argsort(b[:, 0])[4000:4100]] + np.array([0.5, 0.0, 0.1])
+        a[:, 2] = np.nan
+        kept = nb._window(a, b, 5)
+        assert len(kept) < 4_000 and (np.diff(kept) > 0).all()
+        d = nb._distances(a, b)
+        for row in d:
+            assert np.isin(np.flatnonzero(row <= np.partition(row, 4)[4]), kept).all()
+    assert len(nb._window(np.full((1, 3), np.nan), b, 5)) == len(b)
