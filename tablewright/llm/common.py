@@ -91,6 +91,11 @@ def row_key() -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(size, F.lit(":"), who, F.coalesce("text", F.lit(""))), 256), 1, 32))
 
 
+def text_key() -> Column:
+    """16 bytes that tell texts apart. Null and empty texts are one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The documents whose `column` is not in the one column of `ids`; a null is a value like others."""
     ids = staged(ids.toDF("_out").distinct(), "ids")

@@ -156,7 +156,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> Dat
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sa", "sb"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return both.mapInArrow(task, "a long, b long")
+    with small_batches(nodes.sparkSession):
+        return staged(both.mapInArrow(task, "a long, b long"), "pairs")
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,13 +324,13 @@ def linked(docs: DataFrame, width: int, percent: int, values: int, block: int) -
     # Per node the bucket minimum it meets most often.
     shared = members.filter("node <> centre").groupBy(F.col("node").alias("b"), F.col("centre").alias("a")).agg(F.count(F.lit(1)).alias("c"))
     first = shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = confirmed(staged(likely(first, nodes, percent, values), "pairs"), docs, nodes, width, percent)
+    links = confirmed(likely(first, nodes, percent, values), docs, nodes, width, percent)
     labels = staged(components(links), "labels")
     m, per = labelled(members.select("key", "band", "node"), labels)
     for turn in range(ROUNDS):
         if per.isEmpty():
             break
-        new = confirmed(staged(likely(next_pairs(m, per, turn), nodes, percent, values), "pairs"), docs, nodes, width, percent)
+        new = confirmed(likely(next_pairs(m, per, turn), nodes, percent, values), docs, nodes, width, percent)
         if new.isEmpty():
             break
         labels = staged(extended(labels, new), "labels")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import parts, spread
+from tablewright.llm.common import parts, small_batches, spread, staged, text_key, without
 
 TOXIC_ROWS, ORDINARY_ROWS = 1_500, 3_000
 GRAM, WINDOW, LEVEL = 5, 64, 3
@@ -154,14 +154,28 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     return learn(*parts)
 
 
-def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The documents whose score is below `limit`, with all their columns; defined on all texts as `score` is."""
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """The score of every text, and the other columns. To be run under `small_batches`, as other batches hold 10,000 texts."""
+    others = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
 
     def task(batches):
         for b in (p for batch in batches for p in parts(batch, "text", PART_BYTES)):
-            yield b.filter(pa.array(model.scores(b.column("text").to_pylist()) < limit, pa.bool_()))
+            s = model.scores(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(s, pa.float64())], [*others, "score"])
+
+    return spread(rows).mapInArrow(task, f"{kinds}, score double")
+
+
+def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents whose score is below `limit`, with all their columns; defined on all texts as `score` is.
 
-    return spread(docs).mapInArrow(task, docs.schema)
+    A score depends on the text alone, so tasks return the keys of the texts that go, and no text comes back from them.
+    """
+    d = docs.withColumn("_key", text_key())
+    with small_batches(docs.sparkSession):
+        left = without(d, scored(d.select("_key", "text"), model).filter(F.col("score") >= limit).select("_key"), "_key")
+    return left.drop("_key")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,12 +184,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are scored as an empty window. Null ids are not held out. Repeated rows get equal scores; long
     texts are scored over all their windows; other columns are not read; an empty table gives no rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def task(batches):
-        for b in (p for batch in batches for p in parts(batch, "text", PART_BYTES)):
-            s = model.scores(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
-
-    rows = spread(docs.select("doc_id", "text")).mapInArrow(task, f"doc_id {kind}, score double")
+    with small_batches(docs.sparkSession):
+        rows = staged(scored(docs.select("doc_id", "text"), model), "scores")
     return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

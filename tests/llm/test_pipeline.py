@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import decontaminate, mixing, near_dup, toxicity
@@ -68,3 +69,34 @@ def test_filters_judge_rows_not_ids(spark, docs_of):
     model = toxicity.learn([a + " " + b] * 30, [c + " " + e] * 60)
     rows = [(None, a + " " + b), (None, c + " " + e), (5, a + " " + b), (5, c + " " + e)]
     assert Counter((r["doc_id"], r["text"]) for r in toxicity.clean(docs_of(rows), model).collect()) == Counter(rows[1::2])
+
+
+def test_texts_are_scored_few_at_a_time(spark, monkeypatch):
+    """A partition with 26 MB of text comes to the tasks in small Arrow batches, under both callers."""
+
+    class Fine:
+        def scores(self, texts):
+            return np.zeros(len(texts))
+
+    def few(batch, column, size):
+        assert batch.nbytes < 8 << 20, batch.nbytes
+        yield batch
+
+    monkeypatch.setattr(toxicity, "parts", few)
+    n = 2 * spark.sparkContext.defaultParallelism
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1000) AS text").repartition(n, F.lit(0))
+    assert toxicity.clean(docs, Fine()).count() == 3000
+    assert len(toxicity.score(docs, Fine()).collect()) == 3000
+
+
+def test_clean_judges_texts(spark, docs_of):
+    """Of equal texts all rows go or stay, null and empty texts alike; all columns stay as they are."""
+
+    class Bad:
+        def scores(self, texts):
+            return np.array([0.5 if (t or "") in ("", "bad") else 0.4 for t in texts])
+
+    docs = docs_of([(1, "bad"), (1, "bad"), (1, "good"), (None, "bad"), (None, "good"), (2, None), (3, ""), (4, " "), (4, " ")])
+    left = toxicity.clean(docs, Bad())
+    assert left.schema == docs.schema
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r["text"] in ("good", " "))
