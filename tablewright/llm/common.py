@@ -33,7 +33,7 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m"):
+def small_batches(spark: SparkSession, size: str = "1m"):
     """What runs inside hands Arrow batches of about `size` to Python tasks, so texts are held few at a time on both sides."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     old = spark.conf.get(name, None)

@@ -32,7 +32,7 @@ WIDTH, PERCENT = 5, 80
 VALUES, MISS = 192, 1e-6
 #: Members of a bucket compared at once, bytes of their sets, about, and bytes of text hashed at once.
 BLOCK, BLOCK_BYTES = 1_000, 1 << 24
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: One-bit values of the longer signatures, and rounds before they are used.
 BITS, ROUNDS = 4096, 3
 

@@ -25,17 +25,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablewright.llm.common import new_folder, small_batches
 
 LENGTH, BATCH, END_ID = 2048, 256, 0
-#: Pieces that a Python worker remembers (some 30 bytes each); beyond it forgets and starts anew.
-REMEMBERED = 4_000_000
+#: Pieces that a Python worker remembers (some 50 bytes each), and their bytes; beyond either it keeps the commonest, up to three quarters of these.
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 24
 #: White space that only Unicode knows; texts with it are encoded whole.
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER, MARK = np.zeros(256, bool), np.full(256, 2)
+LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+MARK[[*b".,"]] = 0, 1
 JOINED = 1_000
 #: Bytes compared with their pieces at a time.
 COMPARED = 1 << 18
 #: Bytes of text encoded together, about, and texts at most.
-GROUP_BYTES, GROUP = 3 << 19, 4_000
+GROUP_BYTES, GROUP = 1 << 19, 4_000
 
 
 def _files(uri: str):
@@ -43,6 +46,11 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first[k], first[k] + 1, ... of n[k] elements for all k, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class Encoder:
     """Encodes texts piece by piece and remembers the pieces by hash, since words repeat.
 
@@ -66,12 +74,23 @@ class Encoder:
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
         self._power = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-        self._forget()
+        # Hashes in order, the place of each piece in the lists, and of piece k the ids [places[k], places[k + 1]), the bytes [starts[k], starts[k + 1]) and how often it was met.
+        self.hashes, self.order, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.places, self.starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.bytes = np.zeros(0, self.dtype), bytearray()
 
     def _forget(self) -> None:
-        self.hashes, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.bytes, self.starts, self.widths = bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the pieces met most often, of equals the latest."""
+        width, size = np.diff(self.starts), np.diff(self.places)
+        keep = np.lexsort([np.arange(len(width)), self.uses])[::-1][:REMEMBERED // 4 * 3]
+        keep = np.sort(keep[np.cumsum(width[keep]) <= REMEMBERED_BYTES // 4 * 3])
+        place = np.full(len(self.uses), -1, np.int32)
+        place[keep] = np.arange(len(keep), dtype=np.int32)
+        self.ids = self.ids[spans(self.places[keep], size[keep])]
+        self.bytes = bytearray(np.frombuffer(self.bytes, np.uint8)[spans(self.starts[keep], width[keep])])
+        self.places, self.starts = (np.concatenate([[0], np.cumsum(x[keep])]) for x in (size, width))
+        order = place[self.order]
+        self.hashes, self.order, self.uses = self.hashes[order >= 0], order[order >= 0], self.uses[keep] // 2
 
     def _powers(self, n: int):
         if len(self._power[0]) < n:
@@ -92,13 +111,12 @@ class Encoder:
             wrong[np.searchsorted(stop, other + lo, "right")] = True
         seen = np.flatnonzero(here)
         first, kept = where[seen], slot[seen]
-        bad = size[first] != self.widths[kept]
+        bad = size[first] != self.starts[kept + 1] - self.starts[kept]
         first, kept, own = first[~bad], kept[~bad], seen[bad]
         if len(first):
             long = size[first]
-            inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
             store = np.frombuffer(self.bytes, np.uint8)
-            differ = buf[np.repeat(start[first], long) + inner] != store[np.repeat(self.starts[kept], long) + inner]
+            differ = buf[spans(start[first], long)] != store[spans(self.starts[kept], long)]
             del store
             own = np.concatenate([own, seen[~bad][np.unique(np.repeat(np.arange(len(first)), long)[differ])]])
         if len(own):
@@ -108,33 +126,54 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces not seen before, all different."""
+    def _new(self, buf: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces not seen before, all different, one after the other, and their numbers. The pieces lie side by side, of n bytes each."""
         # A point or comma after a letter is a piece of its own, so a word is encoded once with all that may follow it.
-        marks = dict(zip(".,", self._encode([".", ","])))
-        stem = [p[:-1] if p[-1] in ".," and p[-2:-1].isalpha() else p for p in pieces]
-        known: dict[str, np.ndarray] = dict.fromkeys(stem)
-        words, single = [], []
-        for p in known:
-            (words if p[0] in " \n" and not p[1:2].isspace() and not p[-1].isspace() else single).append(p)
+        stop = np.cumsum(n)
+        start = stop - n
+        mark = np.where((n > 1) & LETTER[buf[np.maximum(stop, 2) - 2]], MARK[buf[stop - 1]], 2)
+        n = n - (mark < 2)
+        second, last = buf[np.minimum(start + 1, len(buf) - 1)], buf[start + n - 1]
+        word = (n > 1) & ((buf[start] == 32) | (buf[start] == 10)) & (second > 32) & (last > 32)
+        whole = buf.tobytes()
+        stem = [whole[a:b] for a, b in zip(start.tolist(), (start + n).tolist())]
+        for k in np.flatnonzero(word & ((second > 126) | (last > 126))).tolist():
+            p = stem[k].decode()
+            word[k] = not p[1].isspace() and not p[-1].isspace()
+        number = {b".": 0, b",": 1}
+        row = np.array([number.setdefault(p, len(number)) for p in stem])
+        stems = list(number)
+        words, width = np.zeros(len(stems), bool), np.ones(len(stems), np.int64)
+        words[row], width[row] = word, n
+        single = np.flatnonzero(~words).tolist()
+        words = np.flatnonzero(words).tolist()
+        known, ids, sizes = [], [], []
         for i in range(0, len(words), JOINED):
             some = words[i:i + JOINED]
-            ids = self._encode(["".join(some)])[0]
-            places = np.cumsum([len(p.encode()) for p in some])
-            ends = np.cumsum(self.lengths[ids])
+            joined = self._encode([b"".join([stems[k] for k in some]).decode()])[0]
+            places, ends = np.cumsum(width[some]), np.cumsum(self.lengths[joined])
             at = np.searchsorted(ends, places)
             if ends[-1] == places[-1] and (ends[at] == places).all():
-                stops = (at + 1).tolist()
-                known.update(zip(some, [ids[x:y] for x, y in zip([0, *stops], stops)]))
+                known += some
+                ids.append(joined)
+                sizes.append(np.diff(at, prepend=-1))
             else:
                 single += some
         for i in range(0, len(single), JOINED):
-            known.update(zip(single[i:i + JOINED], self._encode(single[i:i + JOINED])))
-        return [known[s] if s is p else np.concatenate([known[s], marks[p[-1]]]) for s, p in zip(stem, pieces)]
+            found = self._encode([stems[k].decode() for k in single[i:i + JOINED]])
+            known += single[i:i + JOINED]
+            ids += found
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        # A piece is its stem and its mark, or nothing, which is the last of the numbers.
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        size, first = np.zeros(len(stems) + 1, np.int64), np.zeros(len(stems) + 1, np.int64)
+        size[known], first[known] = sizes, np.cumsum(sizes) - sizes
+        rows = np.stack([row, np.array([0, 1, len(stems)])[mark]], 1)
+        return ids[spans(first[rows.ravel()], size[rows.ravel()])], size[rows].sum(1)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by the end id, and their numbers."""
-        if len(self.hashes) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED or len(self.bytes) > REMEMBERED_BYTES:
             self._forget()
         raw = [t.encode() for t in texts]
         size = np.array([len(r) for r in raw], np.int64)
@@ -168,10 +207,12 @@ class Encoder:
         h = h * self.base + (stop - start).astype(np.uint64)
         while True:
             different, where, of = np.unique(h, return_index=True, return_inverse=True)
-            slot = np.searchsorted(self.hashes, different)
+            at = np.searchsorted(self.hashes, different)
             here = np.zeros(len(different), bool)
-            inside = slot < len(self.hashes)
-            here[inside] = self.hashes[slot[inside]] == different[inside]
+            inside = at < len(self.hashes)
+            here[inside] = self.hashes[at[inside]] == different[inside]
+            slot = np.zeros(len(different), np.int64)
+            slot[here] = self.order[at[here]]
             wrong = self._unequal(buf, start, stop, where, of, slot, here)
             if not len(wrong):
                 break
@@ -179,25 +220,19 @@ class Encoder:
                 h[i] = int.from_bytes(hashlib.blake2b(buf[start[i]:stop[i]], digest_size=8).digest(), "little")
         new = np.flatnonzero(~here)
         if len(new):
-            whole = buf.tobytes()
-            pieces = [whole[a:b] for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist())]
-            ids = self._new([p.decode() for p in pieces])
-            sizes = np.array([len(x) for x in ids], np.int32)
-            flat = np.concatenate(ids)
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(flat), self.used // 2) + (1 << 16), self.dtype)])
-            self.ids[self.used:self.used + len(flat)] = flat
-            at = slot[new]
-            self.hashes = np.insert(self.hashes, at, different[new])
-            self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
-            self.sizes = np.insert(self.sizes, at, sizes)
-            self.used += len(flat)
-            long = np.array([len(p) for p in pieces], np.int64)
-            self.starts = np.insert(self.starts, at, len(self.bytes) + np.cumsum(long) - long)
-            self.widths = np.insert(self.widths, at, long)
-            self.bytes += b"".join(pieces)
-            slot = np.searchsorted(self.hashes, different)
-        count = self.sizes[slot][of].astype(np.int64)
+            long = (stop - start)[where[new]]
+            pieces = buf[spans(start[where[new]], long)]
+            ids, sizes = self._new(pieces, long)
+            slot[new] = len(self.uses) + np.arange(len(new))
+            self.hashes = np.insert(self.hashes, at[new], different[new])
+            self.order = np.insert(self.order, at[new], slot[new])
+            self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(sizes)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(long)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.bytes += pieces.tobytes()
+        self.uses[slot] += np.bincount(of, minlength=len(slot)).astype(np.int32)
+        count = (self.places[slot + 1] - self.places[slot])[of]
         before = np.cumsum(count) - count
         text_of = np.searchsorted(first + size, start, "right")
         n_ids = int(count.sum())
@@ -262,6 +297,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, ba
                 first = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), pa.array([name] * len(sizes)), pa.array([part] * len(sizes), pa.int32()), pa.array(first, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "file", "part", "first", "n_tokens"])
+            pa.default_memory_pool().release_unused()  # else the worker holds what earlier batches took
         put(rest, True)
         if writer is not None:
             writer.close()

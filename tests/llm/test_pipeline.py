@@ -3,11 +3,12 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import decontaminate, mixing, near_dup, toxicity
-from tablewright.llm.common import staged, table
+from tablewright.llm.common import small_batches, staged, table
 from test_near_dup import brute
 
 
@@ -100,3 +101,11 @@ def test_clean_judges_texts(spark, docs_of):
     left = toxicity.clean(docs, Bad())
     assert left.schema == docs.schema
     assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r["text"] in ("good", " "))
+
+
+def test_python_tasks_get_small_batches(spark):
+    """Texts and sets travel to Python tasks in Arrow batches of about 1 MB, so an executor's native memory holds little of them."""
+    with small_batches(spark):
+        docs = spark.range(1000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1000) AS text").repartition(1)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 4 << 20 and max(r["n"] for r in sizes) < 2 << 20

@@ -162,3 +162,18 @@ def test_op3_edges(spark, docs_of, edge):
     assert toxicity.score(docs_of([]), model).count() == 0
     none = toxicity.fit(docs_of([(1, "a")]), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert toxicity.score(docs_of([(1, "a")]), none).first()["predicted"] == 0
+
+
+def test_a_worker_remembers_few_pieces(monkeypatch):
+    """New pieces without end take a bounded store, whatever their length, and what is forgotten is encoded alike again."""
+    import public_tokenizers
+
+    encode = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{i * 300 + j}" for j in range(300)) + ". Word, é, " + "x y" * 20 + f" {i:05d}" * 2 + f"{i:05d}" * 1000 for i in range(60)]
+    for name, n in (("REMEMBERED", 5_000), ("REMEMBERED_BYTES", 50_000)):
+        monkeypatch.setattr(token_files, name, n, raising=False)
+    for t in [*texts, *texts]:
+        out, sizes = encode([t, "", t])
+        want = [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert out.tolist() == [*want, 0, *want] and sizes.tolist() == [len(want), 1, len(want)]
+        assert len(encode.hashes) <= 5_000 + 400 and len(encode.bytes) <= 50_000 + len(t.encode())
